@@ -91,12 +91,13 @@ def q_insert_products(spark, d):
 
 
 @register("insert_products_rejected", M.cte(n=_RELISTED_SQL) + """
-SELECT src_id, name, ['missing image'] AS reasons FROM n WHERE image IS NULL OR image = ''
+SELECT src_id, name, 'missing image' AS reasons FROM n WHERE image IS NULL OR image = ''
 """)
 def q_insert_rejected(spark, d):
     r = mu.insert_products(M.products(spark, d, extended=True), _relisted(spark, d),
                            AS_OF, order_by=["name", "src_id"])
-    return r.extra["rejected"].select("src_id", "name", "reasons")
+    return r.extra["rejected"].select("src_id", "name",
+                                      F.array_join("reasons", "|").alias("reasons"))
 
 
 def _product_patches(spark, d):
