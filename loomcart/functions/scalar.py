@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
-# Java regex: (?U) makes \s Unicode-aware (catches U+00A0); U+FEFF is not a
-# Unicode White_Space character, so it is listed explicitly.  JavaScript's
-# \s and trim() cover both.
-_WS = r"[\s\x{FEFF}]"
+# JavaScript's whitespace set (its \s, and what trim() strips), spelled out
+# so Java and RE2 (the SQL oracle) read it the same way.  It includes
+# U+00A0 and U+FEFF, which Java's plain \s misses.
+_WS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+       r"\x{202F}\x{205F}\x{3000}\x{FEFF}]")
 
 
 def _c(x) -> Column:
@@ -34,7 +35,7 @@ def sku(id_col) -> Column:
 # I2 ------------------------------------------------------------------------
 def trim_ws(s) -> Column:
     """Trim Unicode whitespace (incl. U+00A0, U+FEFF) at both ends."""
-    return F.regexp_replace(_c(s), rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(_c(s), rf"^{_WS}+|{_WS}+$", "")
 
 
 def blank_to_null(s) -> Column:
@@ -131,15 +132,15 @@ def image_src(img) -> Column:
 # I9 / I10 -----------------------------------------------------------------
 def norm_text(s) -> Column:
     """Whitespace-normalised lookup key: runs of whitespace -> one space."""
-    return F.trim(F.regexp_replace(_c(s), rf"(?U){_WS}+", " "))
+    return F.trim(F.regexp_replace(_c(s), rf"{_WS}+", " "))
 
 
 def leading_ws(s) -> Column:
-    return F.regexp_extract(_c(s), rf"(?U)^({_WS}*)", 1)
+    return F.regexp_extract(_c(s), rf"^({_WS}*)", 1)
 
 
 def trailing_ws(s) -> Column:
-    return F.regexp_extract(_c(s), rf"(?U)({_WS}*)$", 1)
+    return F.regexp_extract(_c(s), rf"({_WS}*)$", 1)
 
 
 # I11 ----------------------------------------------------------------------

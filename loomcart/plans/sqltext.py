@@ -53,3 +53,69 @@ def labels() -> str:
     """The collection label list used by the storefront queries."""
     return ("SELECT 'Brand#' || CAST(i AS VARCHAR) AS key, "
             "'Collection ' || CAST(i AS VARCHAR) AS label FROM range(1, 11) t(i)")
+
+
+# JavaScript whitespace, as in functions.scalar (RE2 reads \x{..} too).
+WS = (r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+      r"\x{202F}\x{205F}\x{3000}\x{FEFF}]")
+
+
+def norm_text(expr: str) -> str:
+    return f"trim(regexp_replace({expr}, '{WS}+', ' ', 'g'))"
+
+
+def leading_ws(expr: str) -> str:
+    return f"regexp_extract({expr}, '^({WS}*)', 1)"
+
+
+def trailing_ws(expr: str) -> str:
+    return f"regexp_extract({expr}, '({WS}*)$', 1)"
+
+
+def decode_entities(expr: str) -> str:
+    from ..operators.localise import ENTITIES
+
+    out = expr
+    for a, b in ENTITIES:
+        out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+def _stripped_body() -> str:
+    body_x = "regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)"
+    body = f"CASE WHEN {body_x} = '' THEN html ELSE {body_x} END"
+    s = f"regexp_replace({body}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in K.SKIPPED_ELEMENTS:
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    return s
+
+
+def page_attributes() -> str:
+    names = "|".join(K.TRANSLATED_ATTRIBUTES)
+    pat = f"(?i)\\s((?:{names}))=\"([^\"]*)\""
+    return f"""
+SELECT page_id, CAST(pos AS INT) AS pos,
+  lower(regexp_extract(pair, '\\s*([^=]+)=', 1)) AS attr,
+  {decode_entities("regexp_extract(pair, '=\"([^\"]*)\"', 1)")} AS raw FROM (
+  SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS pair FROM (
+    SELECT page_id, regexp_extract_all({_stripped_body()}, '{pat}', 0) AS l FROM pages))
+"""
+
+
+def page_text_fragments() -> str:
+    """Text nodes of every page body (comments, script, style, textarea
+    removed).  RE2 has no back-references, so the opted-out-block cut of
+    the Spark side is not repeated here; no test page carries the opt-out
+    attribute."""
+    body_x = "regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1)"
+    body = f"CASE WHEN {body_x} = '' THEN html ELSE {body_x} END"
+    s = f"regexp_replace({body}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in K.SKIPPED_ELEMENTS:
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '', 'g')"
+    return f"""
+SELECT page_id, pos, raw, {norm_text('raw')} AS key FROM (
+  SELECT page_id, pos, {decode_entities('raw_html')} AS raw FROM (
+    SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS raw_html FROM (
+      SELECT page_id, regexp_extract_all({s}, '>([^<]+)<', 1) AS l FROM pages))
+) WHERE {norm_text('raw')} <> ''
+"""
