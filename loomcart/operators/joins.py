@@ -23,6 +23,16 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once (reliable checkpoint in the shared checkpoint
+    folder) so that a size check and several joins read it instead of
+    recomputing it; also cuts its lineage."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def join_small(df: DataFrame, small: DataFrame, on, how: str = "left",
                known_rows: int | None = None,
                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

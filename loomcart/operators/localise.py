@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import functions as fn
-from .joins import join_small
+from .joins import join_small, materialize
 
 # --- Fixed values: character references decoded in text (HTML standard) ----
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -84,10 +84,13 @@ def translate(df: DataFrame, col: str, dictionary: DataFrame,
     """Translated text, or the text itself when the dictionary lacks it.
 
     ``dictionary`` has (src, dst) with src already normalised and one row
-    per src.  It is broadcast when a bounded count shows it small, else
-    joined with a shuffle.
+    per src.  It is written once (``materialize``) unless the caller did so,
+    then broadcast when a bounded count shows it small, else joined with a
+    shuffle.
     """
     d = dictionary.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    if not getattr(dictionary, "_loomcart_materialized", False):
+        d = materialize(d)
     j = join_small(df, d, fn.norm_text(col) == F.col("__src"), "left")
     hit = F.col("__dst").isNotNull() & (F.col("__dst") != "")
     val = F.when(hit, F.concat(fn.leading_ws(col), F.col("__dst"), fn.trailing_ws(col))
@@ -95,6 +98,13 @@ def translate(df: DataFrame, col: str, dictionary: DataFrame,
     return j.withColumn(out_col or f"{col}_t", val).drop("__src", "__dst")
 
 
+def materialized(dictionary: DataFrame) -> DataFrame:
+    """A dictionary written once, for use in several ``translate`` calls."""
+    d = materialize(dictionary)
+    d._loomcart_materialized = True
+    return d
+
+
 def page_dictionary(fragments: DataFrame, min_pages: int = 2) -> DataFrame:
     """A dictionary sliced from the pages: every normalised fragment found on
     at least ``min_pages`` pages, with a marked stand-in translation."""

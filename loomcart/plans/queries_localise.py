@@ -99,7 +99,7 @@ def q_translate_products(spark, d):
     px = M.products(spark, d, extended=True)
     frags = lo.text_fragments(M.table(spark, d, "pages"))
     base = lo.page_dictionary(frags).select("src", "dst")
-    ov = lo.overlay_dictionary(base, lo.translation_pairs(px))
+    ov = lo.materialized(lo.overlay_dictionary(base, lo.translation_pairs(px)))
     out = lo.translate(lo.translate(px, "name", ov, "name_t"), "description", ov,
                        "description_t")
     return out.select("id", "name_t", "description_t")
