@@ -21,7 +21,7 @@ from .registry import register
 _EV = "(SELECT event_id, user_id, ts, event_type FROM events)"
 
 
-@register("abandoned_stream", f"""
+_ABANDONED_SQL = f"""
 WITH s AS (SELECT * FROM {_EV} WHERE event_type = 'signup'),
      p AS (SELECT * FROM {_EV} WHERE event_type = 'purchase'),
      w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM p))
@@ -30,7 +30,10 @@ SELECT s.event_id AS pending_id, s.user_id, s.ts FROM s, w
 WHERE s.ts + INTERVAL 20 HOUR < w.wm
   AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = s.user_id
                   AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 20 HOUR)
-""")
+"""
+
+
+@register("abandoned_stream", _ABANDONED_SQL)
 def q_abandoned_stream(spark, d):
     """Signups without purchase within 20 hours, found by a watermarked
     stream-stream outer join (rows whose window closed by the final
@@ -38,6 +41,26 @@ def q_abandoned_stream(spark, d):
     return stm.abandoned_from_events(spark, d)
 
 
+# J2 runs one watermarked input (both event kinds), so its watermark is the
+# latest event of either kind minus the delay; timers fire at ts + 20 hours.
+_ABANDONED_STATE_SQL = f"""
+WITH s AS (SELECT * FROM {_EV} WHERE event_type = 'signup'),
+     p AS (SELECT * FROM {_EV} WHERE event_type = 'purchase'),
+     w AS (SELECT (SELECT max(ts) FROM {_EV} WHERE event_type IN ('signup', 'purchase'))
+                  - INTERVAL 1 HOUR AS wm)
+SELECT s.event_id AS pending_id, s.user_id, s.ts FROM s, w
+WHERE s.ts + INTERVAL 20 HOUR <= w.wm
+  AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = s.user_id
+                  AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 20 HOUR)
+"""
+
+
+@register("abandoned_state", _ABANDONED_STATE_SQL)
+def q_abandoned_state(spark, d):
+    """The same abandoned signups from keyed state + event-time timers."""
+    return stm.abandoned_timers_from_events(spark, d)
+
+
 @register("confirm_once_stream", """
 SELECT DISTINCT 'order_' || CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y%m%d')
   AS razorpay_order_id
