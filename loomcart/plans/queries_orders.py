@@ -48,3 +48,32 @@ def q_dangling(spark, d):
     """C8 over the active catalogue: orders whose product is not listed."""
     p = M.products(spark, d).filter(F.col("active"))
     return ops.dangling_orders(M.shop_orders(spark, d), p)
+
+
+_DOC_COLS = ["id", "product_id", "product_name", "customer_name", "customer_phone",
+             "customer_email", "customer_address", "size", "quantity", "price_paid",
+             "status", "tracking_number", "notes", "razorpay_order_id",
+             "razorpay_payment_id", "payment_status"]
+
+
+@register("order_documents", M.cte(o=M.FULL_ORDERS_SQL, p=M.PRODUCTS_SQL) + f"""
+SELECT o.id, o.product_id, p.name AS product_name, o.customer_name, o.customer_phone,
+  o.customer_email, o.customer_address, o.size, o.quantity, o.price_paid, o.status,
+  o.tracking_number, o.notes, o.razorpay_order_id, o.razorpay_payment_id, o.payment_status,
+  strftime(o.ordered_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS ordered_at,
+  strftime(o.updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at
+FROM o LEFT JOIN p ON o.product_id = p.id
+""")
+def q_order_documents(spark, d):
+    """A3 + A2 + I15 + F5: orders written as JSON documents to a new path,
+    read back with the document schema, newest first."""
+    from .. import functions as fn
+    from ..session import scratch_path
+    from ..sources import read_order_json, write_order_json
+
+    docs = ops.with_product_name(M.full_orders(spark, d), M.products(spark, d))
+    docs = docs.select(*_DOC_COLS, fn.iso_utc("ordered_at").alias("ordered_at"),
+                       fn.iso_utc("updated_at").alias("updated_at"))
+    path = scratch_path(spark, "order-docs")
+    write_order_json(docs, path)
+    return ops.newest_first(read_order_json(spark, path, multiline=False))
