@@ -102,7 +102,12 @@ FROM part
 
 # --- orders ------------------------------------------------------------------
 
-def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Shop status -> source order-status code (the inverse of the mapping below),
+# so a status filter becomes a plain equality the parquet reader can push.
+STATUS_CODE = {"received": "O", "confirmed": "P", "shipped": "F"}
+
+
+def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
     """One row per (order, part): id, product_id, custkey, quantity, ..
 
     Lines are pre-aggregated per (order, part) before the join with
@@ -112,6 +117,8 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
+    if status is not None:
+        o = o.filter(F.col("o_orderstatus") == F.lit(STATUS_CODE.get(status, "")))
     lines = (li.groupBy("l_orderkey", "l_partkey")
                .agg(F.sum("l_quantity").alias("q"),
                     F.sum("l_extendedprice").alias("v")))

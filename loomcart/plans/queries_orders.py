@@ -21,7 +21,8 @@ WHERE so.status = 'received'
 """)
 def q_list_orders(spark, d):
     """C1 + B3 + B9 + F2: received orders with product fields, newest first."""
-    return ops.list_orders(M.shop_orders(spark, d), M.products(spark, d), "received")
+    so = M.shop_orders(spark, d, status="received")     # pushed to the orders scan
+    return ops.list_orders(so, M.products(spark, d), "received")
 
 
 @register("list_orders_all", M.cte(so=M.SHOP_ORDERS_SQL, p=M.PRODUCTS_SQL) + """
