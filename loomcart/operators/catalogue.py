@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .joins import join_small
+from .ranking import keyed_row_number
 
 
 # B1 -------------------------------------------------------------------------
@@ -82,14 +83,12 @@ DEDUPE_KEY = ["gender", "collection", "name", "size"]
 def rank_duplicates(p: DataFrame) -> DataFrame:
     """Keep-best rank among active rows: highest stock, then lowest id.
 
-    NULL sizes form one partition, as in SQL.  The window shuffles on the
-    four-column key; a group is the copies of one product, so its size is
-    the number of copies.  Where copies of one key may be very many, use
-    ``best_copy`` which needs no window.
+    NULL sizes form one group, as in SQL.  Numbered with
+    ``keyed_row_number`` (range-partitioned, offsets per partition), so
+    the copies of one product may be arbitrarily many.
     """
-    w = Window.partitionBy(*DEDUPE_KEY).orderBy(F.col("stock").desc(), F.col("id").asc())
-    return active_products(p).select("id", *DEDUPE_KEY, "stock",
-                                     F.row_number().over(w).alias("rn"))
+    a = active_products(p).select("id", *DEDUPE_KEY, "stock")
+    return keyed_row_number(a, DEDUPE_KEY, [F.col("stock").desc(), F.col("id").asc()], "rn")
 
 
 def best_copy(p: DataFrame) -> DataFrame:
@@ -120,47 +119,42 @@ CARD_KEY = ["gender", "collection", "name"]
 
 
 def product_cards(p: DataFrame) -> DataFrame:
-    """Group size variants into one card per product.
-
-    Card attributes (price, image, description) come from the first row in
-    listing order (``min_by`` over the listing key; never ``first``).
-    Variants are ordered by size rank (unknown 99), ties kept in listing
-    order.  ``any_in_stock`` and ``sized`` are boolean aggregates.
-
-    Grouping is by gender, collection and name (the page groups one
-    gender+collection listing by name).  ``collect_list`` gathers one
-    product's size variants -- a handful per card.
+    """One card per product (gender, collection, name): its attributes.
+
+    Price, image and description come from the first row in listing order
+    (``min_by`` over the listing key; never ``first``); ``any_in_stock``
+    and ``sized`` are boolean aggregates; ``n_variants`` counts the rows.
+    All are plain aggregates, reduced map-side, so a card with very many
+    rows costs no single task more than its share.  The variants
+    themselves are rows of ``card_variants``.
     """
     a = active_products(p)
     order_key = F.struct(F.col("collection"), F.col("name"),
                          F.col("size").isNull(), F.col("size"), F.col("id"))
     attr_cols = [c for c in ("price", "image", "description") if c in a.columns]
     first = F.min_by(F.struct(*[F.col(c) for c in attr_cols]), order_key)
-    variant = F.struct(fn.size_rank("size").alias("rank"),
-                       F.col("size").isNull().alias("size_null"),
-                       F.col("size").alias("size_key"),
-                       F.col("id").alias("id"),
-                       F.col("size").alias("size"),
-                       F.col("stock").alias("stock"))
     cards = a.groupBy(*CARD_KEY).agg(
         first.alias("first"),
-        F.array_sort(F.collect_list(variant)).alias("v"),
         F.bool_or(F.col("stock") > 0).alias("any_in_stock"),
         F.bool_or(fn.truthy_text("size")).alias("sized"),
         F.count(F.lit(1)).cast("int").alias("n_variants"),
     )
-    variants = F.transform(F.col("v"), lambda x: F.struct(x["size"].alias("size"),
-                                                        x["stock"].alias("stock")))
     return cards.select(*CARD_KEY, *[F.col("first")[c].alias(c) for c in attr_cols],
-                        variants.alias("variants"), "any_in_stock", "sized",
-                        "n_variants",
-                        fn.out_markers(variants).alias("variant_out"))
+                        "any_in_stock", "sized", "n_variants")
+
 
+def variant_order() -> list[Column]:
+    """Storefront variant order: size rank (unknown 99), then listing order."""
+    return [fn.size_rank("size").asc(), F.col("size").isNull().asc(),
+            F.col("size").asc(), F.col("id").asc()]
 
-def variants_text(variants: Column) -> Column:
-    """Flat text of a variants array: 'S:3|M:0|-:5' (NULL size as '-')."""
-    return F.array_join(F.transform(variants, lambda v: F.concat(
-        F.coalesce(v["size"], F.lit("-")), F.lit(":"), v["stock"].cast("string"))), "|")
+
+def card_variants(p: DataFrame) -> DataFrame:
+    """The variants of every card, one row each, with their position on the
+    card (``pos`` from 1) and the sold-out marker (stock <= 0)."""
+    a = active_products(p).select(*CARD_KEY, "id", "size", "stock")
+    ranked = keyed_row_number(a, CARD_KEY, variant_order(), "pos")
+    return ranked.withColumn("out", F.col("stock") <= 0)
 
 
 # B11 ------------------------------------------------------------------------
@@ -170,41 +164,50 @@ def catalogue_items(c: DataFrame) -> DataFrame:
 
 
 def nested_catalogue(p: DataFrame) -> DataFrame:
-    """Nested catalogue built from products: per collection, the sorted
-    distinct product names as an array (the literal catalogue's shape)."""
+    """Nested catalogue records built from products, one per active product:
+    key (id), name, and its words as the ``items`` array (the literal
+    catalogue's shape; each array is bounded by its own row)."""
     a = active_products(p)
-    return (a.groupBy(F.col("collection").alias("key"))
-            .agg(F.array_sort(F.collect_set("name")).alias("items"))
-            .withColumn("name", F.col("key")))
+    return a.select(F.col("id").cast("string").alias("key"), "name",
+                    F.split("name", " ").alias("items"))
 
 
 # C9 -------------------------------------------------------------------------
 def resolve_variant(req: DataFrame, p: DataFrame) -> DataFrame:
-    """Resolve (name[, size]) requests to one product row.
+    """Resolve (gender, name[, size]) requests to one product row.
 
     The storefront searches the gender listing for the first row with that
     name and, if a size was picked, that size.  Without a size the first
     row in listing order wins (so 'L' before 'M' before 'S', even if sold
-    out) -- kept for parity.  Equi-join on name keeps it a hash join; the
-    size test is a residual.  Requests need a unique ``request_id``.
+    out) -- kept for parity.  Requests need a unique ``request_id``.
+
+    Candidates are first reduced to the single best row per (gender, name)
+    and per (gender, name, size) -- plain aggregates, reduced map-side --
+    so each request meets at most one candidate: no request x variant
+    pairs, however many copies a name has.
     """
-    cand = active_products(p).select(
-        F.col("id").alias("product_id"), F.col("gender").alias("p_gender"),
-        F.col("collection").alias("p_collection"), F.col("name").alias("p_name"),
-        F.col("size").alias("p_size"), F.col("stock").alias("p_stock"))
+    a = active_products(p)
+    order = F.struct(F.col("collection"), F.col("name"), F.col("size").isNull(),
+                     F.col("size"), F.col("id"))
+    best = F.min_by(F.struct(F.col("id").alias("product_id"), F.col("size").alias("resolved_size"),
+                             F.col("stock").alias("resolved_stock")), order)
+    any_size = (a.groupBy("gender", "name").agg(best.alias("b"))
+                .select(F.col("gender").alias("__g"), F.col("name").alias("__n"), "b"))
+    by_size = (a.filter(F.col("size").isNotNull()).groupBy("gender", "name", "size")
+               .agg(best.alias("b"))
+               .select(F.col("gender").alias("__g"), F.col("name").alias("__n"),
+                       F.col("size").alias("__s"), "b"))
     has_size = fn.truthy_text("size")
-    cond = ((F.col("name") == F.col("p_name"))
-            & (F.col("gender") == F.col("p_gender"))
-            & (~has_size | (F.col("size") == F.col("p_size"))))
-    j = req.join(cand, cond, "left")
-    order = F.struct(F.col("p_collection"), F.col("p_name"), F.col("p_size").isNull(),
-                     F.col("p_size"), F.col("product_id"))
-    best = (j.groupBy("request_id")
-            .agg(F.min_by(F.struct("product_id", "p_size", "p_stock"), order).alias("b")))
-    return (req.join(best, "request_id", "left")
-            .select(*req.columns, F.col("b.product_id").alias("product_id"),
-                    F.col("b.p_size").alias("resolved_size"),
-                    F.col("b.p_stock").alias("resolved_stock")))
+    sized = req.filter(has_size)
+    unsized = req.filter(~has_size)
+    j1 = sized.join(by_size, (F.col("gender") == F.col("__g")) & (F.col("name") == F.col("__n"))
+                    & (F.col("size") == F.col("__s")), "left")
+    j2 = unsized.join(any_size, (F.col("gender") == F.col("__g"))
+                      & (F.col("name") == F.col("__n")), "left")
+    cols = [*[F.col(c) for c in req.columns], F.col("b.product_id").alias("product_id"),
+            F.col("b.resolved_size").alias("resolved_size"),
+            F.col("b.resolved_stock").alias("resolved_stock")]
+    return j1.select(*cols).unionByName(j2.select(*cols))
 
 
 # K4 -------------------------------------------------------------------------

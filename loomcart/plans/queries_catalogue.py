@@ -36,12 +36,11 @@ FROM p WHERE active AND gender = 'SMALL'
 """)
 def q_list_products_gender(spark, d):
     """B2 with one filter; F1 position within each collection (NULL size last)."""
-    from pyspark.sql import Window
+    from ..operators.ranking import keyed_row_number
 
-    w = Window.partitionBy("collection").orderBy(
-        F.col("name"), F.col("size").asc_nulls_last(), F.col("id"))
-    return (cat.list_products(M.products(spark, d), "SMALL", sort=False)
-            .withColumn("pos", F.row_number().over(w)))
+    listed = cat.list_products(M.products(spark, d), "SMALL", sort=False)
+    return keyed_row_number(listed, ["collection"], [
+        F.col("name").asc(), F.col("size").asc_nulls_last(), F.col("id").asc()], "pos")
 
 
 @register("inventory_counts", M.cte(p=M.PRODUCTS_SQL) + """
@@ -86,27 +85,30 @@ def q_best_copy(spark, d):
 _CARD_ORDER = f"{Q.size_rank('size')}, size IS NULL, size, id"
 
 
-@register("product_cards", M.cte(p=M.PRODUCTS_EXT_SQL) + f"""
+@register("product_cards", M.cte(p=M.PRODUCTS_EXT_SQL) + """
 SELECT gender, collection, name,
   first(price ORDER BY size IS NULL, size, id) AS price,
   first(image ORDER BY size IS NULL, size, id) AS image,
   first(description ORDER BY size IS NULL, size, id) AS description,
   bool_or(stock > 0) AS any_in_stock,
   bool_or(size IS NOT NULL AND size <> '') AS sized,
-  CAST(count(*) AS INT) AS n_variants,
-  string_agg(coalesce(size, '-') || ':' || CAST(stock AS VARCHAR), '|' ORDER BY {_CARD_ORDER}) AS variants_text,
-  string_agg(CASE WHEN stock <= 0 THEN '1' ELSE '0' END, '' ORDER BY {_CARD_ORDER}) AS out_text
+  CAST(count(*) AS INT) AS n_variants
 FROM p WHERE active GROUP BY gender, collection, name
 """)
 def q_product_cards(spark, d):
-    """D3 + D4 + F4 + I17: product cards with sorted variants."""
-    cards = cat.product_cards(M.products(spark, d, extended=True))
-    return cards.select(
-        "gender", "collection", "name", "price", "image", "description",
-        "any_in_stock", "sized", "n_variants",
-        cat.variants_text(F.col("variants")).alias("variants_text"),
-        F.array_join(F.transform("variant_out", lambda b: F.when(b, "1").otherwise("0")),
-                     "").alias("out_text"))
+    """D3 + D4: one card per product with its attributes."""
+    return cat.product_cards(M.products(spark, d, extended=True))
+
+
+@register("card_variants", M.cte(p=M.PRODUCTS_SQL) + f"""
+SELECT gender, collection, name, id, size, stock,
+  row_number() OVER (PARTITION BY gender, collection, name ORDER BY {_CARD_ORDER}) AS pos,
+  stock <= 0 AS out
+FROM p WHERE active
+""")
+def q_card_variants(spark, d):
+    """D3 + F4 + I17: card variants in storefront order, sold-out marker."""
+    return cat.card_variants(M.products(spark, d))
 
 
 @register("storefront", M.cte(p=M.PRODUCTS_EXT_SQL, lab=Q.labels()) + f"""
@@ -123,13 +125,12 @@ def q_storefront(spark, d):
 
 
 @register("catalogue_items", M.cte(p=M.PRODUCTS_SQL) + """
-SELECT key, name, CAST(pos - 1 AS INT) AS pos, item FROM (
-  SELECT collection AS key, collection AS name,
-         row_number() OVER (PARTITION BY collection ORDER BY pname) AS pos, pname AS item
-  FROM (SELECT DISTINCT collection, name AS pname FROM p WHERE active))
+SELECT CAST(id AS VARCHAR) AS key, name, unnest(range(0, len(string_split(name, ' ')))) AS pos,
+       unnest(string_split(name, ' ')) AS item
+FROM p WHERE active
 """)
 def q_catalogue_items(spark, d):
-    """Nested catalogue (per collection, its product names) flattened."""
+    """Nested catalogue records flattened to (key, name, pos, item)."""
     return cat.catalogue_items(cat.nested_catalogue(M.products(spark, d)))
 
 
@@ -149,7 +150,7 @@ cand AS (
 SELECT r.request_id, r.gender, r.name, r.size, c.product_id,
        c.p_size AS resolved_size, c.p_stock AS resolved_stock
 FROM req r LEFT JOIN cand c ON c.request_id = r.request_id AND c.k = 1
-""".replace("WITH so AS", "WITH so AS", 1))
+""")
 def q_resolve_variant(spark, d):
     """Each order line re-resolved from (gender, name[, size]).
 

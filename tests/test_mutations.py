@@ -131,9 +131,31 @@ def test_assign_ids_dense_across_partitions(spark):
 
 def test_product_cards_variant_order(spark):
     p = products(spark, [(1, "m", "c", "A", "L", 10, 0, True), (2, "m", "c", "A", "S", 12, 2, True),
-                         (3, "m", "c", "A", "38", 11, 1, True), (4, "m", "c", "A", None, 9, 1, True)])
-    card = cat.product_cards(p).first()
-    assert [v.size for v in card.variants] == ["S", "L", "38", None]
-    assert card.price == 11          # listing order sorts '38' before 'L' and 'S'
-    assert card.any_in_stock and card.sized
-    assert list(card.variant_out) == [False, True, False, False]
+                         (3, "m", "c", "A", "38", 11, 1, True), (4, "m", "c", "A", None, 9, 1, True),
+                         (5, "m", "c", "B", None, 5, 0, True)])
+    cards = {r.name: r for r in cat.product_cards(p).collect()}
+    assert cards["A"].price == 11     # listing order sorts '38' before 'L' and 'S'
+    assert cards["A"].any_in_stock and cards["A"].sized and cards["A"].n_variants == 4
+    assert not cards["B"].any_in_stock and not cards["B"].sized
+    v = cat.card_variants(p).filter("name = 'A'").orderBy("pos").collect()
+    assert [(r.size, r.pos, r.out) for r in v] == [
+        ("S", 1, False), ("L", 2, True), ("38", 3, False), (None, 4, False)]
+
+
+def test_keyed_row_number_hot_key_equals_window(spark):
+    from pyspark.sql import Window
+
+    from loomcart.operators.ranking import keyed_row_number
+
+    df = spark.range(0, 5000, numPartitions=7).select(
+        "id", F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(
+            (F.col("id") % 13).cast("string")).alias("k"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 17).alias("g"),
+        ((F.col("id") * 7919) % 1000).alias("v"))
+    order = [F.col("v").desc(), F.col("id").asc()]
+    w = Window.partitionBy("k", "g").orderBy(*order)
+    want = {(r.id, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    for parts in (1, 5, 23):
+        got = {(r.id, r.rn) for r in keyed_row_number(df, ["k", "g"], order, "rn",
+                                                      partitions=parts).collect()}
+        assert got == want
