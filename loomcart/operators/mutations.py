@@ -154,6 +154,8 @@ def patch_products(p: DataFrame, patches: DataFrame, seq: str | None = "seq") ->
     per_field = (entries.filter(F.col("e").isNotNull())
                  .groupBy("id", F.col("e.key").alias("k"))
                  .agg(F.max_by(F.col("e.value"), F.col("__seq")).alias("v")))
+    # One entry per (id, allowed field): each map holds at most the 12
+    # allowed fields, whatever the number of patches.
     merged = per_field.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ch"))
     ids = patches.select("id").distinct()

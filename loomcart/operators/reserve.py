@@ -230,16 +230,29 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumn(QTY, q)
 
 
-def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = None):
+ROWS_PER_PARTITION = 2_000_000
+
+
+def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = None,
+                  rows_per_partition: int = ROWS_PER_PARTITION):
     """Serve reservation requests in arrival order against product stock.
 
     requests: request_id, product_id, qty, ts.  Returns (outcomes, products):
     outcomes has request_id, product_id, qty, accepted, remaining_after and
     ``outcome`` (reserved / sold_out / invalid_quantity / no_product);
     products is ``p`` with stock reduced by the accepted quantities.
+
+    A partition is held in one Python worker while it is folded; the
+    partition count is therefore at least count / ``rows_per_partition``
+    (one counting job), and range partitioning on the unique (product, ts,
+    id) key keeps partitions even however the products are skewed.
     """
     spark = requests.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if n is None:
+        base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = requests.count()
+        n = max(base, -(-rows // rows_per_partition))
     r = normalise_requests(requests).select(RID, KEY, QTY, TS)
     stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
     known = r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")

@@ -102,3 +102,65 @@ def q_reserve_products(spark, d):
     """Stock left per product after the reservations."""
     _, p = st.reserve_stock(M.products(spark, d), reservation_requests(spark, d))
     return p.select("id", "stock")
+
+
+def checkout_requests(spark, d):
+    """Checkout requests from every order line: the card the customer saw
+    (gender, name; the size only for received orders), its price text,
+    quantity 1 (the storefront's), the customer's contact fields, and a
+    receipt for large lines."""
+    from .. import functions as fn
+
+    so = M.shop_orders(spark, d)
+    p = M.products(spark, d).select(F.col("id").alias("__pid"), "gender", "name", "size",
+                                    "price")
+    c = M.customers(spark, d)
+    j = so.join(p, so.product_id == F.col("__pid")).join(c, "custkey", "left")
+    return j.select(
+        so.id.alias("request_id"), "gender", "name",
+        F.when(so.status == "received", F.col("size")).alias("size"),
+        fn.rupees("price").alias("price_text"), F.lit(1).alias("quantity"),
+        "customer_name", "customer_phone", "customer_email", "customer_address",
+        F.when(so.quantity > 30, F.concat(F.lit("rc_"), so.id.cast("string")))
+         .otherwise(F.lit("")).alias("receipt"),
+        F.col("ordered_at").alias("ts"))
+
+
+_CHECKOUT_SQL = M.cte(so=_SO, p=_P, c=M.CUSTOMERS_SQL) + f""",
+req AS (SELECT so.id AS request_id, p.gender, p.name,
+               CASE WHEN so.status = 'received' THEN p.size END AS size, p.price,
+               c.customer_name, c.customer_phone, c.customer_email, c.customer_address,
+               CASE WHEN so.quantity > 30 THEN 'rc_' || CAST(so.id AS VARCHAR) ELSE '' END AS receipt,
+               so.ordered_at AS ts
+        FROM so JOIN p ON so.product_id = p.id LEFT JOIN c ON so.custkey = c.custkey),
+cand AS (SELECT r.request_id, q.id AS product_id,
+                row_number() OVER (PARTITION BY r.request_id
+                                   ORDER BY q.collection, q.name, q.size IS NULL, q.size, q.id) AS k
+         FROM req r JOIN p q ON q.active AND q.name = r.name AND q.gender = r.gender
+              AND (r.size IS NULL OR r.size = '' OR r.size = q.size)),
+pre AS (SELECT r.request_id, cd.product_id, CAST(round(r.price * 100) AS BIGINT) AS amount_paise,
+               substr(coalesce(nullif(r.receipt, ''),
+                      'rcpt_' || CAST(epoch_ms(TIMESTAMP '{AS_OF}') AS VARCHAR)), 1, 40) AS receipt_id,
+               CASE WHEN coalesce(r.customer_name, '') = '' OR coalesce(r.customer_phone, '') = ''
+                         OR coalesce(r.customer_email, '') = '' OR coalesce(r.customer_address, '') = ''
+                    THEN 'invalid_form'
+                    WHEN round(r.price * 100) < 100 THEN 'invalid_amount'
+                    WHEN cd.product_id IS NULL THEN 'no_product' END AS pre_outcome,
+               r.ts
+        FROM req r LEFT JOIN cand cd ON cd.request_id = r.request_id AND cd.k = 1),
+res AS (SELECT request_id, row_number() OVER (PARTITION BY product_id ORDER BY ts, request_id) AS rn
+        FROM pre WHERE pre_outcome IS NULL)
+SELECT pre.request_id, pre.product_id, pre.amount_paise, pre.receipt_id,
+       coalesce(pre.pre_outcome, CASE WHEN res.rn <= p.stock THEN 'reserved' ELSE 'sold_out' END)
+         AS outcome
+FROM pre LEFT JOIN res ON pre.request_id = res.request_id LEFT JOIN p ON pre.product_id = p.id
+"""
+
+
+@register("checkout", _CHECKOUT_SQL)
+def q_checkout(spark, d):
+    """Checkout over every order line: C9 -> B6 -> I5/I6 -> B7 -> I12 -> H13.
+    (Unit quantities, so the oracle's reservation is a row number.)"""
+    from ..operators.checkout import checkout
+
+    return checkout(M.products(spark, d), checkout_requests(spark, d), AS_OF)
