@@ -203,3 +203,35 @@ def q_scalar_functions(spark, d):
         fn.variant_display_name("name", "size").alias("variant_name"),
         fn.to_paise("price").alias("paise"),
         fn.to_rupees(F.col("price") * 100).alias("rupees_back"))
+
+
+@register("product_json_rows", M.cte(p=M.PRODUCTS_SQL) + """
+SELECT id, to_json(struct_pack(id := id, gender := gender, collection := collection, name := name,
+                               size := size, price := price, stock := stock, active := active))
+         AS json
+FROM p WHERE active
+""")
+def q_product_json_rows(spark, d):
+    """A4: the listing's rows as JSON texts (NULLs kept)."""
+    from ..sources import to_json_rows
+
+    listed = cat.list_products(M.products(spark, d), sort=False)
+    return to_json_rows(listed, keep=["id"])
+
+
+@register("products_snapshot", M.cte(p=M.PRODUCTS_SQL) + """
+SELECT id, gender, collection, name, size, price, stock, CAST(NULL AS VARCHAR) AS image,
+       CAST(NULL AS VARCHAR) AS description, active, CAST(NULL AS TIMESTAMP) AS created_at,
+       CAST(NULL AS VARCHAR) AS name_bn, CAST(NULL AS VARCHAR) AS description_bn,
+       CAST(NULL AS VARCHAR) AS sku
+FROM p
+""")
+def q_products_snapshot(spark, d):
+    """A1 + A8: a products snapshot written with the older column set and
+    read back through the additive migration (missing columns added)."""
+    from ..session import scratch_path
+    from ..sources import load_products
+
+    path = scratch_path(spark, "products-snapshot")
+    M.products(spark, d).write.parquet(path)
+    return load_products(spark, path)

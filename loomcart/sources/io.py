@@ -64,9 +64,16 @@ def write_order_json(df: DataFrame, path: str) -> None:
 
 
 # A4 -------------------------------------------------------------------------
-def to_json_rows(df: DataFrame, column: str = "json") -> DataFrame:
-    """One JSON text per row, all columns (the API's response rows)."""
-    return df.select(F.to_json(F.struct("*")).alias(column))
+def to_json_rows(df: DataFrame, column: str = "json", keep: list[str] | None = None,
+                 keep_nulls: bool = True) -> DataFrame:
+    """One JSON text per row, all columns (the API's response rows).
+
+    NULL fields are written as ``null`` (as the database driver's rows are
+    serialised), unless ``keep_nulls`` is False.  ``keep`` columns are
+    carried beside the text.
+    """
+    opts = {"ignoreNullFields": "false" if keep_nulls else "true"}
+    return df.select(*(keep or []), F.to_json(F.struct("*"), opts).alias(column))
 
 
 # A5 -------------------------------------------------------------------------
