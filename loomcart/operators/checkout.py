@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .catalogue import resolve_variant
+from .joins import materialize
 from .quality import ORDER_FORM, validate_amount, validate_required
 from .reserve import reserve_stock
 
@@ -33,7 +34,9 @@ def checkout(p: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     pre = (F.when(F.size("reasons") > 0, F.lit("invalid_form"))
            .when(~F.col("amount_ok"), F.lit("invalid_amount"))
            .when(F.col("product_id").isNull(), F.lit("no_product")))
-    r = r.withColumn("pre_outcome", pre)
+    # Written once (reliable checkpoint): both the reservation input and the
+    # final outcome read it.
+    r = materialize(r.withColumn("pre_outcome", pre))
     to_reserve = r.filter(F.col("pre_outcome").isNull()).select(
         "request_id", "product_id", F.col("quantity").alias("qty"), "ts")
     served, _ = reserve_stock(p, to_reserve)

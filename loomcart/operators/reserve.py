@@ -248,14 +248,17 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     id) key keeps partitions even however the products are skewed.
     """
     spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    r = normalise_requests(requests).select(RID, KEY, QTY, TS)
+    stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
+    # Written once: the count, the range-partition sample and the layout
+    # below all read these files instead of recomputing the request plan.
+    known = (r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
+             .checkpoint(eager=True))
     n = partitions
     if n is None:
         base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = requests.count()
-        n = max(base, -(-rows // rows_per_partition))
-    r = normalise_requests(requests).select(RID, KEY, QTY, TS)
-    stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
-    known = r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
+        n = max(base, -(-known.count() // rows_per_partition))
     other = (r.join(known.select(RID), RID, "left_anti")
              .join(stock, KEY, "left")
              .select(RID, KEY, QTY, F.lit(False).alias("accepted"),
@@ -264,7 +267,6 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
                       .when(F.col(QTY) <= 0, F.lit("invalid_quantity"))
                       .otherwise(F.lit("sold_out")).alias("outcome")))
 
-    ensure_checkpoint_dir(spark)
     laid = (known.repartitionByRange(n, KEY, TS, RID)
             .sortWithinPartitions(KEY, TS, RID)
             .checkpoint(eager=True))
