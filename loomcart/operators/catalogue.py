@@ -58,13 +58,14 @@ def with_stock_flag(p: DataFrame) -> DataFrame:
 
 # C10 ------------------------------------------------------------------------
 def with_label(df: DataFrame, labels: DataFrame, key_col: str,
-               out_col: str = "label") -> DataFrame:
+               out_col: str = "label", known_rows: int | None = None) -> DataFrame:
     """Display label for a key; the key itself when no label exists.
 
-    ``labels`` is a short fixed list, joined by a size-checked broadcast.
+    ``labels`` is a short list, broadcast when its size is known (a fixed
+    list) or shown small by a bounded count.
     """
     lab = labels.select(F.col("key").alias("__k"), F.col("label").alias("__l"))
-    j = join_small(df, lab, F.col(key_col) == F.col("__k"), "left")
+    j = join_small(df, lab, F.col(key_col) == F.col("__k"), "left", known_rows=known_rows)
     return j.withColumn(out_col, F.coalesce(F.col("__l"), F.col(key_col))).drop("__k", "__l")
 
 
@@ -212,10 +213,10 @@ def resolve_variant(req: DataFrame, p: DataFrame) -> DataFrame:
 
 # K4 -------------------------------------------------------------------------
 def storefront(p: DataFrame, labels: DataFrame, gender: str | None = None,
-               collection: str | None = None) -> DataFrame:
+               collection: str | None = None, label_rows: int | None = None) -> DataFrame:
     """One row per listed variant as the shop page shows it."""
     listed = list_products(p, gender, collection, sort=False)
-    listed = with_label(listed, labels, "collection", "collection_label")
+    listed = with_label(listed, labels, "collection", "collection_label", label_rows)
     return listed.select(
         "id", "gender", "collection", "collection_label", "name", "size",
         fn.rupees("price").alias("price_text"),

@@ -121,7 +121,8 @@ WHERE p.active
 """)
 def q_storefront(spark, d):
     """K4 (B1, B5, C10, I4, I8, I16) over the whole active catalogue."""
-    return cat.storefront(M.products(spark, d, extended=True), M.collection_labels(spark))
+    return cat.storefront(M.products(spark, d, extended=True), M.collection_labels(spark),
+                          label_rows=M.LABEL_ROWS)
 
 
 @register("catalogue_items", M.cte(p=M.PRODUCTS_SQL) + """

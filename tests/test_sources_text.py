@@ -128,3 +128,18 @@ def test_quality_checks(spark):
     p = spark.createDataFrame([(1, "toolonggender", None)], "id long, gender string, name string")
     v = qa.check_constraints(p, ["id", "name"], {"gender": 10}).first().violations
     assert list(v) == ["null name", "too long gender"]
+
+
+def test_load_cached_persists_and_releases(spark):
+    df = spark.range(0, 100).withColumn("x", F.col("id") * 2)
+    with src.load_cached(df) as d:
+        assert d.count() == 100 and d.agg(F.sum("x")).first()[0] == 9900
+        assert d.storageLevel.useMemory or d.storageLevel.useDisk
+    assert not df.storageLevel.useMemory and not df.storageLevel.useDisk
+
+
+def test_seed_rows_schema(spark):
+    s = src.seed_rows(spark)
+    assert s.columns == ["gender", "collection", "name", "size", "price", "stock", "image",
+                         "description"]
+    assert s.count() == len(src.io.SEED_ROWS)
