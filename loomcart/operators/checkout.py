@@ -38,10 +38,11 @@ def checkout(p: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     # final outcome read it.
     r = materialize(r.withColumn("pre_outcome", pre))
     to_reserve = r.filter(F.col("pre_outcome").isNull()).select(
-        "request_id", "product_id", F.col("quantity").alias("qty"), "ts")
-    served, _ = reserve_stock(p, to_reserve)
-    served = served.select("request_id", F.col("outcome").alias("__served"))
-    out = r.join(served, "request_id", "left")
-    return out.select(
+        "request_id", "product_id", F.col("quantity").alias("qty"), "ts",
+        "amount_paise", "receipt_id")
+    served, _ = reserve_stock(p, to_reserve, carry=["amount_paise", "receipt_id"])
+    refused = r.filter(F.col("pre_outcome").isNotNull()).select(
         "request_id", "product_id", "amount_paise", "receipt_id",
-        F.coalesce(F.col("pre_outcome"), F.col("__served")).alias("outcome"))
+        F.col("pre_outcome").alias("outcome"))
+    return served.select("request_id", "product_id", "amount_paise", "receipt_id",
+                         "outcome").unionByName(refused)

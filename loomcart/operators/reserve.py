@@ -193,26 +193,31 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 # ---- pass D: final replay --------------------------------------------------
-def _final(batches):
-    pdf = _frame(batches)
-    if pdf.empty:
-        return
-    cum = _global_cum(pdf)
-    keys = pdf[KEY].to_numpy()
-    q = pdf[QTY].to_numpy().astype(np.int64)
-    stock = pdf[S].to_numpy().astype(np.int64)
-    entry_first = pdf["__entry"].iat[0]
-    acc = np.zeros(len(pdf), dtype=bool)
-    rem = np.zeros(len(pdf), dtype=np.int64)
-    for s, e in _key_runs(keys):
-        st = int(stock[s])
-        entry = None
-        if s == 0 and _starts_past_refusal(int(q[s]), int(cum[s]), st):
-            entry = int(entry_first)
-        a, r = _replay(q[s:e], cum[s:e], st, entry)
-        acc[s:e], rem[s:e] = a, r
-    yield pd.DataFrame({RID: pdf[RID].to_numpy(), KEY: keys, QTY: q,
-                        "accepted": acc, "remaining_after": rem})
+def _final_fn(carry: tuple[str, ...]):
+    def final(batches):
+        pdf = _frame(batches)
+        if pdf.empty:
+            return
+        cum = _global_cum(pdf)
+        keys = pdf[KEY].to_numpy()
+        q = pdf[QTY].to_numpy().astype(np.int64)
+        stock = pdf[S].to_numpy().astype(np.int64)
+        entry_first = pdf["__entry"].iat[0]
+        acc = np.zeros(len(pdf), dtype=bool)
+        rem = np.zeros(len(pdf), dtype=np.int64)
+        for s, e in _key_runs(keys):
+            st = int(stock[s])
+            entry = None
+            if s == 0 and _starts_past_refusal(int(q[s]), int(cum[s]), st):
+                entry = int(entry_first)
+            a, r = _replay(q[s:e], cum[s:e], st, entry)
+            acc[s:e], rem[s:e] = a, r
+        out = pd.DataFrame({RID: pdf[RID].to_numpy(), KEY: keys, QTY: q,
+                            "accepted": acc, "remaining_after": rem})
+        for c in carry:
+            out[c] = pdf[c].to_numpy()
+        yield out
+    return final
 
 
 _FINAL = T.StructType([
@@ -234,7 +239,8 @@ ROWS_PER_PARTITION = 2_000_000
 
 
 def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = None,
-                  rows_per_partition: int = ROWS_PER_PARTITION):
+                  rows_per_partition: int = ROWS_PER_PARTITION,
+                  carry: list[str] | tuple[str, ...] = ()):
     """Serve reservation requests in arrival order against product stock.
 
     requests: request_id, product_id, qty, ts.  Returns (outcomes, products):
@@ -246,10 +252,12 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     partition count is therefore at least count / ``rows_per_partition``
     (one counting job), and range partitioning on the unique (product, ts,
     id) key keeps partitions even however the products are skewed.
+    ``carry`` columns of ``requests`` are passed through to the outcomes.
     """
+    carry = tuple(carry)
     spark = requests.sparkSession
     ensure_checkpoint_dir(spark)
-    r = normalise_requests(requests).select(RID, KEY, QTY, TS)
+    r = normalise_requests(requests).select(RID, KEY, QTY, TS, *carry)
     stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
     # Written once: the count, the range-partition sample and the layout
     # below all read these files instead of recomputing the request plan.
@@ -259,13 +267,19 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     if n is None:
         base = int(spark.conf.get("spark.sql.shuffle.partitions"))
         n = max(base, -(-known.count() // rows_per_partition))
-    other = (r.join(known.select(RID), RID, "left_anti")
-             .join(stock, KEY, "left")
-             .select(RID, KEY, QTY, F.lit(False).alias("accepted"),
-                     F.col(S).alias("remaining_after"),
-                     F.when(F.col(KEY).isNull(), F.lit("no_product"))
-                      .when(F.col(QTY) <= 0, F.lit("invalid_quantity"))
-                      .otherwise(F.lit("sold_out")).alias("outcome")))
+    # Requests that are not folded: found by their own predicates and an
+    # anti join with the product dimension (no join on the request id).
+    invalid = r.filter(F.col(KEY).isNull() | (F.col(QTY) <= 0)).select(
+        RID, KEY, QTY, F.lit(False).alias("accepted"),
+        F.lit(None).cast("long").alias("remaining_after"),
+        F.when(F.col(KEY).isNull(), F.lit("no_product"))
+         .otherwise(F.lit("invalid_quantity")).alias("outcome"), *carry)
+    unknown = (r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0))
+               .join(stock.select(KEY), KEY, "left_anti")
+               .select(RID, KEY, QTY, F.lit(False).alias("accepted"),
+                       F.lit(None).cast("long").alias("remaining_after"),
+                       F.lit("sold_out").alias("outcome"), *carry))
+    other = invalid.unionByName(unknown)
 
     laid = (known.repartitionByRange(n, KEY, TS, RID)
             .sortWithinPartitions(KEY, TS, RID)
@@ -273,12 +287,12 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     laid = laid.withColumn("__pid", F.spark_partition_id())
 
     # Pass A: one summary row per partition; offsets of the carried product.
-    summ = laid.mapInPandas(_summarise, _SUMMARY)
+    summ = laid.select("__pid", KEY, QTY).mapInPandas(_summarise, _SUMMARY)
     w = Window.orderBy("__pid")
-    carry = F.sum("last_total").over(
+    carried = F.sum("last_total").over(
         Window.partitionBy("last_key").orderBy("__pid")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summ = summ.withColumn("carry", carry)
+    summ = summ.withColumn("carry", carried)
     offs = summ.select(
         "__pid", "first_key", "qmax",
         F.lag("last_key").over(w).alias("prev_key"),
@@ -293,7 +307,7 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
 
     # Pass C + composition: entry state of each partition's first product
     # when it arrives past its first refusal.
-    exits = with_off.mapInPandas(_exits, _EXIT)
+    exits = with_off.select("__pid", KEY, QTY, S, "__off", "__qmax").mapInPandas(_exits, _EXIT)
     # Next non-empty partition and its first product (range partitions may
     # be empty), from the one-row-per-partition summary.
     nxt = summ.select("__pid", F.lead("__pid").over(w).alias("next_pid"),
@@ -307,7 +321,8 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     final_in = with_off.join(F.broadcast(entries.select(
         F.col("pid").alias("__pid"), F.col("entry").alias("__entry"))), "__pid", "left")
     final_in = final_in.sortWithinPartitions(KEY, TS, RID)
-    served = final_in.mapInPandas(_final, _FINAL).withColumn(
+    final_schema = T.StructType(list(_FINAL.fields) + [known.schema[c] for c in carry])
+    served = final_in.mapInPandas(_final_fn(carry), final_schema).withColumn(
         "outcome", F.when(F.col("accepted"), F.lit("reserved")).otherwise(F.lit("sold_out")))
     outcomes = served.unionByName(other)
 
