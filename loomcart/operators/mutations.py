@@ -365,7 +365,9 @@ def confirm_orders(o: DataFrame, calls: DataFrame, as_of,
                .otherwise(F.lit("existing")))
     outcomes = c.select("razorpay_order_id", F.col("__seq").alias("seq"), "order_id",
                         outcome.alias("outcome"))
-    return MutationResult(table.drop("__hit"), changed, {"outcomes": outcomes})
+    flagged = table.withColumnRenamed("__hit", "promoted")
+    return MutationResult(table.drop("__hit"), changed,
+                          {"outcomes": outcomes, "flagged": flagged})
 
 
 # H16 ------------------------------------------------------------------------

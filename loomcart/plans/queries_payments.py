@@ -164,15 +164,14 @@ FROM ev WHERE kind IN ('confirmed', 'shipped') AND {mail_ok} AND {sms_ok}
 @register("notification_outbox", _outbox_sql())
 def q_outbox(spark, d):
     """K1 (+ I7, I13, I14, C7): messages for first confirmations (admin +
-    customer) and for shipped orders."""
+    customer) and for shipped orders, from one pass over the orders."""
     o = M.full_orders(spark, d)
     p = M.products(spark, d)
     from ..operators.orders import with_product_name
 
-    r = mu.confirm_orders(o, _calls(spark, d), AS_OF)
-    promoted = with_product_name(r.changed.drop("confirmed_after_abandon"), p)
-    shipped = with_product_name(o.filter(F.col("status") == "shipped"), p)
-    ev = (promoted.withColumn("kind", F.lit("new_order"))
-          .unionByName(promoted.withColumn("kind", F.lit("confirmed")))
-          .unionByName(shipped.withColumn("kind", F.lit("shipped"))))
-    return ob.notification_outbox(ev)
+    flagged = mu.confirm_orders(o, _calls(spark, d), AS_OF).extra["flagged"]
+    kinds = (F.when(F.col("promoted"), F.array(F.lit("new_order"), F.lit("confirmed")))
+             .when(F.col("status") == "shipped", F.array(F.lit("shipped"))))
+    ev = (flagged.filter(kinds.isNotNull())
+          .select("*", F.explode(kinds).alias("kind")).drop("promoted"))
+    return ob.notification_outbox(with_product_name(ev, p))
