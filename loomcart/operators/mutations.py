@@ -46,16 +46,20 @@ def _last_per_key(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
 
 # C2 -------------------------------------------------------------------------
 def referenced_ids(o: DataFrame) -> DataFrame:
-    """Product ids that some order refers to (NULLs excluded)."""
-    return o.filter(F.col("product_id").isNotNull()).select(F.col("product_id").alias("id"))
+    """Distinct product ids that some order refers to (NULLs excluded).
 
+    The DISTINCT is not needed for the anti/semi-join result, but it is
+    for skew: it runs as a map-side partial aggregate, so a product that a
+    third of all orders refer to becomes one row before the join shuffle
+    (AQE splits skew only on the left side of an anti join).
+    """
+    return (o.filter(F.col("product_id").isNotNull())
+            .select(F.col("product_id").alias("id")).distinct())
 
-def unreferenced_products(p: DataFrame, o: DataFrame) -> DataFrame:
-    """Products no order refers to.
 
-    ``left_anti`` against the non-NULL product ids (the guarded NOT IN);
-    a left-anti join needs no DISTINCT on the order side.
-    """
+def unreferenced_products(p: DataFrame, o: DataFrame) -> DataFrame:
+    """Products no order refers to: ``left_anti`` against the non-NULL
+    product ids (the guarded NOT IN)."""
     return p.join(referenced_ids(o), "id", "left_anti")
 
 
@@ -428,7 +432,9 @@ def insert_if_absent(p: DataFrame, new: DataFrame, key: str = "name",
     others = [c for c in new.columns if c not in (key,)]
     first = (new.groupBy(key).agg(F.min_by(F.struct(*others), F.col(seq)).alias("__r"))
              .select(key, "__r.*"))
-    fresh = first.join(p.select(F.col(key)), key, "left_anti")
+    # Existing keys de-duplicated map-side first: a key shared by very many
+    # rows becomes one row before the anti-join shuffle.
+    fresh = first.join(p.select(F.col(key)).distinct(), key, "left_anti")
     ided = assign_ids(fresh, p, order_by=order_by or [seq])
     ided = ided.withColumn("active", F.lit(True)) if "active" not in ided.columns else ided
     inserted = ided.drop(seq)
