@@ -173,10 +173,28 @@ def hmac_sql_pads(key: str) -> tuple[str, str]:
 
 
 # I12 ----------------------------------------------------------------------
+def epoch_millis_utc(as_of: str) -> int:
+    """Epoch milliseconds of a wall-clock time read as UTC (independent of
+    the session time zone)."""
+    from datetime import datetime, timezone
+
+    t = datetime.fromisoformat(as_of)
+    if t.tzinfo is None:
+        t = t.replace(tzinfo=timezone.utc)
+    return int(t.timestamp() * 1000)
+
+
 def receipt(r, as_of) -> Column:
-    """Receipt id: given text, else prefix + epoch millis of as_of; <= 40."""
-    default = F.concat(F.lit(K.RECEIPT_PREFIX),
-                       F.unix_millis(F.lit(as_of).cast("timestamp")).cast("string"))
+    """Receipt id: given text, else prefix + epoch millis of as_of; <= 40.
+
+    ``as_of`` text is read as UTC on the driver, so the default does not
+    depend on the session time zone; a Column is used as is.
+    """
+    if isinstance(as_of, str):
+        millis = F.lit(epoch_millis_utc(as_of)).cast("string")
+    else:
+        millis = F.unix_millis(as_of).cast("string")
+    default = F.concat(F.lit(K.RECEIPT_PREFIX), millis)
     return F.substring(text_or(r, default), 1, K.RECEIPT_MAX_LEN)
 
 

@@ -33,6 +33,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # For checks under another session time zone (the default is UTC).
+    if os.environ.get("LOOMCART_SESSION_TZ"):
+        b = b.config("spark.sql.session.timeZone", os.environ["LOOMCART_SESSION_TZ"])
     b = b.config("spark.driver.memory", os.environ.get("LOOMCART_DRIVER_MEM", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

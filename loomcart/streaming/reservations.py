@@ -200,9 +200,11 @@ def outbox_sink(changes: DataFrame, to_outbox: Callable[[DataFrame], DataFrame],
 
 
 # J2 -------------------------------------------------------------------------
+# Event times cross into Python as epoch microseconds (``unix_micros``):
+# pandas would otherwise see session-local wall times.
 ABANDONED_OUT = T.StructType([
     T.StructField("pending_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("ts_us", T.LongType()),
 ])
 
 
@@ -230,7 +232,7 @@ def _abandon_processor(ttl_ms: int):
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             open_, paid = self._load()
-            ts_us = (pdf["ts"].astype("datetime64[us]").astype("int64")).to_numpy()
+            ts_us = pdf["ts_us"].astype("int64").to_numpy()
             for eid, kind, t in zip(pdf["event_id"], pdf["event_type"], ts_us):
                 if kind == "signup":
                     open_.append((int(eid), int(t)))
@@ -252,7 +254,7 @@ def _abandon_processor(ttl_ms: int):
                 self.paid.put([(p,) for p in paid])
             yield pd.DataFrame({"pending_id": pd.Series([], dtype="int64"),
                                 "user_id": pd.Series([], dtype="int64"),
-                                "ts": pd.Series([], dtype="datetime64[us]")})
+                                "ts_us": pd.Series([], dtype="int64")})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # Timers are whole milliseconds: compare at that precision.
@@ -267,8 +269,7 @@ def _abandon_processor(ttl_ms: int):
             yield pd.DataFrame({
                 "pending_id": pd.Series([e for e, _ in due], dtype="int64"),
                 "user_id": pd.Series([user] * len(due), dtype="int64"),
-                "ts": pd.Series(pd.to_datetime([t for _, t in due], unit="us"),
-                                dtype="datetime64[us]")})
+                "ts_us": pd.Series([t for _, t in due], dtype="int64")})
 
         def close(self) -> None:
             pass
@@ -281,7 +282,9 @@ def abandoned_with_timers(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000,
     """The J1 result with explicit keyed state and event-time timers.
 
     events: (event_id, user_id, event_type in signup/purchase, ts TIMESTAMP).
+    Returns (pending_id, user_id, ts).
     """
+    events = events.withColumn("ts_us", F.unix_micros("ts"))
     return (events.withWatermark("ts", delay).groupBy("user_id")
             .transformWithStateInPandas(
                 statefulProcessor=_abandon_processor(ttl_ms),
@@ -296,4 +299,5 @@ def abandoned_timers_from_events(spark: SparkSession, folder: str) -> DataFrame:
           .select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")))
     out = scratch_path(spark, "abandoned-timers")
     run_available_now(abandoned_with_timers(ev), out + "/data", out + "/_ckpt")
-    return spark.read.parquet(out + "/data")
+    return spark.read.parquet(out + "/data").select(
+        "pending_id", "user_id", F.timestamp_micros("ts_us").alias("ts"))
