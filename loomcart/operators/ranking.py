@@ -90,12 +90,15 @@ def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column],
     numbering to be deterministic.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kcols = [F.col(k) for k in keys]
     with_key = df.withColumn("__k", F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in
                                                           enumerate(kcols)])))
     ensure_checkpoint_dir(spark)
-    laid = (with_key.repartitionByRange(n, *kcols, *order)
+    # Without a given count, AQE sizes the range partitions (it merges
+    # neighbouring small ones; the global order is kept).
+    ranged = (with_key.repartitionByRange(partitions, *kcols, *order) if partitions
+              else with_key.repartitionByRange(*kcols, *order))
+    laid = (ranged
             .sortWithinPartitions(*kcols, *order)
             .checkpoint(eager=True)
             .withColumn("__pid", F.spark_partition_id()))

@@ -263,10 +263,15 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     # below all read these files instead of recomputing the request plan.
     known = (r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
              .checkpoint(eager=True))
+    # Partition count: given, or left to AQE (range repartition without a
+    # number: AQE merges neighbouring small partitions, keeping the order),
+    # unless the row count needs more partitions than the session's
+    # shuffle partitions to keep each under ``rows_per_partition``.
     n = partitions
     if n is None:
         base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n = max(base, -(-known.count() // rows_per_partition))
+        need = -(-known.count() // rows_per_partition)
+        n = need if need > base else None
     # Requests that are not folded: found by their own predicates and an
     # anti join with the product dimension (no join on the request id).
     invalid = r.filter(F.col(KEY).isNull() | (F.col(QTY) <= 0)).select(
@@ -281,7 +286,9 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
                        F.lit("sold_out").alias("outcome"), *carry))
     other = invalid.unionByName(unknown)
 
-    laid = (known.repartitionByRange(n, KEY, TS, RID)
+    ranged = (known.repartitionByRange(n, KEY, TS, RID) if n
+              else known.repartitionByRange(KEY, TS, RID))
+    laid = (ranged
             .sortWithinPartitions(KEY, TS, RID)
             .checkpoint(eager=True))
     laid = laid.withColumn("__pid", F.spark_partition_id())

@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
+    shuffle_partitions = int(os.environ.get("LOOMCART_SHUFFLE_PARTITIONS", shuffle_partitions))
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     # For checks under another session time zone (the default is UTC).
     if os.environ.get("LOOMCART_SESSION_TZ"):
