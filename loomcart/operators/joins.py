@@ -41,3 +41,14 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "left",
     if has_at_most(small, max_rows):
         return df.join(F.broadcast(small), on, how)
     return df.join(small, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's default parallelism when it has
+    fewer partitions than that (a small file read as one or two splits
+    before CPU-heavy per-row work).  A large input already has more splits
+    and is returned unchanged, so no full shuffle happens at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import functions as fn
-from .joins import join_small, materialize
+from .joins import join_small, materialize, spread
 
 # --- Fixed values: character references decoded in text (HTML standard) ----
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -56,11 +56,11 @@ def text_fragments(pages: DataFrame, id_col: str = "page_id",
 
     ``pos`` is the position among the page's text nodes (blank ones
     included, so positions are stable).  Each page is one row, exploded in
-    place: no shuffle.
+    place (a small input is first spread over the cores; see ``spread``).
     """
     body = strip_untranslated(page_body(F.col(html_col)))
     frags = F.regexp_extract_all(body, F.lit(r">([^<]+)<"), 1)
-    out = pages.select(id_col, F.posexplode(frags).alias("pos", "raw_html"))
+    out = spread(pages).select(id_col, F.posexplode(frags).alias("pos", "raw_html"))
     out = out.withColumn("raw", decode_entities(F.col("raw_html"))).drop("raw_html")
     out = out.withColumn("key", fn.norm_text("raw"))
     return out.filter(F.col("key") != "")
@@ -72,7 +72,7 @@ def attribute_values(pages: DataFrame, id_col: str = "page_id",
     names = "|".join(K.TRANSLATED_ATTRIBUTES)
     body = strip_untranslated(page_body(F.col(html_col)))
     pairs = F.regexp_extract_all(body, F.lit(rf'(?i)\s((?:{names}))="([^"]*)"'), 0)
-    out = pages.select(id_col, F.posexplode(pairs).alias("pos", "pair"))
+    out = spread(pages).select(id_col, F.posexplode(pairs).alias("pos", "pair"))
     out = out.select(id_col, "pos",
                      F.lower(F.regexp_extract("pair", r'\s*([^=]+)=', 1)).alias("attr"),
                      decode_entities(F.regexp_extract("pair", r'="([^"]*)"', 1)).alias("raw"))

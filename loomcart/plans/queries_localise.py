@@ -36,8 +36,13 @@ SELECT f.page_id, f.pos, f.raw,
 FROM f LEFT JOIN dct ON f.key = dct.src
 """)
 def q_localise(spark, d):
-    """K2 + C6 + I9 + I10: page text translated, whitespace kept."""
-    frags = lo.text_fragments(M.table(spark, d, "pages"))
+    """K2 + C6 + I9 + I10: page text translated, whitespace kept.
+
+    The fragments feed both the dictionary and the lookup, so they are
+    written once instead of running the HTML regexes twice."""
+    from ..operators.joins import materialize
+
+    frags = materialize(lo.text_fragments(M.table(spark, d, "pages")))
     dct = lo.page_dictionary(frags).select("src", "dst")
     out = lo.translate(frags, "raw", dct, "translated")
     return out.select("page_id", "pos", "raw", "translated")
