@@ -80,6 +80,16 @@ def q_reserve_stream(spark, d):
                                       M.products(spark, d))
 
 
+@register("reserve_stream_fold", _RESERVE_WALK + """
+SELECT request_id, product_id, qty, accepted, remaining AS remaining_after FROM walk
+""")
+def q_reserve_stream_fold(spark, d):
+    """J4 with the distributed fold per micro-batch (hot products split)."""
+    out = stm.reservation_batches_from_table(spark, reservation_requests(spark, d),
+                                             M.products(spark, d))
+    return out.select("request_id", "product_id", "qty", "accepted", "remaining_after")
+
+
 def _shipped_outbox(spark, d):
     o = M.full_orders(spark, d)
     p = M.products(spark, d)

@@ -9,6 +9,9 @@
   stock per product in keyed state (``transformWithStateInPandas``).  Rows
   of one key inside one micro-batch go to one task: the micro-batch size
   (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bounds that group.
+* J4 ``reservation_by_batches``: the same result with the distributed
+  ordered fold run per micro-batch and the remaining stock kept as one
+  table snapshot per batch id -- a hot product is split over tasks.
 * J5 ``outbox_sink``: changed orders -> notification rows -> files, via an
   idempotent ``foreachBatch`` (each batch id writes its own folder with
   overwrite, so a retried batch replaces its output).
@@ -301,3 +304,58 @@ def abandoned_timers_from_events(spark: SparkSession, folder: str) -> DataFrame:
     run_available_now(abandoned_with_timers(ev), out + "/data", out + "/_ckpt")
     return spark.read.parquet(out + "/data").select(
         "pending_id", "user_id", F.timestamp_micros("ts_us").alias("ts"))
+
+
+# J4, batch-fold variant ------------------------------------------------------
+def reservation_by_batches(requests: DataFrame, products: DataFrame, state_dir: str,
+                           sink: str, checkpoint: str) -> None:
+    """Streaming reservation where every micro-batch runs the distributed
+    ordered fold (``operators.reserve``), so no product's requests -- even
+    a hot product's -- are held by one task.
+
+    The remaining stock is a table snapshot per batch id under
+    ``state_dir``: batch b reads snapshot b-1 (the products table for the
+    first batch) and writes snapshot b and its outcomes with overwrite, so
+    a retried batch reproduces the same result (exactly once).
+    """
+    from ..operators.reserve import reserve_stock
+
+    spark = requests.sparkSession
+    first_stock = products.select("id", F.col("stock").cast("int").alias("stock"))
+
+    def previous(batch_id: int) -> DataFrame:
+        # Batch ids are consecutive; the latest earlier snapshot is b-1
+        # unless earlier batches were empty and skipped.
+        for b in range(batch_id - 1, -1, -1):
+            path = f"{state_dir}/stock/batch={b}"
+            if _exists(spark, path):
+                return spark.read.parquet(path)
+        return first_stock
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        stock = previous(batch_id)
+        outcomes, new_stock = reserve_stock(stock, batch)
+        outcomes.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        new_stock.select("id", "stock").write.mode("overwrite").parquet(
+            f"{state_dir}/stock/batch={batch_id}")
+
+    run_available_now(requests, sink, checkpoint, foreach_batch=step)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the session's file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def reservation_batches_from_table(spark: SparkSession, requests: DataFrame,
+                                   products: DataFrame) -> DataFrame:
+    """Write the derived request table, stream it through the batch-fold
+    reservation, read the outcomes back."""
+    base = scratch_path(spark, "requests-fold")
+    requests.write.parquet(base + "/in")
+    src = spark.readStream.schema(requests.schema).parquet(base + "/in")
+    reservation_by_batches(src, products, base + "/state", base + "/out", base + "/_ckpt")
+    return spark.read.parquet(base + "/out").drop("batch")
