@@ -143,3 +143,21 @@ def test_seed_rows_schema(spark):
     assert s.columns == ["gender", "collection", "name", "size", "price", "stock", "image",
                          "description"]
     assert s.count() == len(src.io.SEED_ROWS)
+
+
+def _hinted(df) -> bool:
+    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_join_small_broadcasts_only_under_the_bound(spark):
+    from loomcart.operators.joins import join_small, spread
+
+    big = spark.range(0, 1000).withColumnRenamed("id", "k")
+    small = spark.range(0, 50).withColumnRenamed("id", "k")
+    assert _hinted(join_small(big, small, "k", "left", max_rows=100))
+    assert not _hinted(join_small(big, small, "k", "left", max_rows=10))
+    assert _hinted(join_small(big, small, "k", "left", known_rows=50, max_rows=100))
+    one = spark.range(0, 10, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10, numPartitions=64)
+    assert spread(many).rdd.getNumPartitions() == 64
