@@ -18,6 +18,12 @@
 
 Event time must be TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; inputs are
 cast under the session time zone (UTC in tests).
+
+Scale note: keyed streaming state (J1's join buffers, J2's and J3's state)
+lives in the state-store partition of its key, so a hot key's events within
+the TTL window plus the watermark delay are held by one task -- a bound
+set by event rate x window, not by table size.  The batch-fold J4 is the
+operator that splits a hot key within a micro-batch.
 """
 
 from __future__ import annotations
