@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from loomcart.operators.reserve import reserve_stock
 

@@ -2,7 +2,6 @@ import random
 import tempfile
 import time
 
-from pyspark.sql import functions as F
 
 from loomcart.streaming import reservation_by_batches
 
