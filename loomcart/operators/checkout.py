@@ -46,3 +46,30 @@ def checkout(p: DataFrame, requests: DataFrame, as_of) -> DataFrame:
         F.col("pre_outcome").alias("outcome"))
     return served.select("request_id", "product_id", "amount_paise", "receipt_id",
                          "outcome").unionByName(refused)
+
+
+def place_orders(p: DataFrame, o: DataFrame, new: DataFrame, as_of,
+                 mode: str = "db") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The order-save path without a gateway reservation: for each new order
+    with a product, take the stock first-come (H13, ``stock >= qty``); the
+    orders that got their stock -- and those without a product, which take
+    none -- are appended (H16); the others are refused as sold out.
+
+    new: request_id, product_id, quantity, ordered_at and the order fields.
+    Returns (appended orders, refused request ids, products after).
+    """
+    from .mutations import append_orders
+
+    # The order fields ride through the fold (``carry``): no join back on
+    # the request id.
+    fields = [c for c in new.columns if c not in ("request_id", "product_id")]
+    with_product = new.filter(F.col("product_id").isNotNull())
+    req = with_product.select("request_id", "product_id", F.col("quantity").alias("qty"),
+                              F.col("ordered_at").alias("ts"), *fields)
+    served, p_after = reserve_stock(p, req, carry=fields)
+    refused = served.filter(~F.col("accepted")).select("request_id", "outcome")
+    accepted = (served.filter("accepted").select(*new.columns)
+                .unionByName(new.filter(F.col("product_id").isNull())))
+    appended = append_orders(o, accepted, as_of, mode=mode,
+                             order_by=["ordered_at", "request_id"]).changed
+    return appended, refused, p_after

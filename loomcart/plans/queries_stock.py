@@ -164,3 +164,47 @@ def q_checkout(spark, d):
     from ..operators.checkout import checkout
 
     return checkout(M.products(spark, d), checkout_requests(spark, d), AS_OF)
+
+
+def _new_orders(spark, d):
+    """New orders: every order line after as_of is placed again as a new
+    order (quantity folded to 1..4 so stock is contested)."""
+    so = M.shop_orders(spark, d).filter(F.col("ordered_at") >= M.as_of_col())
+    return so.select(F.col("id").alias("request_id"), "product_id",
+                     (F.col("quantity") % 4 + 1).cast("int").alias("quantity"),
+                     F.col("price_paid").cast("int").alias("price_paid"), "ordered_at")
+
+
+_PLACE_WALK = M.cte(so=_SO, p=_P).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+n AS (SELECT id AS request_id, product_id, CAST(quantity % 4 + 1 AS BIGINT) AS qty, ordered_at
+      FROM so WHERE ordered_at >= TIMESTAMP '{AS_OF}'),
+r AS (SELECT n.*, p.stock AS s,
+             row_number() OVER (PARTITION BY n.product_id ORDER BY n.ordered_at, n.request_id) AS rn
+      FROM n JOIN p ON n.product_id = p.id),
+walk AS (
+  SELECT product_id, rn, request_id, qty, ordered_at, qty <= s AS accepted,
+         CAST(CASE WHEN qty <= s THEN s - qty ELSE s END AS BIGINT) AS remaining
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.product_id, r.rn, r.request_id, r.qty, r.ordered_at, r.qty <= w.remaining,
+         CAST(CASE WHEN r.qty <= w.remaining THEN w.remaining - r.qty ELSE w.remaining END AS BIGINT)
+  FROM walk w JOIN r ON r.product_id = w.product_id AND r.rn = w.rn + 1
+)
+"""
+
+
+@register("place_orders", _PLACE_WALK + """
+SELECT (SELECT max(id) FROM so) + row_number() OVER (ORDER BY ordered_at, request_id) AS id,
+       product_id, CAST(qty AS INT) AS quantity, 'received' AS status, 'pending' AS payment_status,
+       ordered_at
+FROM walk WHERE accepted
+""")
+def q_place_orders(spark, d):
+    """H13 + H16: orders after as_of placed again; those that get their
+    stock are appended with new ids, the rest refused."""
+    from ..operators.checkout import place_orders
+
+    appended, _, _ = place_orders(M.products(spark, d), M.shop_orders(spark, d),
+                                  _new_orders(spark, d), AS_OF)
+    return appended.select("id", "product_id", "quantity", "status", "payment_status",
+                           "ordered_at")
