@@ -257,12 +257,12 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     carry = tuple(carry)
     spark = requests.sparkSession
     ensure_checkpoint_dir(spark)
-    r = normalise_requests(requests).select(RID, KEY, QTY, TS, *carry)
+    # Written once: the count, the range-partition sample, the layout and
+    # the refused requests below all read these files instead of
+    # recomputing the caller's request plan.
+    r = normalise_requests(requests).select(RID, KEY, QTY, TS, *carry).checkpoint(eager=True)
     stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
-    # Written once: the count, the range-partition sample and the layout
-    # below all read these files instead of recomputing the request plan.
-    known = (r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
-             .checkpoint(eager=True))
+    known = r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
     # Partition count: given, or left to AQE (range repartition without a
     # number: AQE merges neighbouring small partitions, keeping the order),
     # unless the row count needs more partitions than the session's
