@@ -43,3 +43,51 @@ def test_batch_fold_reservation_over_micro_batches(spark):
     got = {r.request_id: r.accepted for r in spark.read.parquet(base + "/out").collect()}
     assert len(spark.read.parquet(base + "/out").select("batch").distinct().collect()) == 3
     assert got == replay(stock, waves)
+
+
+def test_abandoned_join_over_several_files_equals_batch(spark):
+    """J1 over three time-ordered files (three micro-batches, the watermark
+    moving between them) equals the batch answer for every signup whose
+    window closed by the final watermark."""
+    import duckdb
+
+    from loomcart.streaming import abandoned_reservations, run_available_now
+
+    src = "/root/testdata/sf0.001/events.parquet"
+    ev = spark.read.parquet(src).orderBy("ts")
+    base = tempfile.mkdtemp(prefix="lc-j1-")
+    bounds = ev.selectExpr("percentile_approx(ts, array(0.33, 0.66)) AS q").first().q
+    parts = [ev.filter(f"ts < '{bounds[0]}'"),
+             ev.filter(f"ts >= '{bounds[0]}' AND ts < '{bounds[1]}'"),
+             ev.filter(f"ts >= '{bounds[1]}'")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(base + "/events")
+        time.sleep(1.1)
+    folder = base + "/events"
+    # One file per trigger, oldest first: three micro-batches.
+    sig = (spark.readStream.schema(spark.read.parquet(src).schema)
+           .option("maxFilesPerTrigger", 1).parquet(folder)
+           .filter("event_type = 'signup'").selectExpr("event_id", "user_id",
+                                                      "CAST(ts AS TIMESTAMP) AS ts"))
+    pay = (spark.readStream.schema(spark.read.parquet(src).schema)
+           .option("maxFilesPerTrigger", 1).parquet(folder)
+           .filter("event_type = 'purchase'").selectExpr("event_id", "user_id",
+                                                        "CAST(ts AS TIMESTAMP) AS ts"))
+    j = abandoned_reservations(sig, pay)
+    run_available_now(j, base + "/out", base + "/ckpt")
+    got = {r.pending_id for r in spark.read.parquet(base + "/out")
+           .filter("paid_id IS NULL").collect()}
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    want = {r[0] for r in con.execute(f"""
+        WITH e AS (SELECT * FROM read_parquet('{src}')),
+             s AS (SELECT * FROM e WHERE event_type = 'signup'),
+             p AS (SELECT * FROM e WHERE event_type = 'purchase'),
+             w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM p))
+                          - INTERVAL 1 HOUR AS wm)
+        SELECT s.event_id FROM s, w
+        WHERE s.ts + INTERVAL 20 HOUR < w.wm AND NOT EXISTS (
+          SELECT 1 FROM p WHERE p.user_id = s.user_id
+            AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 20 HOUR)""").fetchall()}
+    assert len(want) > 0
+    assert got == want
