@@ -85,3 +85,30 @@ def test_sku_matches_python(spark, ids):
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long")
            .select(fn.sku("id")).collect()]
     assert got == ["MWK-" + str(i).zfill(4) for i in ids]
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.dictionaries(st.integers(1, 6), st.integers(0, 30), min_size=1, max_size=6),
+       st.lists(st.tuples(st.integers(1, 6), st.integers(-1, 9), st.integers(0, 40)),
+                min_size=1, max_size=400),
+       st.sampled_from([1, 3, 9]))
+def test_reservation_equals_replay_on_generated_requests(spark, stock, reqs, parts):
+    from loomcart.operators.reserve import reserve_stock
+
+    rows = [(i + 1, pid, q, ts) for i, (pid, q, ts) in enumerate(reqs)]
+    left = dict(stock)
+    want = {}
+    for rid, pid, q, ts in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
+        q = 1 if q == 0 else q
+        if pid not in left or q < 0:
+            want[rid] = False
+        elif left[pid] >= q:
+            left[pid] -= q
+            want[rid] = True
+        else:
+            want[rid] = False
+    p = spark.createDataFrame(list(stock.items()), "id long, stock int")
+    r = spark.createDataFrame(rows, "request_id long, product_id long, qty long, ts long")
+    out, after = reserve_stock(p, r, partitions=parts)
+    assert {x.request_id: x.accepted for x in out.collect()} == want
+    assert {x.id: x.stock for x in after.collect()} == left
