@@ -40,7 +40,8 @@ def checkout(p: DataFrame, requests: DataFrame, as_of) -> DataFrame:
     to_reserve = r.filter(F.col("pre_outcome").isNull()).select(
         "request_id", "product_id", F.col("quantity").alias("qty"), "ts",
         "amount_paise", "receipt_id")
-    served, _ = reserve_stock(p, to_reserve, carry=["amount_paise", "receipt_id"])
+    served, _ = reserve_stock(p, to_reserve, carry=["amount_paise", "receipt_id"],
+                              input_written=True)
     refused = r.filter(F.col("pre_outcome").isNotNull()).select(
         "request_id", "product_id", "amount_paise", "receipt_id",
         F.col("pre_outcome").alias("outcome"))

@@ -240,7 +240,8 @@ ROWS_PER_PARTITION = 2_000_000
 
 def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = None,
                   rows_per_partition: int = ROWS_PER_PARTITION,
-                  carry: list[str] | tuple[str, ...] = ()):
+                  carry: list[str] | tuple[str, ...] = (),
+                  input_written: bool = False):
     """Serve reservation requests in arrival order against product stock.
 
     requests: request_id, product_id, qty, ts.  Returns (outcomes, products):
@@ -253,6 +254,8 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     (one counting job), and range partitioning on the unique (product, ts,
     id) key keeps partitions even however the products are skewed.
     ``carry`` columns of ``requests`` are passed through to the outcomes.
+    ``input_written``: the caller's requests are already a written table
+    (a checkpoint), so they are not written again here.
     """
     carry = tuple(carry)
     spark = requests.sparkSession
@@ -260,7 +263,9 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     # Written once: the count, the range-partition sample, the layout and
     # the refused requests below all read these files instead of
     # recomputing the caller's request plan.
-    r = normalise_requests(requests).select(RID, KEY, QTY, TS, *carry).checkpoint(eager=True)
+    r = normalise_requests(requests).select(RID, KEY, QTY, TS, *carry)
+    if not input_written:
+        r = r.checkpoint(eager=True)
     stock = p.select(F.col("id").alias(KEY), F.col("stock").cast("long").alias(S))
     known = r.filter(F.col(KEY).isNotNull() & (F.col(QTY) > 0)).join(stock, KEY, "inner")
     # Partition count: given, or left to AQE (range repartition without a
