@@ -300,7 +300,7 @@ def delete_orders(o: DataFrame, ids: DataFrame) -> MutationResult:
 
 def clear_orders(o: DataFrame) -> MutationResult:
     """Empty table of the same schema; changed = every id (the count)."""
-    return MutationResult(o.limit(0), o.select("id"))
+    return MutationResult(o.filter(F.lit(False)), o.select("id"))
 
 
 # H11 ------------------------------------------------------------------------
@@ -448,7 +448,7 @@ def seed_if_empty(p: DataFrame, seed: DataFrame, seq: str | None = None) -> Muta
     The emptiness test is an uncorrelated EXISTS over ``p`` (one row read),
     not a driver-side count.
     """
-    any_row = p.select(F.lit(1).alias("x")).limit(1).exists()
+    any_row = p.select(F.lit(1).alias("x")).exists()
     rows = seed.filter(~any_row)
     ided = assign_ids(rows, p, order_by=[seq] if seq else None)
     ided = ided.withColumn("active", F.lit(True))
