@@ -92,7 +92,9 @@ def rewrite_asset_paths(df: DataFrame, text_col: str, names: list[str],
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (path, value) rows."""
-    return (spark.read.option("wholetext", True).text(path)
+    # ``text``'s own ``wholetext`` argument (an ``option`` set before the
+    # call would be overridden by its default).
+    return (spark.read.text(path, wholetext=True)
             .withColumn("path", F.input_file_name()))
 
 

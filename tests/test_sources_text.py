@@ -161,3 +161,16 @@ def test_join_small_broadcasts_only_under_the_bound(spark):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 10, numPartitions=64)
     assert spread(many).rdd.getNumPartitions() == 64
+
+
+def test_read_whole_texts_one_row_per_file(spark):
+    d = tempfile.mkdtemp(prefix="lc-text-")
+    for name, body in (("a.html", "<p>one</p>\n<p>two</p>"), ("b.html", "<img src=\"x.jpg\">")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    df = src.read_whole_texts(spark, d)
+    rows = {os.path.basename(r.path): r.value for r in df.collect()}
+    assert rows == {"a.html": "<p>one</p>\n<p>two</p>", "b.html": "<img src=\"x.jpg\">"}
+    out = src.rewrite_asset_paths(df, "value", ["x.jpg"], "/static/").filter(
+        F.col("path").endswith("b.html")).first().value
+    assert out == "<img src=\"/static/x.jpg\">"
