@@ -40,3 +40,13 @@ def test_reservation_python_is_arrow_batched(spark):
     text = plan(q("reserve_stock")(spark, SF_SMALL))
     assert "MapInPandas" in text
     assert "BatchEvalPython" not in text      # no row-at-a-time Python UDF
+
+
+def test_anti_join_right_side_is_deduplicated_first(spark):
+    from loomcart.operators import mutations as mu
+
+    p = spark.range(0, 100).select("id")
+    o = spark.range(0, 1000).selectExpr("id", "id % 7 AS product_id")
+    text = mu.unreferenced_products(p, o)._jdf.queryExecution().optimizedPlan().toString()
+    anti = text[text.index("LeftAnti"):]
+    assert "Aggregate [id" in anti           # DISTINCT product ids before the anti join
