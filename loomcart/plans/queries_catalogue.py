@@ -126,7 +126,8 @@ def q_storefront(spark, d):
 
 
 @register("catalogue_items", M.cte(p=M.PRODUCTS_SQL) + """
-SELECT CAST(id AS VARCHAR) AS key, name, unnest(range(0, len(string_split(name, ' ')))) AS pos,
+SELECT CAST(id AS VARCHAR) AS key, name,
+       CAST(unnest(range(0, len(string_split(name, ' ')))) AS INTEGER) AS pos,
        unnest(string_split(name, ' ')) AS item
 FROM p WHERE active
 """)

@@ -115,7 +115,7 @@ def page_text_fragments() -> str:
     return f"""
 SELECT page_id, pos, raw, {norm_text('raw')} AS key FROM (
   SELECT page_id, pos, {decode_entities('raw_html')} AS raw FROM (
-    SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS raw_html FROM (
+    SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS raw_html FROM (
       SELECT page_id, regexp_extract_all({s}, '>([^<]+)<', 1) AS l FROM pages))
 ) WHERE {norm_text('raw')} <> ''
 """
