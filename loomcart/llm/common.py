@@ -72,17 +72,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts with about ``limit`` characters
-    (one longer text forms its own range)."""
+def in_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive items of about ``limit`` total size (one
+    larger item forms its own range)."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def text_list(values: Iterable) -> list[str]:

@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import piece_codec, quality_rules
 from .common import table
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,3 +32,10 @@ def query(name: str, sql: str | None = None):
 @query("op1_quality_rules", quality_rules.judge_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op2_piece_codec")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
