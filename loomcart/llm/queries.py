@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import piece_codec, quality_rules, token_counts
 
-from . import piece_codec, quality_rules
 from .common import table
 
 def vocabulary(name: str) -> str:
@@ -39,3 +41,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(
         table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).withColumn(
+            "over_limit", F.col("n_tokens") > 1024)
