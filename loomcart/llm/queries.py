@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, quality_rules, token_counts
+from . import language_id, piece_codec, quality_rules, token_counts, toxicity
+from .common import crc_remainder, table
 
-from .common import table
 
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""
@@ -48,3 +48,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).withColumn(
             "over_limit", F.col("n_tokens") > 1024)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labels whose id's crc32 is no multiple of 5; remainder
+    4 sets the threshold."""
+    fold = crc_remainder("doc_id", 5)
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                          learn=fold != 0, calibrate=fold == 4)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "distance")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_remainder("doc_id", 3)
+    named = language_id.name_documents(docs, language_id.train(docs, learn=fold != 1))
+    return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "accepted")
