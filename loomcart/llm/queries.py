@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, piece_codec, quality_rules, token_counts, toxicity
+from . import language_id, mixing, piece_codec, quality_rules, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -71,3 +71,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_remainder("doc_id", 3)
     named = language_id.name_documents(docs, language_id.train(docs, learn=fold != 1))
     return named.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op3_source_mix", mixing.mix_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))

@@ -47,8 +47,8 @@ class ToxicityTraining:
     max_labelled: int = 20_000
     dictionary_bytes: int = 32_768
     least_share: float = 0.7          # of a segment's texts that are toxic
-    significance: float = 5.0         # log-likelihood ratio above log(segments seen)
-    beginnings: tuple[int, ...] = (4, 5, 6, 7)
+    significance: float = 3.0         # log-likelihood ratio above log(segments seen)
+    beginnings: tuple[int, ...] = (4, 5, 6, 7, 8, 9)
 
 
 def words_of_texts(texts: pa.Array) -> pa.ListArray:
@@ -60,7 +60,7 @@ def words_of_texts(texts: pa.Array) -> pa.ListArray:
 
 def ladder(word: str) -> bytes:
     """The window of a word."""
-    steps = "".join(word[:k] + "|" for k in range(2, 8) if len(word) > k)
+    steps = "".join(word[:k] + "|" for k in range(2, 10) if len(word) > k)
     return f"{steps}{word}|{word}/".encode()
 
 
