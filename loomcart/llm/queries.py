@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, piece_codec, quality_rules, token_counts, toxicity
+from . import language_id, mixing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -76,3 +76,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_source_mix", mixing.mix_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
