@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
+from . import chosen_path, language_id, mixing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -81,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op8_chosen_path_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
