@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, language_id, mixing, piece_codec, quality_rules, secret_scan, token_counts, toxicity
+from . import (
+    block_ann, chosen_path, language_id, mixing, piece_codec, quality_rules, quality_trees,
+    secret_scan, token_counts, toxicity,
+)
 from .common import crc_remainder, table
 
 
@@ -86,3 +89,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chosen_path_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_block_neighbours", block_ann.nearest_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op6_quality_trees")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels whose id's crc32 leaves 0, 1 or 3 modulo 4;
+    remainder 3 decides when to stop."""
+    docs, fold = table(spark, sf_dir, "documents"), crc_remainder("doc_id", 4)
+    trees = quality_trees.train(docs, table(spark, sf_dir, "labels"), learn=fold != 2, hold=fold == 3)
+    return quality_trees.score_documents(docs, trees).select(
+        "doc_id", (fold == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
