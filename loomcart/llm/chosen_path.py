@@ -412,3 +412,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.hex("fp").alias("set_key"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                order: tuple[str, ...] = ("doc_id",), settings: JoinSettings = JoinSettings()) -> DataFrame:
+    """The rows of ``docs`` less all but one of each class: the first in
+    ``order`` (nulls first), then by its text's digest.  Rows without words
+    belong to no class and all stay.
+
+    Rows are numbered once, in a written table, so exact repeats of a row are
+    told apart; the choice is a partial aggregate per class.
+    """
+    names = docs.columns
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "join-rows")
+    # The row number takes the id's place, so a class's id is a row of its own.
+    near = similar_documents(base, "__row", text_col, settings)
+    keyed = base.join(near.select("__row", "class_id", "set_key"), "__row")
+    rank = F.struct(*[F.col(c) for c in order], F.md5(text_of(text_col).cast("binary")), F.col("__row"))
+    keep = keyed.groupBy("class_id").agg(F.min(rank)["__row"].alias("__row"))
+    return base.join(keep, "__row", "left_semi").select(*names)

@@ -46,10 +46,12 @@ class MixSettings:
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             source_col: str = "source") -> DataFrame:
-    """doc_id, src, size of each document."""
+             source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, src, size, and a row number, of each document."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"),
-                       F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+                       F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+                       row.alias("row"))
 
 
 def targets_of(sizes: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
@@ -147,11 +149,13 @@ def slot_table(per: DataFrame, settings: MixSettings = MixSettings()) -> DataFra
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
+        source_col: str = "source", settings: MixSettings = MixSettings(),
+        row_col: str | None = None) -> DataFrame:
     """One row per document: ``id_col``, size, source_size, target (of its
-    source), taken (words the mix takes from it, repeats counted)."""
+    source), taken (words the mix takes from it, repeats counted), and
+    ``row_col`` if given (a number that tells the rows apart)."""
     s = settings
-    sizes = written(sizes_of(docs, id_col, text_col, source_col), "mix-sizes")
+    sizes = written(sizes_of(docs, id_col, text_col, source_col, row_col), "mix-sizes")
     per = written(targets_of(sizes, s), "mix-targets")
 
     # Blocks and how often the schedule takes each.
@@ -163,7 +167,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stream = sizes.join(per.select(F.col("src").alias("s2"), "ord", "source_size", "target"),
                         F.col("src").eqNullSafe(F.col("s2")))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    stream = stream.select("doc_id", "size", "source_size", "target", "ord", key.alias("h"),
+    stream = stream.select("doc_id", "row", "size", "source_size", "target", "ord", key.alias("h"),
                            F.substring(key, 1, s.bucket_digits).alias("b"))
     sums = stream.groupBy("ord", "b").agg(F.sum("size").alias("m"))
     before = Window.partitionBy("ord").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,8 +177,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = (stream.withColumn("upto", F.sum("size").over(inner))
               .join(sums, ["ord", "b"])
               .withColumn("at", F.col("base") + F.col("upto") - F.col("size")))
-    placed = written(placed.select("doc_id", "size", "source_size", "target", "ord", "at",
-                                   F.monotonically_increasing_id().alias("row")), "mix-placed")
+    placed = written(placed.select("doc_id", "row", "size", "source_size", "target", "ord", "at"), "mix-placed")
     first, last = F.floor(F.col("at") / s.block_words), F.floor((F.col("at") + F.col("size") - 1) / s.block_words)
     pieces = placed.where(F.col("size") > 0).select(
         "row", "ord", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
@@ -188,7 +191,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("whole") * (F.col("hi") - F.col("lo")) + F.coalesce(part, F.lit(0).cast("long"))).alias("taken"))
     return placed.join(got, "row", "left").select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        *([F.col("row").alias(row_col)] if row_col else []))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (words taken
+    over size, rounded half up; rows of size 0 once)."""
+    names = docs.columns
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    # Ids may repeat; the order within a source stays that of the ids.
+    taken = mix(base.select(F.col(id_col).alias("id"), "__row", text_col, source_col),
+                "id", text_col, source_col, settings, row_col="__row")
+    times = F.when(F.col("size") == 0, 1).otherwise(
+        F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int"))
+    repeats = taken.select("__row", times.alias("times")).where(F.col("times") > 0)
+    return base.join(repeats, "__row").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
 
 
 def mix_sql(settings: MixSettings = MixSettings()) -> str:

@@ -227,6 +227,20 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     return src.mapInArrow(run, f"k {key_type}, distance long, score double").withColumnRenamed("k", id_col)
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below 0.5, all columns as they are."""
+    if math.isinf(model.threshold):
+        return docs
+    at = docs.columns.index(text_col)
+    distances = scores_of(model)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(distances(b.column(at)) < model.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def as_score(distance: np.ndarray, model: ToxicityModel) -> np.ndarray:
     """0.5 at the threshold."""
     if math.isinf(model.threshold):
