@@ -11,7 +11,8 @@ ordinary, is at least ``least_ratio``, and that much per character too.
 Positions are code points, ends exclusive.  A matcher gives no positions in
 built-in functions, so matches are marked with a control character (which no
 pattern can match; one in the text is first replaced by another), the text is
-cut at the marks, and lengths are summed.
+cut at the marks, and lengths are summed.  Runs with a digit are scored but
+are not in the ordinary sample, since an unlabelled secret may be among them.
 
 Defined cases: a null or empty text has no spans; without any base span or
 ordinary run nothing is added; a document's row depends on its text and the
@@ -46,7 +47,8 @@ class MarkovSettings:
     least_flagged: int = 16      # characters of a run that can be added
     least_ratio: float = 12.0    # natural log units
     per_char: float = 0.35
-    smoothing: float = 0.5
+    smoothing: float = 0.5       # added to each letter's count
+    backing: float = 5.0         # weight of a letter's own frequency
     letters: int = 65            # characters runs are made of
 
 
@@ -111,30 +113,33 @@ def markov_ratios(scanned: DataFrame, settings: MarkovSettings = MarkovSettings(
     are all that is gathered."""
     s = settings
     pairs = scanned.select(F.explode(_pairs(F.col("vals"))).alias("p"), F.lit(1).alias("r")).unionByName(
-        _outside(scanned).select(F.explode(_pairs(F.transform("runs", lambda r: r["v"]))).alias("p"),
+        _outside(scanned).select(F.explode(_pairs(F.transform(
+            F.filter("runs", lambda r: ~r["v"].rlike("[0-9]")), lambda r: r["v"]))).alias("p"),
                                  F.lit(0).alias("r")))
     counts = pairs.groupBy("p").agg(F.sum("r").alias("nr"), F.sum(1 - F.col("r")).alias("no"))
-    rows = counts.groupBy(F.floor(F.col("p") / 128).alias("a")).agg(
-        F.sum("nr").alias("tr"), F.sum("no").alias("to"),
-        F.collect_list(F.struct("p", "nr", "no")).alias("each"))
-    k = s.smoothing
-
-    def ratio(nr, no, tr, to):
-        return F.log((nr + k) / (tr + k * s.letters)) - F.log((no + k) / (to + k * s.letters))
-
-    known = rows.select("a", "tr", "to", F.explode("each").alias("x")).select(
-        F.col("x.p").cast("int").alias("p"),
-        F.round(ratio(F.col("x.nr"), F.col("x.no"), F.col("tr"), F.col("to")), 9).alias("w"),
-        F.col("x.nr").alias("nr"), F.col("x.no").alias("no"))
-    unseen = rows.select(F.col("a").cast("int").alias("a"), F.round(
-        ratio(F.lit(0), F.lit(0), F.col("tr"), F.col("to")), 9).alias("w"))
-    one = known.agg(F.map_from_entries(F.collect_list(F.struct("p", "w"))).alias("m"),
-                    F.sum("nr").alias("nr"), F.sum("no").alias("no")).select(
-        "m", "nr", "no", unseen.agg(F.map_from_entries(F.collect_list(F.struct("a", "w"))).alias("u"))
-        .scalar().alias("u"))
-    return one.select(F.when((F.col("nr") > 0) & (F.col("no") > 0), F.transform(
-        F.sequence(F.lit(0), F.lit(128 * 128 - 1)), lambda p: F.coalesce(
-            F.col("m")[p], F.col("u")[F.floor(p / 128).cast("int")], F.lit(0.0)))).alias("ratios"))
+    counts = counts.select(F.col("p").cast("int").alias("p"), "nr", "no")
+
+    def as_map(key: Column) -> DataFrame:
+        """One row: key -> (random, ordinary) counts."""
+        sums = counts.groupBy(key.cast("int").alias("k")).agg(F.sum("nr").alias("nr"), F.sum("no").alias("no"))
+        return sums.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("nr", "no")))).alias("m"))
+
+    one = as_map(F.col("p")).select(
+        F.col("m").alias("pairs"), as_map(F.floor(F.col("p") / 128)).scalar().alias("firsts"),
+        as_map(F.col("p") % 128).scalar().alias("seconds"), as_map(F.lit(0)).scalar()[0].alias("all"))
+
+    def logs(p: Column, side: str) -> Column:
+        """log P(b | a), drawn to the frequency of b where a is rare."""
+        def n(x):
+            return F.coalesce(x[side], F.lit(0))
+        b = ((n(F.col("seconds")[(p % 128).cast("int")]) + s.smoothing)
+             / (F.col("all")[side] + s.smoothing * s.letters))
+        return F.log((n(F.col("pairs")[p]) + s.backing * b)
+                     / (n(F.col("firsts")[F.floor(p / 128).cast("int")]) + s.backing))
+
+    return one.select(F.when((F.col("all.nr") > 0) & (F.col("all.no") > 0), F.transform(
+        F.sequence(F.lit(0), F.lit(128 * 128 - 1)),
+        lambda p: F.round(logs(p, "nr") - logs(p, "no"), 9))).alias("ratios"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
