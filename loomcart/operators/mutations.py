@@ -35,10 +35,8 @@ def _ts(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
-def _last_per_key(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
+def _last_per_key(changes: DataFrame, key: str, seq: str) -> DataFrame:
     """One change per key, the last by ``seq`` (a plain aggregate)."""
-    if seq is None:
-        return changes.dropDuplicates([key])
     others = [c for c in changes.columns if c not in (key, seq)]
     agg = F.max_by(F.struct(*others), F.col(seq))
     return changes.groupBy(key).agg(agg.alias("__c")).select(key, "__c.*")
@@ -63,20 +61,30 @@ def unreferenced_products(p: DataFrame, o: DataFrame) -> DataFrame:
     return p.join(referenced_ids(o), "id", "left_anti")
 
 
-def referenced_products(p: DataFrame, o: DataFrame) -> DataFrame:
-    return p.join(referenced_ids(o), "id", "left_semi")
-
-
 # H1 -------------------------------------------------------------------------
-def set_stock(p: DataFrame, changes: DataFrame, seq: str | None = "seq") -> MutationResult:
-    """UPDATE products SET stock = new WHERE id = ..; last change per id wins."""
-    ch = _last_per_key(changes.select("id", "stock", *([seq] if seq else [])), "id", seq)
-    ch = ch.select("id", F.col("stock").cast("int").alias("__new"))
+def set_stock(p: DataFrame, changes: DataFrame, seq: str = "seq") -> MutationResult:
+    """New stock per product id; the last accepted change by ``seq`` wins.
+
+    A change is one request: a NULL stock is refused ("not null"), a value
+    that is no whole number too ("bad value"), an unknown id is "not found".
+    ``extra['refused']`` holds those changes with their outcome.
+    """
+    new = F.col("stock").try_cast("int")
+    judged = changes.select("id", "stock", F.col(seq).alias("__seq"), new.alias("__new")).join(
+        p.select("id", F.lit(True).alias("__known")), "id", "left")
+    outcome = (F.when(F.col("stock").isNull(), F.lit("not null"))
+               .when(F.col("__new").isNull(), F.lit("bad value"))
+               .when(F.col("__known").isNull(), F.lit("not found")))
+    judged = judged.withColumn("outcome", outcome)
+    ch = _last_per_key(judged.filter(F.col("outcome").isNull()).select("id", "__seq", "__new"),
+                       "id", "__seq")
     j = p.join(ch, "id", "left")
-    matched = F.col("__new").isNotNull()
+    matched = F.col("__new").isNotNull()         # accepted values are never NULL
     table = j.withColumn("stock", F.when(matched, F.col("__new")).otherwise(F.col("stock")))
     changed = table.filter(matched).drop("__new")
-    return MutationResult(table.drop("__new"), changed)
+    refused = judged.filter(F.col("outcome").isNotNull()).select(
+        "id", F.col("__seq").alias(seq), "stock", "outcome")
+    return MutationResult(table.drop("__new"), changed, {"refused": refused})
 
 
 # B6 (for inserts) -------------------------------------------------------------
@@ -138,62 +146,65 @@ def insert_products(p: DataFrame, new: DataFrame, as_of,
 _PRODUCT_TYPES = {f.name: f.dataType for f in S.PRODUCTS.fields}
 
 
-def patch_products(p: DataFrame, patches: DataFrame, seq: str | None = "seq") -> MutationResult:
+def patch_products(p: DataFrame, patches: DataFrame, seq: str = "seq") -> MutationResult:
     """Partial update from a ``changes`` map: only present keys change.
 
     An explicitly NULL value sets NULL (``from_json(.., 'map<string,string>')``
-    keeps it).  Keys outside the allowed list are ignored; a patch with no
-    allowed key is refused ("no fields"), a patch for an unknown id is
-    refused ("not found"), and one that would put NULL in a NOT NULL column
-    is refused whole ("not null").  Several patches for one id apply in
-    ``seq`` order: per field the last present value wins.
+    keeps it); keys outside the allowed list are ignored.  Every patch is one
+    request and is judged by itself: "no fields" without an allowed key, "not
+    found" for an unknown id, "not null" for a NULL in a NOT NULL column, "bad
+    value" for text that is not of the column's type, "too long" beyond the
+    column's length.  A refused patch changes nothing; accepted patches of one
+    id apply in ``seq`` order (unique per id): per field the last value wins.
+    ``extra['outcomes']`` has one row per patch.
     """
     allowed = [f for f in K.PRODUCT_PATCH_FIELDS if f in p.columns]
     allowed_arr = F.array(*[F.lit(f) for f in allowed])
-    seqc = F.col(seq) if seq else F.lit(0)
-    entries = patches.select(
-        "id", seqc.alias("__seq"),
-        F.explode_outer(F.map_entries(F.map_filter(
-            "changes", lambda k, v: F.array_contains(allowed_arr, k)))).alias("e"))
-    per_field = (entries.filter(F.col("e").isNotNull())
+    ch = F.map_filter("changes", lambda k, v: F.array_contains(allowed_arr, k))
+    judged = patches.select("id", F.col(seq).alias("seq"), ch.alias("ch")).join(
+        p.select("id", F.lit(True).alias("__exists")), "id", "left")
+
+    def any_field(fields, bad) -> Column:
+        return F.coalesce(F.greatest(F.lit(False), *[
+            F.coalesce(bad(f, F.col("ch")[f]), F.lit(False)) for f in fields]), F.lit(False))
+
+    typed = [f for f in allowed if not isinstance(_PRODUCT_TYPES.get(f, T.StringType()), T.StringType)]
+    outcome = (F.when(F.coalesce(F.size("ch"), F.lit(0)) <= 0, F.lit("no fields"))
+               .when(F.col("__exists").isNull(), F.lit("not found"))
+               .when(any_field([f for f in K.PRODUCT_NOT_NULL if f in allowed], lambda f, v: (
+                   F.map_contains_key("ch", F.lit(f)) & v.isNull())), F.lit("not null"))
+               .when(any_field(typed, lambda f, v: (
+                   v.isNotNull() & v.try_cast(_PRODUCT_TYPES[f]).isNull())), F.lit("bad value"))
+               .when(any_field([f for f in K.PRODUCT_VARCHAR if f in allowed], lambda f, v: (
+                   F.length(v) > K.PRODUCT_VARCHAR[f])), F.lit("too long"))
+               .otherwise(F.lit("updated")))
+    judged = judged.select("id", "seq", "ch", outcome.alias("outcome"))
+    per_field = (judged.filter(F.col("outcome") == "updated")
+                 .select("id", "seq", F.explode(F.map_entries("ch")).alias("e"))
                  .groupBy("id", F.col("e.key").alias("k"))
-                 .agg(F.max_by(F.col("e.value"), F.col("__seq")).alias("v")))
+                 .agg(F.max_by(F.col("e.value"), F.col("seq")).alias("v")))
     # One entry per (id, allowed field): each map holds at most the 12
     # allowed fields, whatever the number of patches.
-    merged = per_field.groupBy("id").agg(
+    good = per_field.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("ch"))
-    ids = patches.select("id").distinct()
-    status = (ids.join(merged, "id", "left")
-              .join(p.select("id", F.lit(True).alias("__exists")), "id", "left"))
-    not_null = [f for f in K.PRODUCT_NOT_NULL if f in allowed]
-    null_violation = F.exists(
-        F.map_entries("ch"),
-        lambda e: e["value"].isNull() & F.array_contains(
-            F.array(*[F.lit(f) for f in not_null]), e["key"]))
-    outcome = (F.when(F.col("ch").isNull(), F.lit("no fields"))
-               .when(F.col("__exists").isNull(), F.lit("not found"))
-               .when(null_violation, F.lit("not null"))
-               .otherwise(F.lit("updated")))
-    status = status.select("id", "ch", outcome.alias("outcome"))
-    good = status.filter(F.col("outcome") == "updated").select("id", "ch")
     j = p.join(good, "id", "left")
     sets = []
     for c in p.columns:
         if c in allowed:
             present = F.coalesce(F.map_contains_key("ch", F.lit(c)), F.lit(False))
-            sets.append(F.when(present, F.col("ch")[c].cast(_PRODUCT_TYPES.get(c, T.StringType())))
+            sets.append(F.when(present, F.col("ch")[c].try_cast(_PRODUCT_TYPES.get(c, T.StringType())))
                         .otherwise(F.col(c)).alias(c))
         else:
             sets.append(F.col(c))
     table = j.select(*sets, F.col("ch").isNotNull().alias("__hit"))
     changed = table.filter("__hit").drop("__hit")
     return MutationResult(table.drop("__hit"), changed,
-                          {"outcomes": status.select("id", "outcome")})
+                          {"outcomes": judged.select("id", "seq", "outcome")})
 
 
 # H4 / H15 -------------------------------------------------------------------
 def patch_orders(o: DataFrame, patches: DataFrame, as_of, mode: str = "coalesce",
-                 seq: str | None = "seq") -> MutationResult:
+                 seq: str = "seq") -> MutationResult:
     """Order patch (status, tracking_number, notes) from a ``changes`` map.
 
     mode "coalesce" (database path): a NULL or absent value keeps the old
@@ -201,7 +212,7 @@ def patch_orders(o: DataFrame, patches: DataFrame, as_of, mode: str = "coalesce"
     NULL.  Every matched row gets ``updated_at = as_of`` (the trigger fires
     even when the values do not change).  Patches apply in ``seq`` order.
     """
-    seqc = F.col(seq) if seq else F.lit(0)
+    seqc = F.col(seq)
     aggs = []
     for f in K.ORDER_PATCH_FIELDS:
         v = F.col("changes")[f]
@@ -305,14 +316,14 @@ def clear_orders(o: DataFrame) -> MutationResult:
 
 # H11 ------------------------------------------------------------------------
 def apply_payments(o: DataFrame, verified: DataFrame, as_of,
-                   seq: str | None = "seq") -> MutationResult:
+                   seq: str = "seq") -> MutationResult:
     """Promote pending orders to paid for verified payments.
 
     Matches on the gateway order id and only rows still 'pending'; for
     several verified payments of one gateway order the first (by ``seq``)
     is the one that promotes.  ``updated_at`` = as_of on promoted rows.
     """
-    seqc = F.col(seq) if seq else F.lit(0)
+    seqc = F.col(seq)
     first = (verified.groupBy("razorpay_order_id")
              .agg(F.min_by("razorpay_payment_id", seqc).alias("__pay")))
     j = o.join(first, "razorpay_order_id", "left")
@@ -332,8 +343,7 @@ def apply_payments(o: DataFrame, verified: DataFrame, as_of,
 
 
 # H12 ------------------------------------------------------------------------
-def confirm_orders(o: DataFrame, calls: DataFrame, as_of,
-                   seq: str | None = "seq") -> MutationResult:
+def confirm_orders(o: DataFrame, calls: DataFrame, as_of, seq: str = "seq") -> MutationResult:
     """Idempotent received -> confirmed per gateway order id.
 
     The first call for a gateway id promotes every matching 'received' row
@@ -342,7 +352,7 @@ def confirm_orders(o: DataFrame, calls: DataFrame, as_of,
     matching order give 'none'.  Rows swept as abandoned but still
     'received' are confirmed too (flag ``confirmed_after_abandon``).
     """
-    seqc = F.col(seq) if seq else F.lit(0)
+    seqc = F.col(seq)
     first = calls.groupBy("razorpay_order_id").agg(F.min(seqc).alias("__first"))
     m = o.join(first.select("razorpay_order_id", F.lit(True).alias("__call")),
                "razorpay_order_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def enrich_orders(o: DataFrame, p: DataFrame) -> DataFrame:
-    """o.*, p.name AS product_name, p.collection, p.gender, p.image.
+    """Every order with its product's name, collection, gender and image.
 
     Left join on product_id: orders without product (NULL id) or with an
     unknown id keep their row with NULL product fields.  The products side

@@ -10,7 +10,7 @@ The same mappings are given as SQL text (``*_SQL``) for the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -107,8 +107,20 @@ FROM part
 STATUS_CODE = {"received": "O", "confirmed": "P", "shipped": "F"}
 
 
-def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
-    """One row per (order, part): id, product_id, custkey, quantity, ..
+# Shop orders of one source order are numbered within it, so that ids stay
+# unique and below 2^53 at any scale the keys of the two tables reach.
+ORDER_SLOTS = 1000
+
+
+def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None,
+                order_keys: DataFrame | None = None) -> DataFrame:
+    """One row per (order, part): id, order_key, product_id, custkey, ..
+
+    ``id`` is order_key * ORDER_SLOTS + the part's rank within the order (an
+    order with more parts than slots is an error, never a repeated id).  The
+    rank's shuffle on the order key also serves the join with ``orders``.
+    ``order_keys`` (one column ``order_key``) limits the work to those orders
+    before the lines are aggregated.
 
     Lines are pre-aggregated per (order, part) before the join with
     ``orders``: the partial aggregate runs map-side, and an order key that
@@ -119,13 +131,21 @@ def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None) ->
     o = table(spark, sf_dir, "orders")
     if status is not None:
         o = o.filter(F.col("o_orderstatus") == F.lit(STATUS_CODE.get(status, "")))
+    if order_keys is not None:
+        wanted = order_keys.select(F.col("order_key").alias("__key")).distinct()
+        li = li.join(wanted, li.l_orderkey == wanted["__key"], "left_semi")
     lines = (li.groupBy("l_orderkey", "l_partkey")
                .agg(F.sum("l_quantity").alias("q"),
                     F.sum("l_extendedprice").alias("v")))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
+    lines = lines.withColumn("slot", rank)
+    slot = F.when(F.col("slot") < ORDER_SLOTS, F.col("slot")).otherwise(
+        F.raise_error(F.lit("an order holds more parts than it has slots")).cast("int"))
     j = lines.join(o, lines.l_orderkey == o.o_orderkey, "inner")
     st = j.o_orderstatus
     return j.select(
-        (j.l_orderkey * 1000000 + j.l_partkey).alias("id"),
+        (j.l_orderkey * ORDER_SLOTS + slot).alias("id"),
+        j.l_orderkey.alias("order_key"),
         j.l_partkey.alias("product_id"),
         j.o_custkey.alias("custkey"),
         j.q.cast("long").alias("quantity"),
@@ -138,15 +158,17 @@ def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None) ->
 
 
 SHOP_ORDERS_SQL = """
-SELECT l.l_orderkey * 1000000 + l.l_partkey AS id, l.l_partkey AS product_id,
+SELECT l.l_orderkey * 1000 + l.slot AS id, l.l_orderkey AS order_key, l.l_partkey AS product_id,
   o.o_custkey AS custkey,
-  CAST(sum(l.l_quantity) AS BIGINT) AS quantity,
-  CAST(round(sum(l.l_extendedprice)) AS BIGINT) AS price_paid,
+  CAST(l.q AS BIGINT) AS quantity,
+  CAST(round(l.v) AS BIGINT) AS price_paid,
   CASE o.o_orderstatus WHEN 'O' THEN 'received' WHEN 'P' THEN 'confirmed' ELSE 'shipped' END AS status,
   CASE o.o_orderstatus WHEN 'O' THEN 'pending' ELSE 'paid' END AS payment_status,
   o.o_orderdate AS ordered_at
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-GROUP BY l.l_orderkey, l.l_partkey, o.o_custkey, o.o_orderstatus, o.o_orderdate
+FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q, sum(l_extendedprice) AS v,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS slot
+      FROM lineitem GROUP BY l_orderkey, l_partkey) l
+JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
 
@@ -190,7 +212,8 @@ FROM customer
 """
 
 
-def full_orders(spark: SparkSession, sf_dir: str, contact: bool = True) -> DataFrame:
+def full_orders(spark: SparkSession, sf_dir: str, contact: bool = True,
+                order_keys: DataFrame | None = None) -> DataFrame:
     """Orders with the shop's full column set (customer contact joined in).
 
     ``customer`` is a dimension keyed by custkey; AQE turns the join into a
@@ -198,7 +221,7 @@ def full_orders(spark: SparkSession, sf_dir: str, contact: bool = True) -> DataF
     ``contact=False`` skips that join (contact columns NULL) for jobs that
     only need keys, states and amounts.
     """
-    so = shop_orders(spark, sf_dir)
+    so = shop_orders(spark, sf_dir, order_keys=order_keys)
     if contact:
         j = so.join(customers(spark, sf_dir), "custkey", "left")
     else:

@@ -54,10 +54,9 @@ def q_inventory_counts(spark, d):
 
 
 @register("duplicate_summary", M.cte(p=M.PRODUCTS_SQL) + """
-SELECT CAST((SELECT count(*) FROM p WHERE active) AS INT) AS active_count,
-       CAST((SELECT count(*) FROM (SELECT 1 FROM p WHERE active
-             GROUP BY gender, collection, name, size HAVING count(*) > 1) x) AS INT)
-         AS remaining_duplicate_groups
+SELECT CAST(coalesce(sum(copies), 0) AS INT) AS active_count,
+       CAST(count_if(copies > 1) AS INT) AS remaining_duplicate_groups
+FROM (SELECT count(*) AS copies FROM p WHERE active GROUP BY gender, collection, name, size) g
 """)
 def q_duplicate_summary(spark, d):
     return cat.duplicate_summary(M.products(spark, d))

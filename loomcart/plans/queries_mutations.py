@@ -1,8 +1,8 @@
 """Registered mutation queries.
 
 Change sets are derived from the whole tables by fixed rules (documented on
-each builder); ``as_of`` is the fixed snapshot time, so "the orders table at
-as_of" is the orders placed before it.
+each builder) and applied to whole tables; ``as_of`` is only the time written
+as "now".
 """
 
 from __future__ import annotations
@@ -19,31 +19,33 @@ _PX = M.PRODUCTS_EXT_SQL
 _SO = M.SHOP_ORDERS_SQL
 
 
-def orders_at(spark, d):
-    """Orders that exist at as_of (placed before it)."""
-    return M.shop_orders(spark, d).filter(F.col("ordered_at") < M.as_of_col())
+def linked_orders(spark, d):
+    """All orders; those of every fifth product lost their reference (NULL),
+    so that some products are referred to by no order."""
+    kept = F.when(F.col("product_id") % 5 != 0, F.col("product_id"))
+    return M.shop_orders(spark, d).withColumn("product_id", kept)
 
 
-_SO_AT = f"SELECT * FROM ({_SO}) WHERE ordered_at < TIMESTAMP '{AS_OF}'"
+_SO_LINKED = f"SELECT * REPLACE (CASE WHEN product_id % 5 <> 0 THEN product_id END AS product_id) FROM ({_SO})"
 
 
-@register("unreferenced_products", M.cte(p=_P, o=_SO_AT) + """
+@register("unreferenced_products", M.cte(p=_P, o=_SO_LINKED) + """
 SELECT * FROM p WHERE id NOT IN (SELECT product_id FROM o WHERE product_id IS NOT NULL)
 """)
 def q_unreferenced(spark, d):
-    """Products no order (at as_of) refers to."""
-    return mu.unreferenced_products(M.products(spark, d), orders_at(spark, d))
+    """Products no order refers to."""
+    return mu.unreferenced_products(M.products(spark, d), linked_orders(spark, d))
 
 
-@register("set_stock", M.cte(p=_P, o=_SO_AT) + """,
+@register("set_stock", M.cte(p=_P, o=_SO_LINKED) + """,
 ch AS (SELECT product_id AS id, arg_max(CAST(quantity AS INT), (ordered_at, id)) AS stock
        FROM o GROUP BY product_id)
 SELECT p.id, p.gender, p.collection, p.name, p.size, p.price, ch.stock, p.active
 FROM p JOIN ch ON p.id = ch.id
 """)
 def q_set_stock(spark, d):
-    """H1: stock set from each order line at as_of; the latest line wins."""
-    o = orders_at(spark, d)
+    """H1: stock set from each order line; the latest line wins."""
+    o = linked_orders(spark, d)
     changes = o.select(F.col("product_id").alias("id"), F.col("quantity").alias("stock"),
                        F.struct("ordered_at", "id").alias("seq"))
     return mu.set_stock(M.products(spark, d), changes).changed
@@ -102,9 +104,11 @@ def q_insert_rejected(spark, d):
 
 def _product_patches(spark, d):
     """Patches by rule over every product: sold-out rows get stock 5 and an
-    explicit NULL size; names with 'ring' send only an unknown key (refused);
-    prices >= 1050 drop by 100 and deactivate; names with 'bolt' try a NULL
-    name (refused, NOT NULL)."""
+    explicit NULL size, then a price that is no number (refused); names with
+    'ring' send only an unknown key (refused), then stock 9; prices >= 1050
+    drop by 100 and deactivate, then price 77 comes with a NULL name (refused
+    whole); names with 'bolt' try a NULL name (refused), then a gender that
+    is too long (refused)."""
     p = M.products(spark, d)
     ch = (F.when(F.col("stock") == 0, F.create_map(F.lit("stock"), F.lit("5"),
                                                    F.lit("size"), F.lit(None).cast("string")))
@@ -114,7 +118,15 @@ def _product_patches(spark, d):
               F.lit("active"), F.lit("false")))
           .when(F.col("name").contains("bolt"), F.create_map(
               F.lit("name"), F.lit(None).cast("string"))))
-    return p.select("id", ch.alias("changes"), F.lit(1).alias("seq")).filter(
+    second = (F.when(F.col("stock") == 0, F.create_map(F.lit("price"), F.lit("abc")))
+              .when(F.col("name").contains("ring"), F.create_map(F.lit("stock"), F.lit("9")))
+              .when(F.col("price") >= 1050, F.create_map(
+                  F.lit("price"), F.lit("77"), F.lit("name"), F.lit(None).cast("string")))
+              .when(F.col("name").contains("bolt"), F.create_map(
+                  F.lit("gender"), F.lit("as long as can be"))))
+    both = F.explode(F.array(F.struct(F.lit(1).alias("seq"), ch.alias("changes")),
+                             F.struct(F.lit(2).alias("seq"), second.alias("changes"))))
+    return p.select("id", both.alias("x")).select("id", "x.seq", "x.changes").filter(
         F.col("changes").isNotNull())
 
 
@@ -129,9 +141,9 @@ r AS (SELECT *, {_PATCH_RULE} AS rule FROM p)
 SELECT id, gender, collection, name,
   CASE WHEN rule = 'a' THEN NULL ELSE size END AS size,
   CASE WHEN rule = 'c' THEN price - 100 ELSE price END AS price,
-  CASE WHEN rule = 'a' THEN 5 ELSE stock END AS stock,
+  CASE rule WHEN 'a' THEN 5 WHEN 'b' THEN 9 ELSE stock END AS stock,
   CASE WHEN rule = 'c' THEN false ELSE active END AS active
-FROM r WHERE rule IN ('a', 'c')
+FROM r WHERE rule IN ('a', 'b', 'c')
 """)
 def q_patch_products(spark, d):
     """H3 + B8: partial product updates (present keys only)."""
@@ -140,9 +152,13 @@ def q_patch_products(spark, d):
 
 @register("patch_products_outcomes", M.cte(p=_P) + f""",
 r AS (SELECT id, {_PATCH_RULE} AS rule FROM p)
-SELECT id, CASE rule WHEN 'b' THEN 'no fields' WHEN 'd' THEN 'not null'
+SELECT id, 1 AS seq, CASE rule WHEN 'b' THEN 'no fields' WHEN 'd' THEN 'not null'
                 ELSE 'updated' END AS outcome
 FROM r WHERE rule IS NOT NULL
+UNION ALL
+SELECT id, 2, CASE rule WHEN 'a' THEN 'bad value' WHEN 'b' THEN 'updated'
+                WHEN 'c' THEN 'not null' ELSE 'too long' END
+FROM r WHERE rule IS NOT NULL
 """)
 def q_patch_outcomes(spark, d):
     return mu.patch_products(M.products(spark, d),
@@ -150,10 +166,10 @@ def q_patch_outcomes(spark, d):
 
 
 def _order_patches(spark, d):
-    """Two patches per order at as_of, applied in order: confirmed orders
+    """Two patches per order, applied in order: confirmed orders
     are shipped with a tracking number, then get a note; received orders
     get a note and an explicit NULL status."""
-    o = orders_at(spark, d)
+    o = linked_orders(spark, d)
     first = o.select("id", F.lit(1).alias("seq"), F.when(
         F.col("status") == "confirmed",
         F.create_map(F.lit("status"), F.lit("shipped"), F.lit("tracking_number"),
@@ -168,14 +184,10 @@ def _order_patches(spark, d):
     return first.filter(F.col("changes").isNotNull()).unionByName(second)
 
 
-def _full_orders_at(spark, d):
-    return M.full_orders(spark, d).filter(F.col("ordered_at") < M.as_of_col())
-
-
-_FO_AT = f"SELECT * FROM ({M.FULL_ORDERS_SQL}) WHERE ordered_at < TIMESTAMP '{AS_OF}'"
+_FO = M.FULL_ORDERS_SQL
 
 
-@register("patch_orders", M.cte(o=_FO_AT) + f"""
+@register("patch_orders", M.cte(o=_FO) + f"""
 SELECT id, CASE WHEN status = 'confirmed' THEN 'shipped' ELSE status END AS status,
   CASE WHEN status = 'confirmed' THEN 'TRK-' || CAST(id AS VARCHAR) ELSE tracking_number END
     AS tracking_number,
@@ -185,11 +197,11 @@ FROM o WHERE status IN ('confirmed', 'received')
 """)
 def q_patch_orders(spark, d):
     """H4 + H15 (database mode: NULL keeps the old value)."""
-    r = mu.patch_orders(_full_orders_at(spark, d), _order_patches(spark, d), AS_OF)
+    r = mu.patch_orders(M.full_orders(spark, d), _order_patches(spark, d), AS_OF)
     return r.changed.select("id", "status", "tracking_number", "notes", "updated_at")
 
 
-@register("patch_orders_presence", M.cte(o=_FO_AT) + f"""
+@register("patch_orders_presence", M.cte(o=_FO) + f"""
 SELECT id, CASE WHEN status = 'confirmed' THEN 'shipped' ELSE NULL END AS status,
   CAST(NULL AS VARCHAR) AS tracking_number,
   CASE WHEN status = 'confirmed' THEN 'packed' ELSE 'call customer' END AS notes,
@@ -198,24 +210,24 @@ FROM o WHERE status IN ('confirmed', 'received')
 """)
 def q_patch_orders_presence(spark, d):
     """H4 file mode: a present NULL overwrites."""
-    r = mu.patch_orders(_full_orders_at(spark, d), _order_patches(spark, d), AS_OF,
+    r = mu.patch_orders(M.full_orders(spark, d), _order_patches(spark, d), AS_OF,
                         mode="presence")
     return r.changed.select("id", "status", "tracking_number", "notes", "updated_at")
 
 
-@register("soft_delete", M.cte(p=_P, o=_SO_AT) + """
+@register("soft_delete", M.cte(p=_P, o=_SO_LINKED) + """
 SELECT id, CASE WHEN id NOT IN (SELECT product_id FROM o WHERE product_id IS NOT NULL)
                 THEN false ELSE active END AS active
 FROM p
 """)
 def q_soft_delete(spark, d):
-    """H5: retire every product without an order at as_of (new table)."""
+    """H5: retire every product without an order (new table)."""
     p = M.products(spark, d)
-    ids = mu.unreferenced_products(p, orders_at(spark, d)).select("id")
+    ids = mu.unreferenced_products(p, linked_orders(spark, d)).select("id")
     return mu.soft_delete(p, ids).table.select("id", "active")
 
 
-@register("wipe_products_summary", M.cte(p=_P, o=_SO_AT) + """,
+@register("wipe_products_summary", M.cte(p=_P, o=_SO_LINKED) + """,
 r AS (SELECT *, id IN (SELECT product_id FROM o WHERE product_id IS NOT NULL) AS ref FROM p)
 SELECT count(*) FILTER (WHERE NOT ref) AS hard_deleted,
        count(*) FILTER (WHERE ref AND active) AS soft_deleted
@@ -223,28 +235,28 @@ FROM r
 """)
 def q_wipe_summary(spark, d):
     """H6: counts of hard- and soft-deleted products."""
-    return mu.wipe_products(M.products(spark, d), orders_at(spark, d)).extra["summary"]
+    return mu.wipe_products(M.products(spark, d), linked_orders(spark, d)).extra["summary"]
 
 
-@register("wipe_products_table", M.cte(p=_P, o=_SO_AT) + """
+@register("wipe_products_table", M.cte(p=_P, o=_SO_LINKED) + """
 SELECT id, name, size, false AS active FROM p
 WHERE id IN (SELECT product_id FROM o WHERE product_id IS NOT NULL)
 """)
 def q_wipe_table(spark, d):
-    return mu.wipe_products(M.products(spark, d), orders_at(spark, d)).table.select(
+    return mu.wipe_products(M.products(spark, d), linked_orders(spark, d)).table.select(
         "id", "name", "size", "active")
 
 
-@register("purge_inactive_deleted", M.cte(p=_P, o=_SO_AT) + """
+@register("purge_inactive_deleted", M.cte(p=_P, o=_SO_LINKED) + """
 SELECT id, name, size FROM p
 WHERE NOT active AND id NOT IN (SELECT product_id FROM o WHERE product_id IS NOT NULL)
 """)
 def q_purge_deleted(spark, d):
     """H7: inactive products no order refers to are deleted."""
-    return mu.purge_inactive(M.products(spark, d), orders_at(spark, d)).changed
+    return mu.purge_inactive(M.products(spark, d), linked_orders(spark, d)).changed
 
 
-@register("purge_inactive_counts", M.cte(p=_P, o=_SO_AT) + """,
+@register("purge_inactive_counts", M.cte(p=_P, o=_SO_LINKED) + """,
 left_ AS (SELECT * FROM p WHERE active
           OR id IN (SELECT product_id FROM o WHERE product_id IS NOT NULL))
 SELECT count(*) FILTER (WHERE active) AS active_count,
@@ -252,14 +264,16 @@ SELECT count(*) FILTER (WHERE active) AS active_count,
        count(*) AS total_count FROM left_
 """)
 def q_purge_counts(spark, d):
-    return mu.purge_inactive(M.products(spark, d), orders_at(spark, d)).extra["counts"]
+    return mu.purge_inactive(M.products(spark, d), linked_orders(spark, d)).extra["counts"]
 
 
 @register("dedupe_changed", M.cte(p=_P) + """,
-ranked AS (SELECT id, row_number() OVER (PARTITION BY gender, collection, name, size
-                                         ORDER BY stock DESC, id ASC) AS rn
-           FROM p WHERE active)
-SELECT id, name, size, stock FROM p WHERE id IN (SELECT id FROM ranked WHERE rn > 1)
+kept AS (SELECT gender, collection, name, size, arg_min(id, (-stock, id)) AS keep_id
+         FROM p WHERE active GROUP BY gender, collection, name, size)
+SELECT p.id, p.name, p.size, p.stock FROM p JOIN kept k
+  ON p.gender IS NOT DISTINCT FROM k.gender AND p.collection IS NOT DISTINCT FROM k.collection
+ AND p.name IS NOT DISTINCT FROM k.name AND p.size IS NOT DISTINCT FROM k.size
+WHERE p.active AND p.id <> k.keep_id
 """)
 def q_dedupe_changed(spark, d):
     """H8 + E1 + C3: copies deactivated by de-duplication."""
@@ -267,25 +281,24 @@ def q_dedupe_changed(spark, d):
 
 
 @register("dedupe_after", M.cte(p=_P) + """,
-ranked AS (SELECT id, row_number() OVER (PARTITION BY gender, collection, name, size
-                                         ORDER BY stock DESC, id ASC) AS rn
-           FROM p WHERE active),
-after AS (SELECT * FROM p WHERE active AND id NOT IN (SELECT id FROM ranked WHERE rn > 1))
-SELECT CAST((SELECT count(*) FROM after) AS INT) AS active_count,
-       CAST((SELECT count(*) FROM (SELECT 1 FROM after GROUP BY gender, collection, name, size
-                                   HAVING count(*) > 1)) AS INT) AS remaining_duplicate_groups
+groups AS (SELECT arg_min(id, (-stock, id)) AS keep_id FROM p WHERE active
+           GROUP BY gender, collection, name, size)
+SELECT CAST(count(*) AS INT) AS active_count,
+       CAST(count(*) - count(DISTINCT (p.gender, p.collection, p.name, p.size)) AS INT)
+         AS remaining_duplicate_groups
+FROM p JOIN groups ON p.id = keep_id
 """)
 def q_dedupe_after(spark, d):
     """H8 + D2: summary after de-duplication (no groups remain)."""
     return mu.dedupe_products(M.products(spark, d)).extra["after"]
 
 
-@register("delete_orders", M.cte(o=_SO_AT) + """
+@register("delete_orders", M.cte(o=_SO_LINKED) + """
 SELECT id FROM o WHERE status = 'shipped'
 """)
 def q_delete_orders(spark, d):
-    """H9: shipped orders at as_of are deleted (returns the deleted ids)."""
-    o = orders_at(spark, d)
+    """H9: shipped orders are deleted (returns the deleted ids)."""
+    o = linked_orders(spark, d)
     return mu.delete_orders(o, o.filter(F.col("status") == "shipped").select("id")).changed
 
 
@@ -299,9 +312,9 @@ def q_clear_orders(spark, d):
 
 
 def _reorders(spark, d):
-    """New orders: every shipped order at as_of is ordered again one day
+    """New orders: every shipped order is ordered again one day
     later; paid ones carry their payment id."""
-    o = _full_orders_at(spark, d).filter(F.col("status") == "shipped")
+    o = M.full_orders(spark, d).filter(F.col("status") == "shipped")
     return o.select(
         "product_id", "customer_name", "customer_phone", "customer_email",
         "customer_address", "size",
@@ -318,9 +331,9 @@ def _append_sql(mode: str) -> str:
     status = ("CASE WHEN price_paid > 100000 AND razorpay_payment_id IS NOT NULL "
               "AND razorpay_payment_id <> '' THEN 'confirmed' ELSE 'received' END"
               if mode == "file" else "'received'")
-    return M.cte(so=_SO, o=_FO_AT) + f""",
+    return M.cte(so=_SO, o=_FO) + f""",
 n AS (SELECT * FROM o WHERE status = 'shipped')
-SELECT (SELECT max(id) FROM so WHERE ordered_at < TIMESTAMP '{AS_OF}')
+SELECT (SELECT max(id) FROM so)
          + row_number() OVER (ORDER BY ordered_at + INTERVAL 1 DAY, id) AS id,
   product_id, CASE WHEN quantity > 40 OR quantity = 0 THEN 1 ELSE quantity END AS quantity,
   {status} AS status,
@@ -334,7 +347,7 @@ FROM n
 
 
 def _append(spark, d, mode):
-    r = mu.append_orders(_full_orders_at(spark, d), _reorders(spark, d), AS_OF, mode=mode,
+    r = mu.append_orders(M.full_orders(spark, d), _reorders(spark, d), AS_OF, mode=mode,
                          order_by=["ordered_at", "src_id"])
     return r.changed.select("id", "product_id", "quantity", "status", "razorpay_order_id",
                             "razorpay_payment_id", "payment_status", "ordered_at")

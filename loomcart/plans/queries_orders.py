@@ -14,24 +14,24 @@ def q_shop_orders(spark, d):
     return M.shop_orders(spark, d)
 
 
-@register("list_orders_received", M.cte(so=M.SHOP_ORDERS_SQL, p=M.PRODUCTS_SQL) + """
-SELECT so.*, p.name AS product_name, p.collection, p.gender
+@register("list_orders_received", M.cte(so=M.SHOP_ORDERS_SQL, p=M.PRODUCTS_EXT_SQL) + """
+SELECT so.*, p.name AS product_name, p.collection, p.gender, p.image
 FROM so LEFT JOIN p ON so.product_id = p.id
 WHERE so.status = 'received'
 """)
 def q_list_orders(spark, d):
     """C1 + B3 + B9 + F2: received orders with product fields, newest first."""
     so = M.shop_orders(spark, d, status="received")     # pushed to the orders scan
-    return ops.list_orders(so, M.products(spark, d), "received")
+    return ops.list_orders(so, M.products(spark, d, extended=True), "received")
 
 
-@register("list_orders_all", M.cte(so=M.SHOP_ORDERS_SQL, p=M.PRODUCTS_SQL) + """
-SELECT so.*, p.name AS product_name, p.collection, p.gender
+@register("list_orders_all", M.cte(so=M.SHOP_ORDERS_SQL, p=M.PRODUCTS_EXT_SQL) + """
+SELECT so.*, p.name AS product_name, p.collection, p.gender, p.image
 FROM so LEFT JOIN p ON so.product_id = p.id
 """)
 def q_list_orders_all(spark, d):
     """C1 without a status filter (the whole order list)."""
-    return ops.list_orders(M.shop_orders(spark, d), M.products(spark, d))
+    return ops.list_orders(M.shop_orders(spark, d), M.products(spark, d, extended=True))
 
 
 @register("full_orders", M.FULL_ORDERS_SQL)

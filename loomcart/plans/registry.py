@@ -28,11 +28,7 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_catalogue, queries_orders  # noqa: F401
-    for mod in ("queries_mutations", "queries_stock", "queries_payments",
-                "queries_localise", "queries_streaming", "queries_quality"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from . import (  # noqa: F401
+        queries_catalogue, queries_localise, queries_mutations, queries_orders, queries_payments,
+        queries_quality, queries_stock, queries_streaming,
+    )

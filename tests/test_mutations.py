@@ -72,8 +72,35 @@ def test_patch_products_presence_and_null(spark):
         "id long, changes map<string,string>, seq int")
     r = mu.patch_products(p, patches)
     assert rows(r.changed, "id", "size", "stock") == [(1, None, 7)]
-    assert rows(r.extra["outcomes"], "id", "outcome") == [
-        (1, "updated"), (2, "no fields"), (3, "not found")]
+    assert rows(r.extra["outcomes"], "id", "seq", "outcome") == [
+        (1, 1, "updated"), (1, 2, "updated"), (2, 1, "no fields"), (3, 1, "not found")]
+
+
+def test_patches_are_judged_one_by_one(spark):
+    p = products(spark, [(i, "m", "c", "A", "S", 10, 1, True) for i in (1, 2, 3, 4)])
+    patches = spark.createDataFrame(
+        [(1, {"price": "99"}, 1), (1, {"name": None}, 2),
+         (2, {"name": None, "price": "77"}, 1), (2, {"name": "X"}, 2),
+         (3, {"price": "abc"}, 1), (3, {"stock": "4"}, 2),
+         (4, {"gender": "far too long a text"}, 1)],
+        "id long, changes map<string,string>, seq int")
+    r = mu.patch_products(p, patches)
+    assert rows(r.extra["outcomes"], "id", "seq", "outcome") == [
+        (1, 1, "updated"), (1, 2, "not null"), (2, 1, "not null"), (2, 2, "updated"),
+        (3, 1, "bad value"), (3, 2, "updated"), (4, 1, "too long")]
+    assert rows(r.changed, "id", "name", "price", "stock") == [
+        (1, "A", 99, 1), (2, "X", 10, 1), (3, "A", 10, 4)]
+
+
+def test_set_stock_refuses_null(spark):
+    p = products(spark, [(1, "m", "c", "A", "S", 10, 1, True), (2, "m", "c", "B", "M", 10, 2, True)])
+    ch = spark.createDataFrame([(1, 5, 1), (1, None, 2), (2, None, 1), (9, 3, 1)],
+                               "id long, stock int, seq int")
+    r = mu.set_stock(p, ch)
+    assert rows(r.table, "id", "stock") == [(1, 5), (2, 2)]
+    assert rows(r.changed, "id", "stock") == [(1, 5)]
+    assert rows(r.extra["refused"], "id", "seq", "outcome") == [
+        (1, 2, "not null"), (2, 1, "not null"), (9, 1, "not found")]
 
 
 def test_patch_orders_modes(spark):
