@@ -6,11 +6,13 @@ holding a third of all rows is numbered by a single task.  Here:
 1. rows are range-partitioned on (k, o), sorted, and checkpointed, so every
    partition is a contiguous run of the global order and a hot key spans
    many partitions;
-2. a summary with one row per partition (first key, last key, rows of the
-   last key) gives, for the one key a partition may continue, the number of
-   its rows in earlier partitions;
-3. each partition numbers its rows locally (streaming over its Arrow
-   batches) and adds that offset.
+2. a plain aggregate per partition and key gives the first place and the
+   number of rows of the key's share in each partition; a running sum over a
+   key's partitions (never over its rows) tells how many come before;
+3. a row's number is its place less the share's first place, plus that sum.
+
+All of it is built-in expressions: carried columns of any type pass through
+unchanged.
 
 Keys are compared through a canonical JSON text of the key columns, so NULL
 key values form one group, as in SQL.
@@ -18,70 +20,11 @@ key values form one group, as in SQL.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
-_SUMMARY = T.StructType([
-    T.StructField("__pid", T.IntegerType()),
-    T.StructField("first_key", T.StringType()),
-    T.StructField("last_key", T.StringType()),
-    T.StructField("last_count", T.LongType()),
-])
-
-
-def _summarise(batches):
-    pid = None
-    first = last = None
-    last_count = 0
-    for b in batches:
-        if not len(b):
-            continue
-        keys = b["__k"].to_numpy()
-        if pid is None:
-            pid = int(b["__pid"].iat[0])
-            first = keys[0]
-        tail = keys[-1]
-        run = int((keys == tail).sum()) if (keys == tail).all() else int(
-            len(keys) - np.flatnonzero(keys != tail)[-1] - 1)
-        if tail == last and (keys == tail).all():
-            last_count += run
-        else:
-            last_count = run
-        last = tail
-    if pid is not None:
-        yield pd.DataFrame({"__pid": [pid], "first_key": [first], "last_key": [last],
-                            "last_count": [last_count]})
-
-
-def _numberer(out: str):
-    def number(batches):
-        cur_key, cur_n, first_key = None, 0, None
-        for b in batches:
-            if not len(b):
-                continue
-            keys = b["__k"].to_numpy()
-            if first_key is None:
-                first_key = keys[0]
-                cur_key, cur_n = first_key, int(b["__off"].iat[0])
-            starts = np.concatenate(([True], keys[1:] != keys[:-1]))
-            starts[0] = keys[0] != cur_key
-            grp = np.cumsum(starts)
-            pos = np.arange(len(keys)) - np.maximum.accumulate(
-                np.where(starts, np.arange(len(keys)), 0)) + 1
-            rn = np.where(grp == 0, pos + cur_n, pos)
-            cur_key = keys[-1]
-            cur_n = int(rn[-1])
-            b = b.drop(columns=["__k", "__pid", "__off"])
-            b[out] = rn.astype("int64")
-            yield b
-    return number
-
-
 def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column],
                      out: str = "rn", partitions: int | None = None) -> DataFrame:
     """``df`` with ``out`` = row_number() over (partition by keys order by order).
@@ -100,22 +43,13 @@ def keyed_row_number(df: DataFrame, keys: list[str], order: list[Column],
               else with_key.repartitionByRange(*kcols, *order))
     laid = (ranged
             .sortWithinPartitions(*kcols, *order)
+            .withColumn("__m", F.monotonically_increasing_id())   # partition, then place in it
             .checkpoint(eager=True)
-            .withColumn("__pid", F.spark_partition_id()))
-    summ = laid.select("__k", "__pid").mapInPandas(_summarise, _SUMMARY)
-    w = Window.orderBy("__pid")
-    carry = F.sum("last_count").over(
-        Window.partitionBy("last_key").orderBy("__pid")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summ = summ.withColumn("carry", carry)
-    offs = summ.select("__pid", "first_key",
-                       F.lag("last_key").over(w).alias("pk"),
-                       F.lag("carry").over(w).alias("pc"))
-    offs = offs.select("__pid", F.when(F.col("pk") == F.col("first_key"), F.col("pc"))
-                       .otherwise(F.lit(0)).cast("long").alias("__off"))
-    # ``offs`` has one row per partition: a proven broadcast bound.
-    joined = laid.join(F.broadcast(offs), "__pid").sortWithinPartitions(*kcols, *order)
-    schema = T.StructType([f for f in df.schema.fields] + [T.StructField(out, T.LongType())])
-    cols = [c for c in joined.columns if c not in df.columns]
-    joined = joined.select(*df.columns, *cols)
-    return joined.mapInPandas(_numberer(out), schema)
+            .withColumn("__pid", F.shiftright("__m", 33)))
+    counts = laid.groupBy("__pid", "__k").agg(F.count(F.lit(1)).alias("__c"), F.min("__m").alias("__first"))
+    before = Window.partitionBy("__k").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", "__k", "__first",
+                            F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    numbered = laid.join(offsets, ["__pid", "__k"])
+    place = F.col("__m") - F.col("__first") + 1 + F.col("__off")
+    return numbered.select(*df.columns, place.cast("long").alias(out))

@@ -186,3 +186,17 @@ def test_keyed_row_number_hot_key_equals_window(spark):
         got = {(r.id, r.rn) for r in keyed_row_number(df, ["k", "g"], order, "rn",
                                                       partitions=parts).collect()}
         assert got == want
+
+
+def test_keyed_row_number_leaves_carried_columns_alone(spark):
+    import datetime as dt
+
+    from loomcart.operators.ranking import keyed_row_number
+
+    big = 9007199254740993
+    rows_in = [(1, 1, big, dt.datetime(2020, 1, 1, 1, 2, 3, 456789), "é\n", None),
+               (1, 2, None, None, None, [1, None]), (None, 3, big + 2, None, "x", [])]
+    df = spark.createDataFrame(rows_in, "k int, o int, big long, ts timestamp, s string, a array<int>")
+    got = keyed_row_number(df, ["k"], [F.col("o")], "rn", partitions=3).orderBy("o").collect()
+    assert [tuple(r)[:6] for r in got] == rows_in
+    assert [r.rn for r in got] == [1, 2, 1]
