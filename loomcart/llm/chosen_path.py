@@ -51,10 +51,11 @@ class JoinSettings:
     similarity: tuple[int, int] = (4, 5)       # 0.8 as a fraction
     target_recall: float = 0.999999
     coordinates: int = 64                      # smallest shingles kept of a set
-    bucket: int = 1000                         # sets compared by brute force
-    max_depth: int = 3
+    bucket: int = 4096                         # sets compared by brute force
+    max_depth: int = 2
     tile: int = 512                            # sets on a side of an exact tile
     least_sketch: int = 32                     # equal sketch bytes, six deviations below 0.8
+    broadcast_texts: int = 2_000_000           # 8-byte keys; more are joined by a shuffle
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -132,7 +133,8 @@ def smallest(h: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, s: JoinSettings) -> DataFrame:
-    """id, tk (digest of the text), fp (digest of the set; null if empty), sig."""
+    """id, tk (digest of the text), fp (digest of the set; null if empty), sig
+    (smallest shingles, four bytes each), sk (one byte of each)."""
     key = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +146,11 @@ def _sketched(docs: DataFrame, s: JoinSettings) -> DataFrame:
                       for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                     pa.array(fp, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["id", "tk", "fp", "sig"])
+                     pa.array(fp, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()),
+                     pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())],
+                    names=["id", "tk", "fp", "sig", "sk"])
 
-    return docs.mapInArrow(run, f"id {key}, tk string, fp binary, sig binary")
+    return docs.mapInArrow(run, f"id {key}, tk string, fp binary, sig binary, sk binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
@@ -217,8 +220,7 @@ def _candidate_edges(leaves: DataFrame, s: JoinSettings) -> DataFrame:
             keys = t.column(0).to_numpy()
             rid = t.column(1).to_numpy()
             part = t.column(2).to_numpy()
-            sk = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint32).reshape(
-                -1, coordinates).astype(np.uint8)
+            sk = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, coordinates)
             out_a, out_b = [], []
             for x, y in _spans_of(keys):
                 if y - x < 2:
@@ -227,9 +229,9 @@ def _candidate_edges(leaves: DataFrame, s: JoinSettings) -> DataFrame:
                 ids, own, cut = rid[by], sk[by], part[by]
                 pairs_a, pairs_b = [], []
                 for i in range(0, len(ids), 128):
-                    same = (own[i:i + 128, None, :] == own[None, :, :]).sum(2, dtype=np.int16) >= least
+                    same = (own[i:i + 128, None, :] == own[None, i:, :]).sum(2, dtype=np.int16) >= least
                     a, b = np.nonzero(same)
-                    a += i
+                    a, b = a + i, b + i
                     ok = (a < b) & ((cut[a] == 2) | (cut[a] != cut[b]))
                     pairs_a.append(a[ok])
                     pairs_b.append(b[ok])
@@ -241,43 +243,65 @@ def _candidate_edges(leaves: DataFrame, s: JoinSettings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    sorted_tiles = leaves.select("tile", "rid", "part", "sig").repartition("tile").sortWithinPartitions("tile")
+    sorted_tiles = leaves.select("tile", "rid", "part", "sk").repartition("tile").sortWithinPartitions("tile")
     return sorted_tiles.mapInArrow(run, "a long, b long")
 
 
-def _walk(reps: DataFrame, runs: range, s: JoinSettings) -> tuple[DataFrame, DataFrame]:
-    """Leaves (tile, rid, part, sig) of the runs, and (rid, miss): the chance
-    that all these runs missed a partner of the least similarity."""
-    def step(path, coordinate):
-        # Four bytes of the signature, at the sampled coordinate.
-        value = F.substring(F.col("sig"), coordinate * 4 + 1, F.lit(4))
-        return F.xxhash64(path, coordinate, value)
-
+def _walk(reps: DataFrame, runs: range, s: JoinSettings) -> DataFrame:
+    """Buckets of the runs: rid, node, size, depth; one row per set and run
+    (single sets too)."""
     def coordinate(path):
         return F.pmod(F.xxhash64(path, F.lit("coordinate")), F.lit(s.coordinates)).cast("int")
 
     rows = reps.select("rid", "sig", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"))
     rows = rows.withColumn("node0", F.xxhash64(F.lit("run"), "run"))
     for d in range(1, s.max_depth + 1):
-        rows = rows.withColumn(f"c{d}", coordinate(F.col(f"node{d - 1}")))
-        rows = rows.withColumn(f"node{d}", step(F.col(f"node{d - 1}"), F.col(f"c{d}")))
-    paths = [f"node{d}" for d in range(1, s.max_depth + 1)]
-    rows = rows.select("rid", "run", *paths)
-    leaves, stops = [], []
+        # Four bytes of the signature, at the sampled coordinate.
+        path = F.col(f"node{d - 1}")
+        rows = rows.withColumn("at", coordinate(path))
+        rows = rows.withColumn(f"node{d}", F.xxhash64(path, "at", F.substring(
+            F.col("sig"), F.col("at") * 4 + 1, F.lit(4))))
+    rows = rows.select("rid", *[f"node{d}" for d in range(1, s.max_depth + 1)])
+    done = []
     for d in range(1, s.max_depth + 1):
         node = f"node{d}"
-        sizes = rows.groupBy(node).agg(F.count("rid").alias("size"))
-        sized = rows.join(sizes, node)
+        sized = rows.join(rows.groupBy(node).agg(F.count("rid").alias("size")), node)
         end = (F.col("size") <= s.bucket) if d < s.max_depth else F.lit(True)
-        leaves.append(sized.where(end & (F.col("size") > 1)).select(F.col(node).alias("node"), "rid", "size"))
-        stops.append(sized.where(end).select("rid", F.lit(d).alias("depth")))
+        done.append(sized.where(end).select("rid", F.col(node).alias("node"), "size", F.lit(d).alias("depth")))
         rows = sized.where(~end).drop("size")
-    near, depth = leaves[0], stops[0]
-    for more, stop in zip(leaves[1:], stops[1:]):
-        near, depth = near.unionByName(more), depth.unionByName(stop)
-    p = s.similarity[0] / s.similarity[1]
-    miss = depth.groupBy("rid").agg(F.exp(F.sum(F.log(1 - F.pow(F.lit(p), F.col("depth"))))).alias("miss"))
-    return _tiled(near, "node", "size", s.bucket).join(reps.select("rid", "sig"), "rid"), miss
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _edges(reps: DataFrame, s: JoinSettings) -> DataFrame:
+    """Candidate edges of as many runs as the target recall asks for."""
+    each, allowed = s.similarity[0] / s.similarity[1], 1 - s.target_recall
+    batch = math.ceil(math.log(allowed) / math.log(1 - each))
+    active, runs, edges, missed = reps, 0, None, None
+    while True:
+        walked = written(_walk(active, range(runs, runs + batch), s), "join-buckets")
+        near = _tiled(walked.where(F.col("size") > 1), "node", "size", s.bucket).join(
+            reps.select("rid", "sk"), "rid")
+        found = written(_candidate_edges(near, s), "join-edges")
+        edges = found if edges is None else edges.unionByName(found)
+        runs += batch
+        # A run that ends at depth d misses a partner of the least similarity
+        # with chance 1 - similarity^d.  Sets whose runs all end at depth 1
+        # are within the allowed chance; only the others are added up.
+        deep = walked.where(F.col("depth") > 1).groupBy("rid").agg(
+            F.count("rid").alias("n"), F.sum(F.log(1 - F.pow(F.lit(each), F.col("depth")))).alias("l"))
+        miss = F.exp(F.col("l") + (batch - F.col("n")) * math.log(1 - each))
+        now = deep.select("rid", miss.alias("miss"))
+        if missed is not None:
+            # A set not deep in this batch has added enough by it alone.
+            now = now.join(missed.withColumnRenamed("miss", "before"), "rid").select(
+                "rid", (F.col("miss") * F.col("before")).alias("miss"))
+        missed = written(now.where(F.col("miss") > allowed), "join-missed")
+        if missed.isEmpty():
+            return edges
+        active = reps.join(missed.select("rid"), "rid", "left_semi")
 
 
 def _exact(sets: DataFrame, s: JoinSettings) -> DataFrame:
@@ -367,33 +391,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = written(
         sketched.where(F.col("fp").isNotNull()).groupBy("fp").agg(
             F.count("fp").alias("docs"), F.min("id").alias("low"), F.min("tk").alias("tk"),
-            F.first("sig").alias("sig"))
+            F.first("sig").alias("sig"), F.first("sk").alias("sk"))
         .withColumn("rid", F.monotonically_increasing_id()), "join-sets")
 
-    # Runs, until every set's chance of a miss is small enough.
-    each = s.similarity[0] / s.similarity[1]
-    allowed = 1 - s.target_recall
-    batch = math.ceil(math.log(allowed) / math.log(1 - each))
-    active, done, edges, missed = reps.select("rid", "sig"), 0, None, None
-    while True:
-        leaves, miss = _walk(active, range(done, done + batch), s)
-        found = written(_candidate_edges(leaves, s), "join-edges")
-        edges = found if edges is None else edges.unionByName(found)
-        if missed is not None:
-            miss = miss.join(missed.withColumnRenamed("miss", "before"), "rid").select(
-                "rid", (F.col("miss") * F.col("before")).alias("miss"))
-        missed = written(miss.where(F.col("miss") > allowed * 1.0000001), "join-missed")
-        done += batch
-        if missed.isEmpty():
-            break
-        active = active.join(missed.select("rid"), "rid", "left_semi")
-    clusters = components(edges).select(F.col("v").alias("rid"), F.col("root").alias("cluster"))
+    clusters = components(_edges(reps, s)).select(F.col("v").alias("rid"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("rid").alias("size"))
     chosen = written(clusters.join(sizes, "cluster").join(reps.select("rid", "tk", "docs"), "rid"),
                      "join-clusters")
 
     # Exact comparison: the sets of one copy of each text concerned.
-    texts = src.select("tk", "t").join(chosen.select("tk"), "tk", "left_semi")
+    texts = src.select("tk", "t")
+    keys = chosen.select(F.xxhash64("tk").alias("x"))
+    if keys.count() <= s.broadcast_texts:      # spares the other texts the shuffle
+        keys = F.broadcast(keys)
+    texts = texts.join(keys, F.xxhash64("tk") == F.col("x"), "left_semi")
     sets = _set_rows(texts, s).groupBy("tk").agg(F.first("shingles").alias("shingles"))
     tiles = _tiled(chosen.join(sets, "tk").select("cluster", "rid", "size", "docs", "shingles"),
                    "cluster", "size", s.tile)

@@ -20,12 +20,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     now = written(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     for _ in range(max_rounds):
+        if _settled(now):
+            return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(
+                now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(
-            F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+            F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         # Every edge now points from a to a smaller b.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(
@@ -33,12 +35,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
                               F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct()
         now = written(small, "edges")
-        seen = now.agg(F.count("a").alias("n"),
-                       F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
-        if state == (seen["n"], seen["h"]):
-            break
-        state = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """True if every vertex with an edge to a smaller one has just one, to a
+    vertex that has none: stars, which are the components."""
+    roles = edges.select(F.col("a").alias("v"), "b").unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(None).cast(edges.schema["b"].dataType).alias("b")))
+    mixed = roles.groupBy("v").agg(F.min("b").alias("lo"), F.max("b").alias("hi"),
+                                   F.count_if(F.col("b").isNull()).alias("n"))
+    return mixed.where(F.col("lo").isNotNull() & ((F.col("lo") != F.col("hi")) | (F.col("n") > 0))).isEmpty()
