@@ -237,8 +237,3 @@ def size_rank(size) -> Column:
     m = F.create_map(*[x for k, v in K.SIZE_ORDER.items()
                        for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.element_at(m, _c(size)), F.lit(K.UNKNOWN_SIZE_RANK))
-
-
-def out_markers(variants) -> Column:
-    """Per-variant sold-out flag (stock <= 0) for an array of structs."""
-    return F.transform(_c(variants), lambda v: v["stock"] <= 0)

@@ -52,10 +52,6 @@ def lookup(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 
 # B5 -------------------------------------------------------------------------
-def with_stock_flag(p: DataFrame) -> DataFrame:
-    return p.withColumn("in_stock", F.col("stock") > 0)
-
-
 # C10 ------------------------------------------------------------------------
 def with_label(df: DataFrame, labels: DataFrame, key_col: str,
                out_col: str = "label", known_rows: int | None = None) -> DataFrame:

@@ -5,12 +5,12 @@ whitespace, including U+00A0 and U+FEFF, becomes one space) and trimmed
 before the dictionary join; the original leading and trailing whitespace
 is kept around the translation.  A text with no entry stays as it is.
 
-Page localisation works on raw HTML with regular expressions: skipped
-elements (script, style, textarea), comments and elements marked with the
-opt-out attribute are removed, then text between tags becomes one row per
-fragment.  Limit: an opted-out element is cut up to the first closing tag
-of the same name, so *nested* elements of the same tag inside an opted-out
-block end the cut early.
+Page localisation cuts the page's body into tokens (comments, elements whose
+content is never translated, tags, text) with one expression and works on that
+array: text nodes stay apart where a comment or tag parts them, and blocks with
+the opt-out attribute end at the closing tag that belongs to them.  What an
+element holds is told by its own name only (tags of other names left open
+inside an opted-out block do not matter).
 """
 
 from __future__ import annotations
@@ -20,78 +20,181 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import functions as fn
-from .joins import join_small, materialize, spread
-
-# --- Fixed values: character references decoded in text (HTML standard) ----
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&")]
+from .joins import materialize, spread
+
+# --- Fixed values: named character references decoded in text (HTML standard;
+# "&amp;" last, so that an escaped reference stays a text) --------------------
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+            ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"),
+            ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+            ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&times;", "×"),
+            ("&deg;", "°"), ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&")]
+
+_SKIPPED = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|$)" for t in K.SKIPPED_ELEMENTS)
+_TAG = r"""</?[a-zA-Z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+_TEXT = r"(?:[^<]|<(?![a-zA-Z/!?]))[^<]*(?:<(?![a-zA-Z/!?])[^<]*)*"
+_BODY = r"""<body(?:\s[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)?>"""
+TOKEN = rf"(?is)<!--.*?(?:-->|$)|{_SKIPPED}|{_TAG}|<[/!?][^>]*>|{_TEXT}|<"
+# Elements that hold nothing (HTML standard): an opt-out on them opens no block.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
+        "track", "wbr"]
+ATTRIBUTE = (rf"(?i)\s({'|'.join(K.TRANSLATED_ATTRIBUTES)})\s*=\s*"
+             r"""("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
 def decode_entities(c: Column) -> Column:
+    """Character references decoded once: numeric ones, then the named ones."""
+    def put(text, ref):
+        digits = F.regexp_extract(ref, "(?i)^&#x?([0-9a-f]+);$", 1)
+        number = F.when(ref.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(valid, F.replace(text, ref, letter)).otherwise(text)
+
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit("(?i)(&#(?:[0-9]{1,8}|x[0-9a-f]{1,6});)"), 1))
+    c = F.when(c.contains("&#"), F.aggregate(refs, c, put)).otherwise(c)
     for a, b in ENTITIES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def page_body(html: Column) -> Column:
-    """Inner HTML of <body> (the whole text when there is no body tag)."""
-    b = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
-    return F.when(b == "", html).otherwise(b)
+def encode_text(c: Column, quotes: bool = False) -> Column:
+    """Text as HTML source."""
+    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else [])]:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, head (up to the body's content), tokens (array of the body's
+    content), tail.  Without a body tag all of the page is its body; without a
+    closing one the body goes on to the end."""
+    html = F.col(html_col)
+    head = F.regexp_extract(html, rf"(?is)^(.*?{_BODY})", 1)
+    rest = F.substr(html, F.length(head) + 1, F.length(html))
+    cut = spread(pages).select(F.col(id_col).alias("page_id"), head.alias("head"),
+                               F.regexp_extract_all(rest, F.lit(TOKEN), 0).alias("all"))
+    end = F.array_position(F.transform("all", lambda t: t.rlike("(?i)^</body")), True)
+    n = F.when(end > 0, end - 1).otherwise(F.size("all")).cast("int")
+    return cut.select("page_id", "head", F.slice("all", 1, n).alias("tokens"),
+                      F.array_join(F.slice("all", n + 1, F.size("all")), "").alias("tail"))
+
+
+def _translated_places(tokens: str) -> Column:
+    """For each token, whether it stands outside all opted-out blocks."""
+    opted = rf"""(?is)^<[a-z][^>]*\s{K.NO_TRANSLATE_ATTRIBUTE}(?:[\s=/>])"""
+
+    def name(t):
+        return F.lower(F.regexp_extract(t, r"(?i)^</?([a-z][a-z0-9-]*)", 1))
 
+    start = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"),
+                     F.array().cast("array<boolean>").alias("out"))
 
-def strip_untranslated(body: Column) -> Column:
-    """Remove comments, skipped elements and opted-out elements."""
-    out = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
-    for tag in K.SKIPPED_ELEMENTS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    out = F.regexp_replace(
-        out, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\b{K.NO_TRANSLATE_ATTRIBUTE}\b[^>]*>.*?</\1\s*>", "")
-    return out
+    def step(acc, t):
+        inside = acc["depth"] > 0
+        # Skipped elements are one token and hold no block.
+        whole = t.rlike(rf"(?i)^<({'|'.join(K.SKIPPED_ELEMENTS)})\b") | t.rlike(r"/>$")
+        opens = ~inside & t.rlike(opted) & ~whole & ~name(t).isin(VOID)
+        same = inside & (name(t) == acc["tag"]) & ~whole
+        depth = (F.when(opens, F.lit(1)).when(same & t.startswith("</"), acc["depth"] - 1)
+                 .when(same, acc["depth"] + 1).otherwise(acc["depth"]))
+        return F.struct(F.when(opens, name(t)).otherwise(acc["tag"]).alias("tag"), depth.alias("depth"),
+                        F.concat(acc["out"], F.array(~inside)).alias("out"))
+
+    fold = F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    any_opted = F.exists(tokens, lambda t: t.rlike(opted))
+    return F.when(any_opted, fold).otherwise(F.transform(tokens, lambda t: F.lit(True)))
+
+
+def _is_text(t: Column) -> Column:
+    return ~t.rlike("^<(?:[a-zA-Z/!?]|$)")
 
 
 def text_fragments(pages: DataFrame, id_col: str = "page_id",
-                   html_col: str = "html") -> DataFrame:
-    """One row per non-blank text node: (page_id, pos, raw, key).
+                   html_col: str = "html", parts: DataFrame | None = None) -> DataFrame:
+    """One row per non-blank text node: (page_id, tok, pos, raw, key).
 
-    ``pos`` is the position among the page's text nodes (blank ones
-    included, so positions are stable).  Each page is one row, exploded in
-    place (a small input is first spread over the cores; see ``spread``).
+    ``tok`` is the token's place in the body, ``pos`` the node's place among
+    the page's text nodes (blank and opted-out ones included).
     """
-    body = strip_untranslated(page_body(F.col(html_col)))
-    frags = F.regexp_extract_all(body, F.lit(r">([^<]+)<"), 1)
-    out = spread(pages).select(id_col, F.posexplode(frags).alias("pos", "raw_html"))
-    out = out.withColumn("raw", decode_entities(F.col("raw_html"))).drop("raw_html")
+    parts = page_parts(pages, id_col, html_col) if parts is None else parts
+    free = parts.select("page_id", "tokens", _translated_places("tokens").alias("free"))
+    texts = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("tok"), t.alias("t"))),
+                     lambda x: _is_text(x["t"]))
+    out = free.select("page_id", "free", F.posexplode(texts).alias("pos", "x")).where(
+        F.get("free", F.col("x.tok")))
+    out = out.select("page_id", F.col("x.tok").alias("tok"), "pos", decode_entities(F.col("x.t")).alias("raw"))
     out = out.withColumn("key", fn.norm_text("raw"))
     return out.filter(F.col("key") != "")
 
 
 def attribute_values(pages: DataFrame, id_col: str = "page_id",
-                     html_col: str = "html") -> DataFrame:
-    """Translatable attribute values: (page_id, attr, pos, raw, key)."""
-    names = "|".join(K.TRANSLATED_ATTRIBUTES)
-    body = strip_untranslated(page_body(F.col(html_col)))
-    pairs = F.regexp_extract_all(body, F.lit(rf'(?i)\s((?:{names}))="([^"]*)"'), 0)
-    out = spread(pages).select(id_col, F.posexplode(pairs).alias("pos", "pair"))
-    out = out.select(id_col, "pos",
-                     F.lower(F.regexp_extract("pair", r'\s*([^=]+)=', 1)).alias("attr"),
-                     decode_entities(F.regexp_extract("pair", r'="([^"]*)"', 1)).alias("raw"))
+                     html_col: str = "html", parts: DataFrame | None = None) -> DataFrame:
+    """Translatable attribute values: (page_id, tok, pos, attr, raw, key, pair).
+
+    As on the shop's pages, they are those of input, textarea and img elements
+    and of all that carry a title or aria-label, opted-out blocks included.
+    ``pair`` is the attribute as written.
+    """
+    parts = page_parts(pages, id_col, html_col) if parts is None else parts
+    tags = F.filter(F.transform("tokens", lambda t, i: F.struct(
+        i.alias("tok"), F.regexp_extract(t, f"(?is)^({_TAG})", 1).alias("t"))),
+        lambda x: x["t"].rlike(r"(?i)^<(?:input|textarea|img)\b")
+        | x["t"].rlike(r"(?i)^<[a-z][^>]*\s(?:title|aria-label)\s*="))
+    pairs = F.flatten(F.transform(tags, lambda x: F.transform(
+        F.regexp_extract_all(x["t"], F.lit(ATTRIBUTE), 0),
+        lambda a: F.struct(x["tok"].alias("tok"), a.alias("pair")))))
+    out = parts.select("page_id", F.posexplode(pairs).alias("pos", "x")).select(
+        "page_id", F.col("x.tok").alias("tok"), "pos", F.col("x.pair").alias("pair"))
+    value = F.regexp_replace(F.regexp_extract("pair", ATTRIBUTE, 2), r"""(?s)^(["'])(.*)\1$""", "$2")
+    out = out.select("page_id", "tok", "pos", F.lower(F.regexp_extract("pair", ATTRIBUTE, 1)).alias("attr"),
+                     decode_entities(value).alias("raw"), "pair")
     return out.withColumn("key", fn.norm_text("raw"))
 
 
+def localised_pages(pages: DataFrame, dictionary: DataFrame, id_col: str = "page_id",
+                    html_col: str = "html") -> DataFrame:
+    """K2: (page_id, html, n_texts, n_attributes) with translated text nodes
+    and attribute values put back in their places."""
+    parts = page_parts(pages, id_col, html_col)
+    texts = translate(text_fragments(pages, id_col, html_col, parts), "raw", dictionary, "new")
+    texts = texts.where(F.col("new") != F.col("raw")).select(
+        "page_id", "tok", F.lit(None).cast("string").alias("old"), encode_text(F.col("new")).alias("new"))
+    attrs = attribute_values(pages, id_col, html_col, parts)
+    # A translated attribute is the dictionary's text alone.
+    d = dictionary.select(F.col("src").alias("key"), F.col("dst").alias("__dst")).where(fn.truthy_text("__dst"))
+    attrs = attrs.join(d, "key").select(
+        "page_id", "tok", F.col("pair").alias("old"),
+        F.concat(F.lit(" "), "attr", F.lit('="'), encode_text(F.col("__dst"), True), F.lit('"')).alias("new"))
+    # The changes of one page: no more than its tokens and attributes.
+    changes = texts.unionByName(attrs).groupBy("page_id").agg(
+        F.collect_list(F.struct("tok", "old", "new")).alias("ch"),
+        F.count_if(F.col("old").isNull()).alias("n_texts"),
+        F.count("old").alias("n_attributes"))
+    j = parts.join(changes, "page_id", "left")
+    body = F.transform("tokens", lambda t, i: F.aggregate(
+        F.filter("ch", lambda e: e["tok"] == i), t,
+        lambda acc, e: F.when(e["old"].isNull(), e["new"]).otherwise(F.replace(acc, e["old"], e["new"]))))
+    body = F.when(F.col("ch").isNull(), F.col("tokens")).otherwise(body)
+    none = F.lit(0).cast("long")
+    return j.select("page_id", F.concat("head", F.array_join(body, ""), "tail").alias("html"),
+                    F.coalesce("n_texts", none).alias("n_texts"),
+                    F.coalesce("n_attributes", none).alias("n_attributes"))
+
+
 def translate(df: DataFrame, col: str, dictionary: DataFrame,
               out_col: str | None = None) -> DataFrame:
     """Translated text, or the text itself when the dictionary lacks it.
 
     ``dictionary`` has (src, dst) with src already normalised and one row
     per src.  It is written once (``materialize``) unless the caller did so,
-    then broadcast when a bounded count shows it small, else joined with a
-    shuffle.
+    then joined as the planner chooses by its size in bytes.
     """
     d = dictionary.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
     if not getattr(dictionary, "_loomcart_materialized", False):
         d = materialize(d)
-    j = join_small(df, d, fn.norm_text(col) == F.col("__src"), "left")
+    j = df.join(d, fn.norm_text(col) == F.col("__src"), "left")
     hit = F.col("__dst").isNotNull() & (F.col("__dst") != "")
     val = F.when(hit, F.concat(fn.leading_ws(col), F.col("__dst"), fn.trailing_ws(col))
                  ).otherwise(F.col(col))
@@ -105,12 +208,11 @@ def materialized(dictionary: DataFrame) -> DataFrame:
     return d
 
 
-def page_dictionary(fragments: DataFrame, min_pages: int = 2) -> DataFrame:
-    """A dictionary sliced from the pages: every normalised fragment found on
-    at least ``min_pages`` pages, with a marked stand-in translation."""
-    return (fragments.groupBy(F.col("key").alias("src"))
-            .agg(F.countDistinct("page_id").alias("pages"))
-            .filter(F.col("pages") >= min_pages)
+def page_dictionary(fragments: DataFrame) -> DataFrame:
+    """A dictionary sliced from the pages: every normalised fragment with a
+    marked stand-in translation and the number of pages it is on."""
+    return (fragments.select("page_id", F.col("key").alias("src")).distinct().groupBy("src")
+            .agg(F.count("page_id").alias("pages"))
             .select("src", F.concat(F.lit("«"), F.col("src"), F.lit("»")).alias("dst"),
                     "pages"))
 

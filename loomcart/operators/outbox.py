@@ -27,6 +27,8 @@ def _id(c="id") -> Column:
     return F.col(c).cast("string")
 
 
+# --- Fixed values: the message texts below equal the shop's, so that recipients
+# get the same messages ------------------------------------------------------
 def admin_subject(shop: str) -> Column:
     return F.concat(F.lit("🛍 New Order #"), _id(), F.lit(" — "), fn.js_text("product_name"))
 

@@ -32,12 +32,6 @@ def validate_required(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     return df.withColumn("reasons", _reasons(checks))
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by an existing ``reasons`` column."""
-    return (df.filter(F.size("reasons") == 0).drop("reasons"),
-            df.filter(F.size("reasons") > 0))
-
-
 ORDER_FORM = {"customer_name": "truthy", "customer_phone": "truthy",
               "customer_email": "truthy", "customer_address": "truthy"}
 

@@ -12,19 +12,19 @@ from .registry import register
 _FRAG = Q.page_text_fragments()
 _DICT = f"""
 SELECT key AS src, '«' || key || '»' AS dst, count(DISTINCT page_id) AS pages
-FROM ({_FRAG}) GROUP BY key HAVING count(DISTINCT page_id) >= 2
+FROM ({_FRAG}) GROUP BY key
 """
 
 
-@register("page_fragments", _FRAG)
+@register("page_fragments", f"SELECT page_id, pos, raw, key FROM ({_FRAG})")
 def q_fragments(spark, d):
     """K2 extraction: every non-blank text node of every page body."""
-    return lo.text_fragments(M.table(spark, d, "pages"))
+    return lo.text_fragments(M.table(spark, d, "pages")).drop("tok")
 
 
 @register("page_dictionary", _DICT)
 def q_page_dictionary(spark, d):
-    """The dictionary sliced from the pages (fragments on >= 2 pages)."""
+    """The dictionary sliced from the pages (every fragment)."""
     return lo.page_dictionary(lo.text_fragments(M.table(spark, d, "pages")))
 
 
@@ -110,8 +110,60 @@ def q_translate_products(spark, d):
     return out.select("id", "name_t", "description_t")
 
 
-@register("page_attributes", Q.page_attributes())
+@register("localised_pages", M.cte(f=_FRAG, dct=_DICT, tk=Q.page_tokens()) + f"""
+SELECT page_id, md5(any_value(head) || string_agg(new, '' ORDER BY i) || any_value(tail)) AS html_md5,
+       count_if(new <> t) AS n_texts
+FROM (SELECT tk.*, CASE WHEN dct.dst IS NULL OR dct.dst = '' THEN t ELSE
+               replace(replace(replace({Q.leading_ws('f.raw')} || dct.dst || {Q.trailing_ws('f.raw')},
+                 '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END AS new
+      FROM tk LEFT JOIN f ON tk.page_id = f.page_id AND tk.i = f.i LEFT JOIN dct ON f.key = dct.src)
+GROUP BY page_id
+""")
+def q_localised_pages(spark, d):
+    """K2: whole pages with their translated text put back (as digests)."""
+    pages = M.table(spark, d, "pages")
+    frags = lo.materialize(lo.text_fragments(pages))
+    dct = lo.materialized(lo.page_dictionary(frags).select("src", "dst"))
+    out = lo.localised_pages(pages, dct)
+    return out.select("page_id", F.md5(F.col("html").cast("binary")).alias("html_md5"), "n_texts")
+
+
+def _tag_pages(spark, d):
+    """Pages with translatable attributes, one per part: written with double,
+    single and no quotes, on elements that count and on one that does not."""
+    p = M.table(spark, d, "part")
+    return p.select(p.p_partkey.alias("page_id"), F.concat(
+        F.lit('<body><img alt="'), "p_name", F.lit('" title=\''), "p_type",
+        F.lit("'><input placeholder="), "p_brand", F.lit('><b placeholder="no">x</b><textarea placeholder="'),
+        "p_name", F.lit('">title="no"</textarea></body>')).alias("html"))
+
+
+@register("page_attributes", """
+SELECT p_partkey AS page_id, v.pos, v.attr,
+       CASE v.pos WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_name END AS raw
+FROM part, (VALUES (0, 'alt'), (1, 'title'), (2, 'placeholder'), (3, 'placeholder')) v(pos, attr)
+""")
 def q_attributes(spark, d):
     """K2 attributes (placeholder/title/alt/aria-label values)."""
-    return lo.attribute_values(M.table(spark, d, "pages")).select(
-        "page_id", F.col("pos").cast("int").alias("pos"), "attr", "raw")
+    return lo.attribute_values(_tag_pages(spark, d)).select("page_id", "pos", "attr", "raw")
+
+
+# Link targets of the pages that stand for the shop's asset files.
+_ASSETS = ['/the"', '/and"', '/der"', '/und"', '/de"', '/la"', '/que"']
+
+
+def _assets_sql() -> str:
+    out = "html"
+    for n in _ASSETS:
+        out = f"replace({out}, '{n}', '/static{n}')"
+    return out
+
+
+@register("asset_paths", f"SELECT page_id, md5({_assets_sql()}) AS html_md5, {_assets_sql()} <> html AS changed FROM pages")
+def q_asset_paths(spark, d):
+    """A5: asset names in the pages get the static folder as prefix."""
+    from ..sources import rewrite_asset_paths
+
+    out = rewrite_asset_paths(M.table(spark, d, "pages"), "html", _ASSETS, "/static", "new")
+    return out.select("page_id", F.md5(F.col("new").cast("binary")).alias("html_md5"),
+                      (F.col("new") != F.col("html")).alias("changed"))

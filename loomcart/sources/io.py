@@ -161,11 +161,6 @@ def align_schema(df: DataFrame, schema: T.StructType,
     return df.select(*cols, *extra)
 
 
-def union_aligned(frames: list[DataFrame]) -> DataFrame:
-    """Union by name; columns missing on one side become NULL."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 # A9 -------------------------------------------------------------------------
 class load_cached:
     """Context manager that persists a scan for reuse and releases it.

@@ -28,6 +28,8 @@ operator that splits a hot key within a micro-batch.
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -53,6 +55,25 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "par
         raise q.exception()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def keyed_state_store(spark: SparkSession):
+    """Keyed state needs this store: it is named while a query of ours runs,
+    and the caller's setting is put back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 # J1 -------------------------------------------------------------------------
 def abandoned_reservations(pending: DataFrame, paid: DataFrame, key: str = "user_id",
                            ttl: str = "20 hours", delay: str = "1 hour") -> DataFrame:
@@ -72,12 +93,16 @@ def abandoned_reservations(pending: DataFrame, paid: DataFrame, key: str = "user
     return l.join(r, cond, "leftOuter")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, name: str, schema,
+                 max_bytes: str | None = None) -> DataFrame:
     """A file stream over one table of a folder of ``<name>.parquet`` files
-    (the file source needs a directory; the glob filter picks the table)."""
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .parquet(folder))
+    (the file source needs a directory; the glob filter picks the table).
+    ``max_bytes`` (e.g. "4g") limits the input of one micro-batch; files then
+    have to arrive in event-time order up to the watermark delay."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(folder)
 
 
 EVENTS = T.StructType([
@@ -102,10 +127,11 @@ def abandoned_from_events(spark: SparkSession, folder: str, ttl: str = "20 hours
                                stream_events(spark, folder, "purchase"),
                                ttl=ttl, delay=delay)
     out = scratch_path(spark, "abandoned")
+    # Matched pairs never reach the sink.
+    j = j.filter(F.col("paid_id").isNull()).select(
+        "pending_id", F.col("p_key").alias("user_id"), F.col("p_ts").alias("ts"))
     run_available_now(j, out + "/data", out + "/_ckpt")
-    res = spark.read.parquet(out + "/data")
-    return (res.filter(F.col("paid_id").isNull())
-            .select("pending_id", F.col("p_key").alias("user_id"), F.col("p_ts").alias("ts")))
+    return spark.read.parquet(out + "/data")
 
 
 # J3 -------------------------------------------------------------------------
@@ -178,7 +204,8 @@ def streaming_reservation(requests: DataFrame, products: DataFrame) -> DataFrame
     """requests stream (request_id, product_id, qty, ts) joined with the
     static products (stock), then keyed state per product."""
     stock = products.select(F.col("id").alias("product_id"), F.col("stock").cast("long"))
-    j = requests.join(stock, "product_id", "inner")
+    # Unknown products are refused (no stock), never dropped.
+    j = requests.join(stock, "product_id", "left").withColumn("stock", F.coalesce("stock", F.lit(0)))
     return j.groupBy("product_id").transformWithStateInPandas(
         statefulProcessor=_reservation_processor(), outputStructType=RESERVE_OUT,
         outputMode="Append", timeMode="None")
@@ -187,12 +214,11 @@ def streaming_reservation(requests: DataFrame, products: DataFrame) -> DataFrame
 def reservation_from_table(spark: SparkSession, requests: DataFrame,
                            products: DataFrame) -> DataFrame:
     """Write the derived request table, stream it through J4, read back."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = scratch_path(spark, "requests")
     requests.write.parquet(base + "/in")
     src = spark.readStream.schema(requests.schema).parquet(base + "/in")
-    run_available_now(streaming_reservation(src, products), base + "/out", base + "/_ckpt")
+    with keyed_state_store(spark):
+        run_available_now(streaming_reservation(src, products), base + "/out", base + "/_ckpt")
     return spark.read.parquet(base + "/out")
 
 
@@ -249,8 +275,11 @@ def _abandon_processor(ttl_ms: int):
                 else:
                     paid.append(int(t))
             ttl_us = ttl_ms * 1000
-            still = [(e, t) for e, t in open_
-                     if not any(t <= p <= t + ttl_us for p in paid)]
+            paid.sort()
+            # Closed by the first purchase at or after it, if within the window.
+            at = [bisect.bisect_left(paid, t) for _, t in open_]
+            still = [(e, t) for (e, t), i in zip(open_, at)
+                     if i == len(paid) or paid[i] > t + ttl_us]
             wm_us = timerValues.getCurrentWatermarkInMs() * 1000
             horizon = min([t for _, t in still], default=None)
             paid = [p for p in paid if p >= wm_us - ttl_us or
@@ -301,13 +330,12 @@ def abandoned_with_timers(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000,
 
 
 def abandoned_timers_from_events(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ev = (stream_table(spark, folder, "events", EVENTS)
           .filter(F.col("event_type").isin("signup", "purchase"))
           .select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")))
     out = scratch_path(spark, "abandoned-timers")
-    run_available_now(abandoned_with_timers(ev), out + "/data", out + "/_ckpt")
+    with keyed_state_store(spark):
+        run_available_now(abandoned_with_timers(ev), out + "/data", out + "/_ckpt")
     return spark.read.parquet(out + "/data").select(
         "pending_id", "user_id", F.timestamp_micros("ts_us").alias("ts"))
 

@@ -84,6 +84,49 @@ def test_fragments_skip_script_comment_and_opt_out(spark):
     assert got == ["One & two", "Three"]
 
 
+def _texts(spark, html):
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [(r.pos, r.raw) for r in lo.text_fragments(pages).orderBy("pos").collect()]
+
+
+def test_fragments_by_hand(spark):
+    # No closing body tag: the title is not part of the body, text at both ends is.
+    assert _texts(spark, "<html><title>T</title><body class='a>b'>Lead <p>mid</p> tail") == [
+        (0, "Lead "), (1, "mid"), (2, " tail")]
+    assert _texts(spark, "<body>Lead<br>tail</body>after") == [(0, "Lead"), (1, "tail")]
+    # A comment parts two text nodes; blank nodes keep their place.
+    assert _texts(spark, "<body>a<!-- x > y -->b <i> </i>c</body>") == [(0, "a"), (1, "b "), (3, "c")]
+    # Nested opted-out blocks end at their own closing tag.
+    assert _texts(spark, "<body><div data-no-i18n>x<div>y</div>z</div>w<span data-no-i18n=''>q</span>"
+                         "<br data-no-i18n>v</body>") == [(3, "w"), (5, "v")]
+    # Numeric references, once; a lone "<" is text.
+    assert _texts(spark, "<body>&#8377;5 &#x20B9; &ndash; &amp;#8377; 1 < 2</body>") == [
+        (0, "₹5 ₹ – &#8377; 1 < 2")]
+    assert _texts(spark, "no body <b>tag</b>") == [(0, "no body "), (1, "tag")]
+
+
+def test_attributes_by_hand(spark):
+    html = ("<body><textarea placeholder='Your &amp; name'>kept</textarea><img alt=Logo title=\"T\">"
+            "<div data-no-i18n><input placeholder=\"Mail\"></div><div placeholder=\"no\">x</div>"
+            "<b aria-label='A' placeholder='P'>y</b><!-- <img alt='c'> --></body>")
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    got = [(r.attr, r.raw) for r in lo.attribute_values(pages).orderBy("pos").collect()]
+    assert got == [("placeholder", "Your & name"), ("alt", "Logo"), ("title", "T"), ("placeholder", "Mail"),
+                   ("aria-label", "A"), ("placeholder", "P")]
+
+
+def test_localised_page_by_hand(spark):
+    html = ("<html><body> Hello <!-- Hello --><b title='Hello'>Hello</b><i data-no-i18n>Hello</i>"
+            "<script>Hello</script>Other</body></html>")
+    pages = spark.createDataFrame([(1, html), (2, "<body>none</body>")], "page_id long, html string")
+    d = spark.createDataFrame([("Hello", 'A <"B">')], "src string, dst string")
+    got = {r.page_id: (r.html, r.n_texts, r.n_attributes) for r in lo.localised_pages(pages, d).collect()}
+    assert got[1] == (
+        "<html><body> A &lt;\"B\"&gt; <!-- Hello --><b title=\"A &lt;&quot;B&quot;&gt;\">A &lt;\"B\"&gt;</b>"
+        "<i data-no-i18n>Hello</i><script>Hello</script>Other</body></html>", 2, 1)
+    assert got[2] == ("<body>none</body>", 0, 0)
+
+
 def test_outbox_rules(spark):
     ev = spark.createDataFrame([
         (1, "confirmed", "Ann", "+91 98765-43210", "a@x.org", "Hat", "M", None),
