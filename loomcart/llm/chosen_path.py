@@ -53,7 +53,7 @@ class JoinSettings:
     coordinates: int = 64                      # smallest shingles kept of a set
     bucket: int = 4096                         # sets compared by brute force
     max_depth: int = 2
-    tile: int = 512                            # sets on a side of an exact tile
+    tile: int = 256                            # sets on a side of an exact tile
     least_sketch: int = 32                     # equal sketch bytes, six deviations below 0.8
     broadcast_texts: int = 2_000_000           # 8-byte keys; more are joined by a shuffle
 
@@ -139,7 +139,7 @@ def _sketched(docs: DataFrame, s: JoinSettings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in in_slices(pc.binary_length(b.column(2)).to_pylist(), 2_000_000):
+            for lo, hi in in_slices(pc.binary_length(b.column(2)).to_pylist(), 1_000_000):
                 h, bounds = shingle_sets(b.column(2).slice(lo, hi - lo), s.words)
                 sig = smallest(h, bounds, s.coordinates)
                 fp = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() if y > x else None
@@ -176,18 +176,19 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest connected row of each of n rows (a few rounds of minima)."""
-    root = np.arange(n)
-    while len(a):
-        old = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (old == root).all():
-            break
-    return root
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest connected row of each row after adding the pairs (a, b)."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        x, y = x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def _spans_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -227,15 +228,13 @@ def _candidate_edges(leaves: DataFrame, s: JoinSettings) -> DataFrame:
                     continue
                 by = x + np.argsort(rid[x:y])
                 ids, own, cut = rid[by], sk[by], part[by]
-                pairs_a, pairs_b = [], []
-                for i in range(0, len(ids), 128):
-                    same = (own[i:i + 128, None, :] == own[None, i:, :]).sum(2, dtype=np.int16) >= least
+                root = np.arange(len(ids))
+                for i in range(0, len(ids), 32):      # a strip of pairs at a time
+                    same = (own[i:i + 32, None, :] == own[None, i:, :]).sum(2, dtype=np.uint8) >= least
                     a, b = np.nonzero(same)
                     a, b = a + i, b + i
                     ok = (a < b) & ((cut[a] == 2) | (cut[a] != cut[b]))
-                    pairs_a.append(a[ok])
-                    pairs_b.append(b[ok])
-                root = _roots(len(ids), np.concatenate(pairs_a), np.concatenate(pairs_b))
+                    root = _joined(root, a[ok], b[ok])
                 moved = root != np.arange(len(ids))
                 out_a.append(ids[moved])
                 out_b.append(ids[root[moved]])
@@ -326,7 +325,7 @@ def _exact(sets: DataFrame, s: JoinSettings) -> DataFrame:
             shared = count[code] > 1
             _, code = np.unique(code[shared], return_inverse=True)
             row = row[shared]
-            common = np.zeros((n, n), np.float64)
+            common = np.zeros((n, n), np.float32)     # counts far below 2^24
             by = np.argsort(code, kind="stable")
             code, row = code[by], row[by]
             width = 2048
@@ -353,7 +352,7 @@ def _exact(sets: DataFrame, s: JoinSettings) -> DataFrame:
                 a, b = linked(own, part[by])
                 if not len(a):
                     continue
-                root = _roots(len(by), a, b)
+                root = _joined(np.arange(len(by)), a, b)
                 n = np.bincount(a, docs[by][b], len(by)) + np.bincount(b, docs[by][a], len(by))
                 out[0].append(rid[by])
                 out[1].append(rid[by][root])
@@ -370,7 +369,7 @@ def _set_rows(docs: DataFrame, s: JoinSettings) -> DataFrame:
     """tk, shingles (64-bit hashes as bytes) of each row of (tk, t)."""
     def run(batches):
         for b in batches:
-            for lo, hi in in_slices(pc.binary_length(b.column(1)).to_pylist(), 2_000_000):
+            for lo, hi in in_slices(pc.binary_length(b.column(1)).to_pylist(), 1_000_000):
                 h, bounds = shingle_sets(b.column(1).slice(lo, hi - lo), s.words)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo),
