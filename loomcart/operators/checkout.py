@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from .. import functions as fn
 from .catalogue import resolve_variant
+from .ids import assign_ids
 from .joins import materialize
 from .quality import ORDER_FORM, validate_amount, validate_required
 from .reserve import reserve_stock
@@ -49,6 +51,26 @@ def checkout(p: DataFrame, requests: DataFrame, as_of) -> DataFrame:
                          "outcome").unionByName(refused)
 
 
+def pending_orders(o: DataFrame, outcomes: DataFrame, requests: DataFrame) -> DataFrame:
+    """The order rows that create-order saves for reserved requests: contact
+    fields with their stand-ins, whole rupees, status received, payment
+    pending.  The gateway order id follows from the receipt; ids go on after
+    the largest of ``o``."""
+    r = outcomes.filter(F.col("outcome") == "reserved").join(
+        requests.drop("product_id"), "request_id")
+    rows = r.select(
+        "request_id", "ts", "product_id", fn.text_or("customer_name", "Pending").alias("customer_name"),
+        fn.text_or("customer_phone", "").alias("customer_phone"),
+        F.nullif("customer_email", F.lit("")).alias("customer_email"),
+        fn.text_or("customer_address", "Pending").alias("customer_address"),
+        F.nullif("size", F.lit("")).alias("size"), fn.number_or("quantity", 1).cast("int").alias("quantity"),
+        F.floor(F.col("amount_paise") / 100 + 0.5).cast("int").alias("price_paid"),
+        F.lit(K.STATUS_RECEIVED).alias("status"),
+        F.concat(F.lit("order_"), F.col("request_id").cast("string")).alias("razorpay_order_id"),
+        F.lit(K.PAYMENT_PENDING).alias("payment_status"))
+    return assign_ids(rows, o, order_by=["ts", "request_id"]).drop("ts")
+
+
 def place_orders(p: DataFrame, o: DataFrame, new: DataFrame, as_of,
                  mode: str = "db") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The order-save path without a gateway reservation: for each new order

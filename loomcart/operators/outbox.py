@@ -64,6 +64,20 @@ def admin_text() -> Column:
                     fn.js_text("customer_name"))
 
 
+def patch_events(changed: DataFrame, patches: DataFrame) -> DataFrame:
+    """One event per patch that sends the status confirmed or shipped, on its
+    order's row after the patches (orders that were not found send none)."""
+    sent = patches.select("id", F.col("changes")["status"].alias("kind"))
+    return changed.join(sent.filter(F.col("kind").isin("confirmed", "shipped")), "id")
+
+
+def append_events(appended: DataFrame) -> DataFrame:
+    """Events of saved orders: the admin notice for each, and the customer's
+    confirmation for those saved as confirmed."""
+    kinds = F.when(F.col("status") == K.STATUS_CONFIRMED, F.array(F.lit("new_order"), F.lit("confirmed")))
+    return appended.withColumn("kind", F.explode(kinds.otherwise(F.array(F.lit("new_order")))))
+
+
 def notification_outbox(events: DataFrame, shop: str = K.DEFAULT_SHOP_NAME,
                         admin_email: str = K.DEFAULT_ADMIN_EMAIL) -> DataFrame:
     """events: changed orders with ``kind`` in (new_order, confirmed, shipped)

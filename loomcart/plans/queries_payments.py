@@ -117,7 +117,36 @@ def q_confirm(spark, d):
     return r.extra["outcomes"]
 
 
-def _outbox_sql() -> str:
+# The events of the three triggers, each with product_name and kind.
+_PROMOTED = """promoted AS (SELECT o.*, p.name AS product_name FROM o
+             JOIN (SELECT DISTINCT razorpay_order_id FROM l WHERE v IN (0, 1)) c
+               ON o.razorpay_order_id = c.razorpay_order_id
+             LEFT JOIN p ON o.product_id = p.id
+             WHERE o.status = 'received')"""
+_PATCHED = """shipped AS (SELECT o.* REPLACE ('shipped' AS status, 'TRK-' || CAST(o.id AS VARCHAR) AS tracking_number),
+                   p.name AS product_name FROM o LEFT JOIN p ON o.product_id = p.id
+            WHERE o.status = 'confirmed')"""
+_STREAMED = """shipped AS (SELECT o.*, p.name AS product_name FROM o LEFT JOIN p ON o.product_id = p.id
+            WHERE o.status = 'shipped')"""
+_CHANGE_EVENTS = f"""{_PROMOTED},
+{_PATCHED},
+ev AS (SELECT *, 'new_order' AS kind FROM promoted
+       UNION ALL SELECT *, 'confirmed' AS kind FROM promoted
+       UNION ALL SELECT *, 'shipped' AS kind FROM shipped)"""
+_STREAM_EVENTS = f"{_STREAMED},\nev AS (SELECT *, 'shipped' AS kind FROM shipped)"
+_APPEND_EVENTS = f"""
+n AS (SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY ordered_at + INTERVAL 1 DAY, id) AS id,
+        product_id, customer_name, customer_phone, customer_email, size, price_paid,
+        CASE WHEN quantity > 40 OR quantity = 0 THEN 1 ELSE quantity END AS quantity,
+        CASE WHEN price_paid > 100000 AND razorpay_payment_id IS NOT NULL THEN 'confirmed' ELSE 'received' END AS status,
+        CAST(NULL AS VARCHAR) AS tracking_number
+      FROM o WHERE status = 'shipped'),
+named AS (SELECT n.*, p.name AS product_name FROM n LEFT JOIN p ON n.product_id = p.id),
+ev AS (SELECT *, 'new_order' AS kind FROM named
+       UNION ALL SELECT *, 'confirmed' AS kind FROM named WHERE status = 'confirmed')"""
+
+
+def _outbox_sql(events: str = _CHANGE_EVENTS) -> str:
     shop = ob.K.DEFAULT_SHOP_NAME.replace("'", "''")
     admin = ob.K.DEFAULT_ADMIN_EMAIL
     js = Q.js_text
@@ -137,16 +166,7 @@ def _outbox_sql() -> str:
     sms_ok = (f"customer_phone IS NOT NULL AND customer_phone <> '' AND "
               f"{Q.phone_valid('customer_phone')}")
     return M.cte(o=_FO, l=_LOG_SQL, p=M.PRODUCTS_SQL) + f""",
-promoted AS (SELECT o.*, p.name AS product_name FROM o
-             JOIN (SELECT DISTINCT razorpay_order_id FROM l WHERE v IN (0, 1)) c
-               ON o.razorpay_order_id = c.razorpay_order_id
-             LEFT JOIN p ON o.product_id = p.id
-             WHERE o.status = 'received'),
-shipped AS (SELECT o.*, p.name AS product_name FROM o LEFT JOIN p ON o.product_id = p.id
-            WHERE o.status = 'shipped'),
-ev AS (SELECT *, 'new_order' AS kind FROM promoted
-       UNION ALL SELECT *, 'confirmed' AS kind FROM promoted
-       UNION ALL SELECT *, 'shipped' AS kind FROM shipped)
+{events}
 SELECT CAST(id AS VARCHAR) AS order_id, 'email' AS channel, kind, '{admin}' AS recipient,
   '🛍 New Order #' || CAST(id AS VARCHAR) || ' — ' || {js('product_name')} AS subject,
   'Order #' || CAST(id AS VARCHAR) || ': ' || {js('product_name')} || {size_d} || ' x '
@@ -163,15 +183,29 @@ FROM ev WHERE kind IN ('confirmed', 'shipped') AND {mail_ok} AND {sms_ok}
 
 @register("notification_outbox", _outbox_sql())
 def q_outbox(spark, d):
-    """K1 (+ I7, I13, I14, C7): messages for first confirmations (admin +
-    customer) and for shipped orders, from one pass over the orders."""
+    """K1 (+ I7, I13, I14, C7): messages for what changed -- first
+    confirmations (admin + customer), then status patches that ship."""
+    from ..operators.orders import with_product_name
+    from .queries_mutations import _order_patches
+
     o = M.full_orders(spark, d)
     p = M.products(spark, d)
+    promoted = mu.confirm_orders(o, _calls(spark, d), AS_OF).changed
+    kinds = F.explode(F.array(F.lit("new_order"), F.lit("confirmed"))).alias("kind")
+    patches = _order_patches(spark, d)
+    patched = ob.patch_events(mu.patch_orders(o, patches, AS_OF).changed, patches)
+    ev = promoted.select(*o.columns, kinds).unionByName(patched.select(*o.columns, "kind"))
+    return ob.notification_outbox(with_product_name(ev, p))
+
+
+@register("append_notifications", _outbox_sql(_APPEND_EVENTS))
+def q_append_notifications(spark, d):
+    """K1 on saved orders (file path): the admin notice for each, the
+    customer's confirmation for those confirmed at once."""
     from ..operators.orders import with_product_name
+    from .queries_mutations import _reorders
 
-    flagged = mu.confirm_orders(o, _calls(spark, d), AS_OF).extra["flagged"]
-    kinds = (F.when(F.col("promoted"), F.array(F.lit("new_order"), F.lit("confirmed")))
-             .when(F.col("status") == "shipped", F.array(F.lit("shipped"))))
-    ev = (flagged.filter(kinds.isNotNull())
-          .select("*", F.explode(kinds).alias("kind")).drop("promoted"))
-    return ob.notification_outbox(with_product_name(ev, p))
+    saved = mu.append_orders(M.full_orders(spark, d), _reorders(spark, d), AS_OF, mode="file",
+                             order_by=["ordered_at", "src_id"]).changed
+    named = with_product_name(saved, M.products(spark, d))
+    return ob.notification_outbox(ob.append_events(named))

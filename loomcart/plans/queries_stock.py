@@ -166,6 +166,29 @@ def q_checkout(spark, d):
     return checkout(M.products(spark, d), checkout_requests(spark, d), AS_OF)
 
 
+@register("checkout_orders", f"""
+WITH co AS ({_CHECKOUT_SQL}),
+so AS ({_SO}), p AS ({_P}), c AS ({M.CUSTOMERS_SQL})
+SELECT (SELECT max(id) FROM so) + row_number() OVER (ORDER BY so.ordered_at, so.id) AS id,
+  so.id AS request_id, co.product_id,
+  coalesce(nullif(c.customer_name, ''), 'Pending') AS customer_name,
+  coalesce(c.customer_phone, '') AS customer_phone, nullif(c.customer_email, '') AS customer_email,
+  coalesce(nullif(c.customer_address, ''), 'Pending') AS customer_address,
+  CASE WHEN so.status = 'received' THEN nullif(p.size, '') END AS size, 1 AS quantity,
+  CAST(floor(co.amount_paise / 100.0 + 0.5) AS INT) AS price_paid, 'received' AS status,
+  'order_' || CAST(so.id AS VARCHAR) AS razorpay_order_id, 'pending' AS payment_status
+FROM co JOIN so ON co.request_id = so.id JOIN p ON so.product_id = p.id
+LEFT JOIN c ON so.custkey = c.custkey WHERE co.outcome = 'reserved'
+""")
+def q_checkout_orders(spark, d):
+    """Create-order: the pending orders that the reserved requests save."""
+    from ..operators.checkout import checkout, pending_orders
+
+    req = checkout_requests(spark, d)
+    out = checkout(M.products(spark, d), req, AS_OF)
+    return pending_orders(M.shop_orders(spark, d), out, req)
+
+
 def _new_orders(spark, d):
     """New orders: every order line is placed again as a new order (quantity
     folded to 1..4 so stock is contested)."""

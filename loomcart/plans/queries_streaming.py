@@ -14,7 +14,7 @@ from ..operators import outbox as ob
 from ..operators.orders import with_product_name
 from ..session import scratch_path
 from . import mapping as M
-from .queries_payments import _outbox_sql
+from .queries_payments import _STREAM_EVENTS, _outbox_sql
 from .queries_stock import _RESERVE_WALK, reservation_requests
 from .registry import register
 
@@ -104,7 +104,7 @@ def _shipped_outbox(spark, d):
     return to_outbox
 
 
-@register("outbox_stream", "SELECT * FROM (" + _outbox_sql() + ") WHERE kind = 'shipped'")
+@register("outbox_stream", _outbox_sql(_STREAM_EVENTS))
 def q_outbox_stream(spark, d):
     """Order-status stream -> outbox rows -> per-batch folders."""
     src = stm.stream_table(spark, d, "orders", M.table(spark, d, "orders").schema)
