@@ -441,3 +441,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(*[F.col(c) for c in order], F.md5(text_of(text_col).cast("binary")), F.col("__row"))
     keep = keyed.groupBy("class_id").agg(F.min(rank)["__row"].alias("__row"))
     return base.join(keep, "__row", "left_semi").select(*names)
+
+
+def similar_sql(settings: JoinSettings = JoinSettings()) -> str:
+    """DuckDB statement for :func:`similar_documents` over ``documents`` (less
+    set_key): every pair that shares a shingle, compared on shingle texts."""
+    k = settings.words
+    num, den = settings.similarity
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}),
+               lambda i: array_to_string(list_slice(w, i, i + {k - 1}), ' '))) END AS l FROM d),
+e AS (SELECT rid, len(l) AS n, unnest(l) AS x FROM s),
+p AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid
+      GROUP BY a.rid, b.rid, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+own AS (SELECT a, b FROM reach UNION SELECT rid, rid FROM d)
+SELECT any_value(d.doc_id) AS doc_id, min(o.doc_id) AS class_id, count(*) AS class_size,
+       (SELECT count(*) FROM l WHERE l.a = d.rid) AS n_links
+FROM d JOIN own ON own.a = d.rid JOIN d o ON o.rid = own.b GROUP BY d.rid"""

@@ -86,9 +86,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-@query("op8_chosen_path_join")
+@query("op8_chosen_path_join", chosen_path.similar_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.similar_documents(table(spark, sf_dir, "documents"))
+    return chosen_path.similar_documents(table(spark, sf_dir, "documents")).drop("set_key")
 
 
 @query("op4_block_neighbours", block_ann.nearest_sql())
