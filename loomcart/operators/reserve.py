@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,14 +43,6 @@ from ..session import ensure_checkpoint_dir
 
 KEY, TS, RID, QTY, S = "product_id", "ts", "request_id", "qty", "__stock"
 
-_SUMMARY = T.StructType([
-    T.StructField("__pid", T.IntegerType()),
-    T.StructField("first_key", T.LongType()),
-    T.StructField("last_key", T.LongType()),
-    T.StructField("last_total", T.LongType()),
-    T.StructField("qmax", T.LongType()),
-])
-
 _EXIT = T.StructType([
     T.StructField("__pid", T.IntegerType()),
     T.StructField("key", T.LongType()),
@@ -59,34 +52,24 @@ _EXIT = T.StructType([
 ])
 
 
-def _frame(batches) -> pd.DataFrame:
-    frames = [b for b in batches if len(b)]
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+def _table(batches) -> pa.Table | None:
+    """The partition's rows as one Arrow table (None without rows)."""
+    kept = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(kept) if kept else None
 
 
-# ---- pass A: per-partition summary -----------------------------------------
-def _summarise(batches):
-    pdf = _frame(batches)
-    if pdf.empty:
-        return
-    keys = pdf[KEY].to_numpy()
-    last = keys[-1]
-    yield pd.DataFrame({
-        "__pid": [int(pdf["__pid"].iat[0])],
-        "first_key": [int(keys[0])],
-        "last_key": [int(last)],
-        "last_total": [int(pdf[QTY].to_numpy()[keys == last].sum())],
-        "qmax": [int(pdf[QTY].max())],
-    })
-
-
-def _global_cum(pdf: pd.DataFrame) -> np.ndarray:
+def _numpy(t: pa.Table, col: str) -> np.ndarray:
+    return t.column(col).to_numpy()
+
+
+def _global_cum(keys: np.ndarray, q: np.ndarray, off: int) -> np.ndarray:
     """Prefix sum per product inside the partition, plus the carried offset
     for the partition's first product."""
-    local = pdf.groupby(KEY, sort=False)[QTY].cumsum().to_numpy()
-    first = pdf[KEY].iat[0]
-    off = np.where(pdf[KEY].to_numpy() == first, pdf["__off"].to_numpy(), 0)
-    return local + off
+    total = np.cumsum(q)
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    before = np.where(first, total - q, 0)
+    local = total - np.maximum.accumulate(before)      # quantities are >= 1
+    return local + np.where(keys == keys[0], off, 0)
 
 
 def _key_runs(keys: np.ndarray):
@@ -120,15 +103,32 @@ def _replay(q: np.ndarray, cum: np.ndarray, stock: int, entry: int | None):
         start = first_bad
     else:
         r, start = int(entry), 0
-    for i in range(start, n):
-        if r == 0:          # quantities are >= 1: nothing more can be served
-            rem[i:] = 0
+    # Rows that ask for more than is left are passed over in bulk; a walk that
+    # meets many of them looks again for rows that still fit.
+    rem[start:] = -1
+    at = start
+    while r > 0 and at < n:
+        fit = at + np.flatnonzero(q[at:] <= r)
+        if not len(fit):
             break
-        qi = int(q[i])
-        if qi <= r:
-            r -= qi
-            acc[i] = True
-        rem[i] = r
+        misses, at = 0, n
+        for i in fit.tolist():
+            if q[i] <= r:
+                r -= int(q[i])
+                acc[i], rem[i], misses = True, r, 0
+                if r == 0:
+                    break
+            else:
+                misses += 1
+                if misses > 256:
+                    at = i + 1
+                    break
+    # Refused rows see what the row before them left.
+    before = int(entry) if entry is not None else int(stock - (cum[first_bad] - q[first_bad]))
+    if start < n:
+        tail = rem[start:]
+        seen = np.maximum.accumulate(np.where(tail >= 0, np.arange(len(tail)), -1))
+        rem[start:] = np.where(seen >= 0, tail[np.maximum(seen, 0)], before)
     return acc, rem
 
 
@@ -138,15 +138,12 @@ def _starts_past_refusal(q0: int, cum0: int, stock: int) -> bool:
 
 # ---- pass C: exit state (or transfer table) of each partition's last key ----
 def _exits(batches):
-    pdf = _frame(batches)
-    if pdf.empty:
+    t = _table(batches)
+    if t is None:
         return
-    pid = int(pdf["__pid"].iat[0])
-    qmax = int(pdf["__qmax"].iat[0])
-    cum = _global_cum(pdf)
-    keys = pdf[KEY].to_numpy()
-    q = pdf[QTY].to_numpy().astype(np.int64)
-    stock = pdf[S].to_numpy().astype(np.int64)
+    pid, qmax = t.column("__pid")[0].as_py(), t.column("__qmax")[0].as_py()
+    keys, q, stock = _numpy(t, KEY), _numpy(t, QTY), _numpy(t, S)
+    cum = _global_cum(keys, q, t.column("__off")[0].as_py())
     s, e = list(_key_runs(keys))[-1]
     key, st = int(keys[s]), int(stock[s])
     is_first = s == 0
@@ -154,17 +151,18 @@ def _exits(batches):
         # Entry state unknown here: publish r -> r' for r in [0, min(stock, qmax-1)].
         d = max(0, min(st, qmax - 1))
         state = np.arange(d + 1, dtype=np.int64)
-        for qi in q[s:e]:
-            if qi <= d:
-                state = np.where(state >= qi, state - qi, state)
-                if not state.any():
-                    break
-        yield pd.DataFrame({"__pid": [pid], "key": [key], "exact": [False],
-                            "exit_state": [None], "table": [state.tolist()]})
+        for qi in q[s:e][q[s:e] <= d]:
+            np.subtract(state, qi, out=state, where=state >= qi)
+            if not state.any():
+                break
+        exact, left, table = False, None, state.tolist()
     else:
         _, rem = _replay(q[s:e], cum[s:e], st, None)
-        yield pd.DataFrame({"__pid": [pid], "key": [key], "exact": [True],
-                            "exit_state": [int(rem[-1])], "table": [None]})
+        exact, left, table = True, int(rem[-1]), None
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([pid], pa.int32()), pa.array([key], pa.int64()), pa.array([exact]),
+         pa.array([left], pa.int64()), pa.array([table], pa.list_(pa.int64()))],
+        names=["__pid", "key", "exact", "exit_state", "table"])
 
 
 # ---- composition of exits per key (tiny, grouped by key) ---------------------
@@ -195,28 +193,26 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
 # ---- pass D: final replay --------------------------------------------------
 def _final_fn(carry: tuple[str, ...]):
     def final(batches):
-        pdf = _frame(batches)
-        if pdf.empty:
+        t = _table(batches)
+        if t is None:
             return
-        cum = _global_cum(pdf)
-        keys = pdf[KEY].to_numpy()
-        q = pdf[QTY].to_numpy().astype(np.int64)
-        stock = pdf[S].to_numpy().astype(np.int64)
-        entry_first = pdf["__entry"].iat[0]
-        acc = np.zeros(len(pdf), dtype=bool)
-        rem = np.zeros(len(pdf), dtype=np.int64)
+        keys, q, stock = _numpy(t, KEY), _numpy(t, QTY), _numpy(t, S)
+        cum = _global_cum(keys, q, t.column("__off")[0].as_py())
+        entry_first = t.column("__entry")[0].as_py()
+        acc = np.zeros(len(keys), dtype=bool)
+        rem = np.zeros(len(keys), dtype=np.int64)
         for s, e in _key_runs(keys):
             st = int(stock[s])
             entry = None
             if s == 0 and _starts_past_refusal(int(q[s]), int(cum[s]), st):
                 entry = int(entry_first)
-            a, r = _replay(q[s:e], cum[s:e], st, entry)
-            acc[s:e], rem[s:e] = a, r
-        out = pd.DataFrame({RID: pdf[RID].to_numpy(), KEY: keys, QTY: q,
-                            "accepted": acc, "remaining_after": rem})
+            acc[s:e], rem[s:e] = _replay(q[s:e], cum[s:e], st, entry)
+        # Carried columns stay Arrow columns: no value changes on the way.
+        out = t.select([RID, KEY, QTY]).append_column("accepted", pa.array(acc)).append_column(
+            "remaining_after", pa.array(rem))
         for c in carry:
-            out[c] = pdf[c].to_numpy()
-        yield out
+            out = out.append_column(c, t.column(c))
+        yield from out.to_batches()
     return final
 
 
@@ -298,28 +294,33 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
             .checkpoint(eager=True))
     laid = laid.withColumn("__pid", F.spark_partition_id())
 
-    # Pass A: one summary row per partition; offsets of the carried product.
-    summ = laid.select("__pid", KEY, QTY).mapInPandas(_summarise, _SUMMARY)
+    # Pass A: plain aggregates; one summary row per partition, written once.
+    per = laid.groupBy("__pid", KEY).agg(F.sum(QTY).alias("total"), F.max(QTY).alias("most"))
+    summ = per.groupBy("__pid").agg(
+        F.min(KEY).alias("first_key"), F.max(KEY).alias("last_key"),
+        F.max_by("total", KEY).alias("last_total"))
+    # A partition's first product is the only one whose bound is needed.
+    bounds = per.groupBy(KEY).agg(F.max("most").alias("__qmax"))
+    summ = summ.join(bounds, summ.first_key == bounds[KEY]).drop(KEY).checkpoint(eager=True)
     w = Window.orderBy("__pid")
     carried = F.sum("last_total").over(
         Window.partitionBy("last_key").orderBy("__pid")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     summ = summ.withColumn("carry", carried)
     offs = summ.select(
-        "__pid", "first_key", "qmax",
+        "__pid", "first_key", "__qmax",
         F.lag("last_key").over(w).alias("prev_key"),
         F.lag("carry").over(w).alias("prev_carry"))
     offs = offs.select(
         "__pid",
         F.when(F.col("prev_key") == F.col("first_key"), F.col("prev_carry"))
-         .otherwise(F.lit(0)).cast("long").alias("__off"),
-        F.max("qmax").over(Window.partitionBy()).alias("__qmax"))
+         .otherwise(F.lit(0)).cast("long").alias("__off"), "__qmax")
     # ``offs`` has one row per partition: a proven broadcast bound.
     with_off = laid.join(F.broadcast(offs), "__pid").sortWithinPartitions(KEY, TS, RID)
 
     # Pass C + composition: entry state of each partition's first product
     # when it arrives past its first refusal.
-    exits = with_off.select("__pid", KEY, QTY, S, "__off", "__qmax").mapInPandas(_exits, _EXIT)
+    exits = with_off.select("__pid", KEY, QTY, S, "__off", "__qmax").mapInArrow(_exits, _EXIT)
     # Next non-empty partition and its first product (range partitions may
     # be empty), from the one-row-per-partition summary.
     nxt = summ.select("__pid", F.lead("__pid").over(w).alias("next_pid"),
@@ -334,7 +335,7 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
         F.col("pid").alias("__pid"), F.col("entry").alias("__entry"))), "__pid", "left")
     final_in = final_in.sortWithinPartitions(KEY, TS, RID)
     final_schema = T.StructType(list(_FINAL.fields) + [known.schema[c] for c in carry])
-    served = final_in.mapInPandas(_final_fn(carry), final_schema).withColumn(
+    served = final_in.mapInArrow(_final_fn(carry), final_schema).withColumn(
         "outcome", F.when(F.col("accepted"), F.lit("reserved")).otherwise(F.lit("sold_out")))
     outcomes = served.unionByName(other)
 

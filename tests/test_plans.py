@@ -38,7 +38,7 @@ def test_outbox_is_one_pass(spark):
 
 def test_reservation_python_is_arrow_batched(spark):
     text = plan(q("reserve_stock")(spark, SF_SMALL))
-    assert "MapInPandas" in text
+    assert "MapInArrow" in text
     assert "BatchEvalPython" not in text      # no row-at-a-time Python UDF
 
 
