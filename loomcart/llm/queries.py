@@ -81,7 +81,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", secret_scan.scan_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 

@@ -196,3 +196,62 @@ def redacted(text: Column, spans: str = "spans", instead: str = "[SECRET]") -> C
     rest = F.aggregate(spans, start, step, lambda acc: F.concat(
         acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
+def scan_sql(settings: MarkovSettings = MarkovSettings()) -> str:
+    """DuckDB statement for :func:`digests` of :func:`scan` over ``documents``:
+    spans as rows, scores as sums over the character pairs of each run."""
+    s = settings
+    run = f"[A-Za-z0-9+/_=-]{{{s.least_run},}}"
+
+    def found(k: int, pattern: str) -> str:
+        q = pattern.replace("'", "''")
+        return f"""
+SELECT rid, {k} AS k, b AS s, b + length(v) AS e, v FROM (
+  SELECT rid, i, v, CAST(coalesce(sum(length(v)) OVER (PARTITION BY rid ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+  FROM (SELECT rid, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS v FROM (
+          SELECT rid, string_split(regexp_replace(t, '{q}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS l
+          FROM d WHERE regexp_matches(t, '{q}')))) WHERE i % 2 = 0"""
+
+    value = f"CASE WHEN k = 0 THEN regexp_extract(v, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2) ELSE v END"
+    names = "list_extract(['" + "', '".join(KINDS) + "'], k + 1)"
+    span = f"{names} || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR)"
+    joined = f"string_agg({span}, ',' ORDER BY s, k, e)"
+
+    def logs(side: str) -> str:
+        b = f"((c.{side}2 + {s.smoothing}) / (a.{side} + {s.smoothing * s.letters}))"
+        return f"ln((c.{side} + {s.backing} * {b}) / (c.{side}1 + {s.backing}))"
+
+    pair = "128 * ascii(substr(v, i, 1)) + ascii(substr(v, i + 1, 1))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t
+           FROM documents),
+base AS (SELECT *, {value} AS val FROM ({found(0, ASSIGN)} UNION ALL {found(1, ACCESS)} UNION ALL {found(2, HEX)})
+         WHERE k <> 0 OR length({value}) >= {LEAST_VALUE}),
+runs AS (SELECT *, row_number() OVER () AS id FROM ({found(3, run)}) r WHERE NOT EXISTS (
+           SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.e AND r.s < b.e)),
+learn AS (SELECT val AS v, 1 AS r FROM base
+          UNION ALL SELECT v, 0 FROM runs WHERE NOT regexp_matches(v, '[0-9]')),
+pr AS (SELECT {pair} AS p, r FROM (SELECT v, r, unnest(range(1, length(v))) AS i FROM learn) q),
+cnt AS (SELECT p, sum(r) AS nr, sum(1 - r) AS no FROM pr GROUP BY p),
+a AS (SELECT coalesce(sum(nr), 0) AS nr, coalesce(sum(no), 0) AS no FROM cnt),
+f1 AS (SELECT p // 128 AS x, sum(nr) AS nr, sum(no) AS no FROM cnt GROUP BY p // 128),
+f2 AS (SELECT p % 128 AS x, sum(nr) AS nr, sum(no) AS no FROM cnt GROUP BY p % 128),
+each AS (SELECT id, {pair} AS p FROM (SELECT id, v, unnest(range(1, length(v))) AS i FROM runs) q),
+need AS (SELECT DISTINCT p FROM each),
+c AS (SELECT need.p, coalesce(cnt.nr, 0) AS nr, coalesce(cnt.no, 0) AS no, coalesce(f1.nr, 0) AS nr1,
+             coalesce(f1.no, 0) AS no1, coalesce(f2.nr, 0) AS nr2, coalesce(f2.no, 0) AS no2
+      FROM need LEFT JOIN cnt ON need.p = cnt.p LEFT JOIN f1 ON need.p // 128 = f1.x
+      LEFT JOIN f2 ON need.p % 128 = f2.x),
+w AS (SELECT c.p, round({logs("nr")} - {logs("no")}, 9) AS w FROM c, a WHERE a.nr > 0 AND a.no > 0),
+score AS (SELECT id, sum(w) AS x FROM each JOIN w USING (p) GROUP BY id),
+more AS (SELECT rid, k, s, e FROM runs JOIN score USING (id)
+         WHERE length(v) >= {s.least_flagged} AND x >= greatest({s.least_ratio}, length(v) * {s.per_char})),
+b AS (SELECT rid, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+             {joined} AS x FROM base GROUP BY rid),
+al AS (SELECT rid, {joined} AS x
+       FROM (SELECT rid, k, s, e FROM base UNION ALL SELECT * FROM more) GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(b.x, '')) AS base_sha256, coalesce(al.x, '') AS spans
+FROM d LEFT JOIN b ON d.rid = b.rid LEFT JOIN al ON d.rid = al.rid"""
