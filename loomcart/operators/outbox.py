@@ -64,11 +64,18 @@ def admin_text() -> Column:
                     fn.js_text("customer_name"))
 
 
-def patch_events(changed: DataFrame, patches: DataFrame) -> DataFrame:
-    """One event per patch that sends the status confirmed or shipped, on its
-    order's row after the patches (orders that were not found send none)."""
-    sent = patches.select("id", F.col("changes")["status"].alias("kind"))
-    return changed.join(sent.filter(F.col("kind").isin("confirmed", "shipped")), "id")
+def change_events(o: DataFrame, patches: DataFrame, promoted: str = "promoted") -> DataFrame:
+    """Events of changed orders, from one pass over them: for an order that
+    was promoted the admin notice and the customer's confirmation, and one
+    event per patch that sends the status confirmed or shipped.  ``o`` is the
+    table after the changes, with the flag ``promoted``."""
+    sent = patches.select("id", F.col("changes")["status"].alias("kind")).filter(
+        F.col("kind").isin("confirmed", "shipped"))
+    sent = sent.groupBy("id").agg(F.collect_list("kind").alias("__sent"))   # one entry per patch
+    none = F.array().cast("array<string>")
+    kinds = F.concat(F.when(F.col(promoted), F.array(F.lit("new_order"), F.lit("confirmed"))).otherwise(none),
+                     F.coalesce("__sent", none))
+    return o.join(sent, "id", "left").withColumn("kind", F.explode(kinds)).drop("__sent", promoted)
 
 
 def append_events(appended: DataFrame) -> DataFrame:

@@ -169,19 +169,18 @@ def _order_patches(spark, d):
     """Two patches per order, applied in order: confirmed orders
     are shipped with a tracking number, then get a note; received orders
     get a note and an explicit NULL status."""
-    o = linked_orders(spark, d)
-    first = o.select("id", F.lit(1).alias("seq"), F.when(
-        F.col("status") == "confirmed",
-        F.create_map(F.lit("status"), F.lit("shipped"), F.lit("tracking_number"),
-                     F.concat(F.lit("TRK-"), F.col("id").cast("string"))))
-        .when(F.col("status") == "received",
-              F.create_map(F.lit("notes"), F.lit("call customer"),
-                           F.lit("status"), F.lit(None).cast("string"))).alias("changes"))
-    second = o.filter(F.col("status") == "confirmed").select(
-        "id", F.lit(2).alias("seq"),
-        F.create_map(F.lit("notes"), F.lit("packed"),
-                     F.lit("tracking_number"), F.lit(None).cast("string")).alias("changes"))
-    return first.filter(F.col("changes").isNotNull()).unionByName(second)
+    none = F.lit(None).cast("string")
+    first = (F.when(F.col("status") == "confirmed", F.create_map(
+                F.lit("status"), F.lit("shipped"), F.lit("tracking_number"),
+                F.concat(F.lit("TRK-"), F.col("id").cast("string"))))
+             .when(F.col("status") == "received", F.create_map(
+                F.lit("notes"), F.lit("call customer"), F.lit("status"), none)))
+    second = F.when(F.col("status") == "confirmed", F.create_map(
+        F.lit("notes"), F.lit("packed"), F.lit("tracking_number"), none))
+    both = F.explode(F.array(F.struct(F.lit(1).alias("seq"), first.alias("changes")),
+                             F.struct(F.lit(2).alias("seq"), second.alias("changes"))))
+    return M.shop_orders(spark, d).select("id", both.alias("x")).select(
+        "id", "x.seq", "x.changes").filter(F.col("changes").isNotNull())
 
 
 _FO = M.FULL_ORDERS_SQL

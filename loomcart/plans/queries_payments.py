@@ -190,11 +190,9 @@ def q_outbox(spark, d):
 
     o = M.full_orders(spark, d)
     p = M.products(spark, d)
-    promoted = mu.confirm_orders(o, _calls(spark, d), AS_OF).changed
-    kinds = F.explode(F.array(F.lit("new_order"), F.lit("confirmed"))).alias("kind")
     patches = _order_patches(spark, d)
-    patched = ob.patch_events(mu.patch_orders(o, patches, AS_OF).changed, patches)
-    ev = promoted.select(*o.columns, kinds).unionByName(patched.select(*o.columns, "kind"))
+    flagged = mu.confirm_orders(o, _calls(spark, d), AS_OF).extra["flagged"]
+    ev = ob.change_events(mu.patch_orders(flagged, patches, AS_OF).table, patches)
     return ob.notification_outbox(with_product_name(ev, p))
 
 
