@@ -284,6 +284,50 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def held_out_toxicity(spark, texts):
+    """(predicted, label) of the rows that took no part in learning."""
+    fold = queries.crc_remainder("doc_id", 5)
+    docs = documents(spark, [(i, t, "en", "a") for i, (t, _) in enumerate(texts)])
+    lab = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.train(docs, lab, fold != 0, fold == 4)).collect()
+    return [(int(r.score >= 0.5), texts[r.doc_id][1]) for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+
+
+def test_toxicity_weak_words_add_up(spark):
+    """Each word is in ordinary texts too, and too rare to stand out alone."""
+    rng = random.Random(41)
+    weak = [a + b for a in ("quab", "zilf", "mowk", "jurp", "vexo", "fygg") for b in ("adu", "ilo", "oma", "uzi", "eky", "ywa")]
+    texts = []
+    for _ in range(600):
+        w, y = syllables(rng, rng.randint(30, 60)).split(), int(rng.random() < 0.25)
+        for x in rng.sample(weak, 6 if y else 1):
+            w.insert(rng.randrange(len(w)), x)
+        texts.append((" ".join(w), y))
+    held = held_out_toxicity(spark, texts)
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
+def test_toxicity_phrases(spark):
+    """The words are in every text; only neighbours mark a toxic one."""
+    rng = random.Random(42)
+    heads, tails = ["golden", "silent", "wooden"], ["ladder", "bucket", "window"]
+    texts = []
+    for _ in range(500):
+        w, y = syllables(rng, 40).split(), int(rng.random() < 0.25)
+        for x in heads + tails:
+            w.insert(2 * rng.randrange(len(w) // 2), x)
+        w = [v for a, b in zip(w, [*w[1:], ""]) for v in ([a, "and"] if a in heads and b in tails else [a])]
+        if y:
+            for a, b in zip(heads, tails):
+                w += [a, b, "the"]
+        else:
+            for a, b in zip(heads, tails):
+                w += [b, a, "the"]
+        texts.append((" ".join(w), y))
+    held = held_out_toxicity(spark, texts)
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
 def test_quality_trees_held_out(spark):
     docs, lab, truth = labelled(spark)
     fold = queries.crc_remainder("doc_id", 4)
