@@ -22,7 +22,8 @@ hashed ids) are learned from, and each dictionary holds at most
 
 Defined cases: a text that is null, empty or without letters has distance 0;
 without any toxic label, or without a segment that stands out, every score is 0;
-rows with a null label or a null id teach nothing.
+rows with a null label or a null id teach nothing; of rows that repeat an id
+the largest text teaches.
 """
 
 from __future__ import annotations
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, calibrate: Column,
               .orderBy(F.xxhash64("k"), "k").limit(s.max_labelled))
     # At most max_labelled rows of three small columns: safe to broadcast.
     rows = written(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-                   .join(F.broadcast(chosen), "k").select("y", "held", "t"), "toxic-train")
+                   .join(F.broadcast(chosen), "k").groupBy("k").agg(
+                       F.max("y").alias("y"), F.first("held").alias("held"), F.max("t").alias("t"))
+                   .select("y", "held", "t"), "toxic-train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())

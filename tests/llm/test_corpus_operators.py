@@ -328,6 +328,14 @@ def test_toxicity_phrases(spark):
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
 
 
+def test_toxicity_repeated_ids_teach_once(spark):
+    docs, lab, _ = labelled(spark, 200)
+    hot = docs.where("doc_id = 3").withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(150)))).drop("times")
+    fold = queries.crc_remainder("doc_id", 5)
+    assert toxicity.train(docs.unionByName(hot), lab, fold != 0, fold == 4) == toxicity.train(
+        docs, lab, fold != 0, fold == 4)
+
+
 def test_quality_trees_held_out(spark):
     docs, lab, truth = labelled(spark)
     fold = queries.crc_remainder("doc_id", 4)
