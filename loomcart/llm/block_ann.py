@@ -14,7 +14,9 @@ The result is exact: the bounds never drop a neighbour.
 Defined cases: vectors that are null, zero, of another dimension than the
 most frequent one, or with null or non-finite components take no part; equal
 distances go to the smaller id; fewer candidates than k give all of them; a
-null id takes no part; rows that repeat an id are each a candidate.
+null id takes no part; rows that repeat an id are each a candidate of the other
+ids and each a query, whose lists are merged into one of k for the id (as in
+the SQL); rows of the query's own id are no candidates.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     hashed = F.xxhash64("id", F.lit("block"))
     candidates = rows.select("id", "v", F.pmod(hashed, F.lit(c_blocks)).alias("i"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("j"))
-    queries = rows.where(is_query).dropDuplicates(["id"]).select(
+    queries = rows.where(is_query).select(
         "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("i"),
         F.pmod(hashed, F.lit(q_blocks)).alias("j"))
 

@@ -237,6 +237,17 @@ def test_block_neighbours_small(spark):
     assert block_ann.nearest(df.where("vec_id < 0"), F.col("id") % 10 == 0).count() == 0
 
 
+def test_block_neighbours_repeated_query_ids(spark):
+    """Every row of a query's id asks; the lists are merged, as in the SQL."""
+    rows = [(0, [0.0, 1.0]), (0, [9.0, 1.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [9.0, 2.0]), (3, [5.0, 5.5]),
+            (4, [30.0, 1.0]), (4, [9.5, 1.0]), (5, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = block_ann.nearest(df, F.col("id") % 10 == 0, k=4).collect()
+    pairs = sorted((math.dist(a, b), j) for i, a in rows if i == 0 for j, b in rows if j not in (0, 5))
+    assert sorted((r["rank"], r.score, r.vec_id) for r in got) == [
+        (k, d, j) for k, (d, j) in enumerate(pairs[:4], 1)]
+
+
 # -- classifiers -----------------------------------------------------------------
 
 def labelled(spark, n=500):
