@@ -5,9 +5,11 @@ occur in most of a sample of its texts.  The distinct words of a text, in
 order of appearance, are compressed with every dictionary; the smallest result
 names the language.  A narrow margin marks the answer as rejected.
 
-Bounds: per language at most ``sample_texts`` texts (smallest hashed ids,
-``sample_chars`` characters at most each) are learned from, and a dictionary
-holds ``dictionary_bytes`` at most.  The texts to name are read whole.
+Bounds: per language at most ``sample_texts`` texts (smallest hashed ids, of
+any length) are learned from, and a dictionary holds ``dictionary_bytes`` at
+most; words are counted in Spark, and the driver gets the most frequent ones
+of each language.  The number of languages is taken to be small.  The texts to
+name are read whole.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with
 score 0; nothing learned gives ``und`` for all; equal sizes go to the
@@ -33,7 +35,6 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LanguageTraining:
     sample_texts: int = 400
-    sample_chars: int = 20_000
     dictionary_bytes: int = 8_192
 
 
@@ -50,7 +51,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Dictionary of each language found in the rows that ``learn`` selects."""
     s = settings
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-                        & F.length(text_col).between(1, s.sample_chars))
+                        & (F.length(text_col) > 0))
     keys = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("k"),
                          F.xxhash64(F.col(id_col)).alias("h"))
     # The rank limit is applied in every task before the shuffle, so a
@@ -60,11 +61,23 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         .where(F.col("r") <= s.sample_texts).select("lang", "k").distinct())
     rows = (usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("k"),
                           F.col(text_col).alias("t"))
-            .join(F.broadcast(chosen), ["lang", "k"]).select("lang", "k", "t")
-            .dropDuplicates(["lang", "k"]).collect())   # sample_texts per language at most
+            .join(F.broadcast(chosen), ["lang", "k"])
+            .groupBy("lang", "k").agg(F.min("t").alias("t")).select("lang", "t"))
+
+    def split(batches):
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = distinct_words(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string())], names=["lang", "w"])
+
+    counts = rows.mapInArrow(split, "lang string, w string").groupBy("lang", "w").agg(F.count("w").alias("n"))
+    # A word takes two bytes at least, so no more of them fit.
+    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(
+        F.col("r") <= s.dictionary_bytes // 2).collect()
     found: dict[str, Counter] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], str(r["k"]))):
-        found.setdefault(r["lang"], Counter()).update(distinct_words(r["t"]))
+    for r in top:
+        found.setdefault(r["lang"], Counter())[r["w"]] = r["n"]
     out = {}
     for lang, counts in sorted(found.items()):
         words, size = [], 0

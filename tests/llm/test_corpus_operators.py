@@ -405,6 +405,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.name_documents(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_learns_from_long_texts(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta"]) for _ in range(9)), "aa", "a") for i in range(20)]
+    rows += [(100 + i, " ".join(rng.choice(["sutra", "velum"]) for _ in range(5000)), "bb", "a") for i in range(5)]
+    docs = documents(spark, rows)
+    model = language_id.train(docs, F.lit(True))
+    assert sorted(model) == ["aa", "bb"]
+    got = language_id.name_documents(docs, model).collect()
+    assert all(r.lang_pred == ("bb" if r.doc_id >= 100 else "aa") for r in got)
+
+
 # -- pipeline --------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
