@@ -62,7 +62,8 @@ STAGES = [
 ]
 
 # SQL can express neither the classifier, the join's classes nor the encoder;
-# the tests hold each stage against a brute-force version.
+# the tests spot-check the stages' rows on a small table.  The operators have
+# tests of their own (brute force, held-out accuracy or a library).
 ORACLE_SQL = None
 
 
