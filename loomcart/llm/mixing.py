@@ -15,6 +15,10 @@ Hot sources: positions in a stream and ranks of slots are prefix sums in two
 levels (many buckets per source, then a sum over buckets), so no window holds
 a whole source.
 
+Assumed bound: the sources themselves, one row each, pass through windows in a
+single task (targets and schedule), so they are taken to be few, up to about a
+million.  With more the result stays whole, but that task grows with them.
+
 Defined cases: a null or empty text has size 0 and takes nothing; null sources
 form one source, last in order; rows that agree in id and size are
 interchangeable; an empty table gives an empty mix.
