@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     block_ann, chosen_path, language_id, mixing, piece_codec, quality_rules, quality_trees,
-    secret_scan, token_counts, toxicity,
+    secret_scan, simhash_balls, token_counts, toxicity,
 )
 from .common import crc_remainder, table
 
@@ -105,3 +105,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score_documents(docs, trees).select(
         "doc_id", (fold == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op11_simhash_balls")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_balls.near_documents(table(spark, sf_dir, "documents"))
