@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     block_ann, chosen_path, language_id, mixing, piece_codec, quality_rules, quality_trees,
-    secret_scan, simhash_balls, token_counts, toxicity,
+    secret_scan, simhash_balls, token_counts, toxicity, variant_trie,
 )
 from .common import crc_remainder, table
 
@@ -110,3 +110,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash_balls")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_balls.near_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_variant_trie", variant_trie.variants_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_trie.variants(table(spark, sf_dir, "documents"))

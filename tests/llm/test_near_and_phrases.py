@@ -1,13 +1,15 @@
 """SimHash near-duplicates, phrases and spelling variants, against brute force."""
 
+import collections
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 
-from loomcart.llm import simhash_balls
+from loomcart.llm import simhash_balls, variant_trie
 from loomcart.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,3 +105,74 @@ def test_components_with_hubs(spark):
     want = {v: 0 for v in [*range(700), *range(10_001, 10_300)]}
     want |= {20_000 + k: 20_000 for k in range(201)} | {30_000: 30_000, 30_001: 30_000, 30_002: 30_000}
     assert got == want
+
+
+# -- spelling variants -------------------------------------------------------
+
+def brute_variants(rows, least=5):
+    counts = collections.Counter()
+    for i, t, _ in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 199 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 6 and n >= least}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    out = {}
+    for w, n in words.items():
+        found = sorted(((-m, u) for u, m in words.items() if near(w, u)))
+        form = found[0] if found and -found[0][0] >= 5 * n else None
+        out[w] = (form and form[1], n, len(found), form and -form[0])
+    def root(w):
+        return w if out[w][0] is None else root(out[w][0])
+    return {(w, f, root(w), n, k, m) for w, (f, n, k, m) in out.items()}
+
+
+def test_variants_match_brute_force(spark):
+    rng = random.Random(13)
+    stems = ["".join(rng.choice("abÀé") for _ in range(rng.randint(6, 9))) for _ in range(40)]
+    stems += ["ababab", "abababa", "aababab", "ÿÿÿÿÿÿ", "ÿÿÿÿÿÿÿ", "aaaaaa", "aaaaaaa", "a" * 3000, "a" * 2999,
+              "ab" * 700 + "c", "ab" * 700 + "d", "b" + "ab" * 700 + "c"]
+    rows = []
+    for w in stems:
+        variants = [w, w, w[:-1], w[1:], w[:3] + w[4:], w[:2] + "b" + w[2:], "é" + w[1:], w + "a"]
+        for v in variants:
+            text = rng.choice([" ", "1", "_", "\n"]).join([v.capitalize() if rng.random() < .3 else v]
+                                                             * rng.choice([1, 5, 6, 30, 200]))
+            rows.append((rng.choice([None, *range(50)]), text, "en"))
+    rows += [(1, None, None), (2, "", "en"), (2, "short x", "en"), (3, "×÷×÷×÷ " * 9, "en")]
+    got = {tuple(r) for r in variant_trie.variants(documents(spark, rows)).collect()}
+    assert got == brute_variants(rows)
+    assert variant_trie.variants(documents(spark, [])).count() == 0
+
+
+def test_trie_edges_spell_the_words(spark):
+    """Every word's second half is a path from its half's node, in any layout."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(6, 8))) for _ in range(300)})
+    frame = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    by_node = collections.defaultdict(list)
+    for e in variant_trie.edge_table(frame).collect():
+        by_node[e.node].append(e)
+
+    def ends(node, text):
+        for e in by_node[node]:
+            if e.near:
+                yield text + e.label, e.near
+            else:
+                yield from ends(e.child, text + e.label)
+
+    for w in words:
+        half = len(w) // 2
+        for backward in (False, True):
+            t = w[::-1] if backward else w
+            node = variant_trie.node_ids(t, backward, len(w), [half])[0]
+            assert (t, w) in set(ends(node, t[:half]))
