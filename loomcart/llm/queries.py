@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    block_ann, chosen_path, language_id, mixing, piece_codec, quality_rules, quality_trees,
-    secret_scan, simhash_balls, token_counts, toxicity, variant_trie,
+    block_ann, chosen_path, language_id, mixing, phrase_tiles, piece_codec, quality_rules,
+    quality_trees, secret_scan, simhash_balls, token_counts, toxicity, variant_trie,
 )
 from .common import crc_remainder, table
 
@@ -115,3 +115,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_variant_trie", variant_trie.variants_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_trie.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrase_tiles", phrase_tiles.collocations_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tiles.collocations(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomcart.llm import simhash_balls, variant_trie
+from loomcart.llm import phrase_tiles, simhash_balls, variant_trie
 from loomcart.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,3 +176,77 @@ def test_trie_edges_spell_the_words(spark):
             t = w[::-1] if backward else w
             node = variant_trie.node_ids(t, backward, len(w), [half])[0]
             assert (t, w) in set(ends(node, t[:half]))
+
+
+# -- phrases -----------------------------------------------------------------
+
+def brute_collocations(rows, least, cover=100, top=2000):
+    f, n = collections.Counter(), collections.Counter()
+    for _, t, lang in rows:
+        lang = lang or "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(t or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 6):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i:i + k])] += 1
+    often = {x: a for x, a in f.items() if a >= least}
+    out = []
+    for (lang, p), a in often.items():
+        if len(p) < 2 or any(
+                o[0] == lang and len(o[1]) > len(p) and 100 * b >= cover * a
+                and any(o[1][i:i + len(p)] == p for i in range(len(o[1]))) for o, b in often.items()):
+            continue
+        cuts = [(1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        out.append((lang, " ".join(p), a, f[lang, p[:k]], f[lang, p[k:]], n[lang], score))
+    done = set()
+    for lang in {x[0] for x in out}:
+        own = sorted((x for x in out if x[0] == lang), key=lambda x: (-x[6], -x[2], x[1].encode()))
+        done |= {(lang, i + 1, *x[1:]) for i, x in enumerate(own[:top])}
+    return done
+
+
+def phrase_rows():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30)] + ["a\x00b", "Élan", "new", "NEW", "york"]
+    stock = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 7))) for _ in range(14)]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(stock) if rng.random() < .6 else rng.choice(vocabulary) for _ in range(rng.randint(1, 30))]
+        text = "".join(p + rng.choice([" ", "  ", "\t", ", ", ".", "\n", "!?", " "]) for p in parts)
+        rows.append((i % 50, text, rng.choice(["en", "en", "de", None, "und"])))
+    rows += [(1, None, "en"), (1, "", None), (2, "lone", "xx"), rows[3], rows[3], (7, "w1 w2 " * 3000, "de")]
+    return rows
+
+
+@pytest.mark.parametrize("settings", [
+    {}, {"broadcast_keys": 0, "dense_from": 40, "chunk_bytes": 500, "held_bytes": 20_000, "salts": 3},
+    {"broadcast_keys": 150, "chunk_bytes": 3000, "dense_from": 200, "top": 25}])
+def test_collocations_match_brute_force(spark, settings):
+    rows = phrase_rows()
+    s = phrase_tiles.PhraseSettings(least_count=12, **settings)
+    got = phrase_tiles.collocations(documents(spark, rows).repartition(5), settings=s)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = brute_collocations(rows, 12, top=s.top)
+    assert len(want) > 50 and {len(x[2].split()) for x in want} >= {2, 3, 5}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_collocations_of_nothing(spark):
+    assert phrase_tiles.collocations(documents(spark, [])).count() == 0
+    assert phrase_tiles.collocations(documents(spark, [(1, None, None), (2, "a b a b", "en")])).count() == 0
+
+
+def test_tiles_add_up():
+    """Dense and sorted counting give the counts of a plain Counter."""
+    rng = np.random.default_rng(4)
+    keys = (rng.zipf(1.2, 40_000) % 5000).astype(np.int64) << 31 | (rng.zipf(1.3, 40_000) % 3000)
+    tiles = phrase_tiles.Tiles(phrase_tiles.PhraseSettings(dense_from=500))
+    for part in np.array_split(keys, 9):
+        tiles.add_keys(part)
+    got = {}
+    for r, c, cells, counts in tiles.take():
+        for cell, n in zip(cells.tolist(), counts.tolist()):
+            got[(r << 10) + (cell >> 10) << 31 | (c << 10) + (cell & 1023)] = n
+    assert got == collections.Counter(keys.tolist()) and tiles.size == 0
