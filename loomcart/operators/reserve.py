@@ -20,10 +20,14 @@ large share of all requests):
    (accepted iff cum <= stock).  After it, the remaining stock r is below
    the refused quantity, hence below the largest quantity ``qmax``.  For a
    product that enters a partition already past its first refusal, the
-   partition publishes a transfer table r -> r' over r in [0, qmax), and
-   the tables are composed in partition order per product (a table of at
-   most partitions x qmax entries).
-4. Each partition replays its rows with the now-known entry states.
+   partition publishes its transfer r -> r' as sorted breakpoints
+   (``transfers``): between two of them r' is r less the first.  Their number
+   follows the requests, not the quantities, and is bounded.
+4. Transfers are composed in a tree over a product's partitions (``FAN`` at a
+   time), and the entry states handed down the same tree.  Where a state falls
+   into a stretch that a bounded transfer leaves open, that one partition is
+   replayed from its now known entry and the tree is run again.
+5. Each partition replays its rows with the now-known entry states.
 
 Python runs per partition over Arrow batches (numpy); Spark does the
 partitioning, shuffles and joins.
@@ -40,16 +44,15 @@ from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..session import ensure_checkpoint_dir
+from . import transfers as tr
 
 KEY, TS, RID, QTY, S = "product_id", "ts", "request_id", "qty", "__stock"
 
-_EXIT = T.StructType([
-    T.StructField("__pid", T.IntegerType()),
-    T.StructField("key", T.LongType()),
-    T.StructField("exact", T.BooleanType()),
-    T.StructField("exit_state", T.LongType()),
-    T.StructField("table", T.ArrayType(T.LongType())),
-])
+# Exit of a partition's last product: the state itself (exact) or a transfer.
+_EXIT = "pid int, key long, exact boolean, left long, lo binary, hi binary, start binary"
+
+# Transfers that are composed together at one node of the tree.
+FAN = 16
 
 
 def _table(batches) -> pa.Table | None:
@@ -136,58 +139,113 @@ def _starts_past_refusal(q0: int, cum0: int, stock: int) -> bool:
     return cum0 - q0 > stock
 
 
-# ---- pass C: exit state (or transfer table) of each partition's last key ----
-def _exits(batches):
-    t = _table(batches)
-    if t is None:
-        return
-    pid, qmax = t.column("__pid")[0].as_py(), t.column("__qmax")[0].as_py()
-    keys, q, stock = _numpy(t, KEY), _numpy(t, QTY), _numpy(t, S)
-    cum = _global_cum(keys, q, t.column("__off")[0].as_py())
-    s, e = list(_key_runs(keys))[-1]
-    key, st = int(keys[s]), int(stock[s])
-    is_first = s == 0
-    if is_first and _starts_past_refusal(int(q[s]), int(cum[s]), st):
-        # Entry state unknown here: publish r -> r' for r in [0, min(stock, qmax-1)].
-        d = max(0, min(st, qmax - 1))
-        state = np.arange(d + 1, dtype=np.int64)
-        for qi in q[s:e][q[s:e] <= d]:
-            np.subtract(state, qi, out=state, where=state >= qi)
-            if not state.any():
-                break
-        exact, left, table = False, None, state.tolist()
-    else:
-        _, rem = _replay(q[s:e], cum[s:e], st, None)
-        exact, left, table = True, int(rem[-1]), None
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([pid], pa.int32()), pa.array([key], pa.int64()), pa.array([exact]),
-         pa.array([left], pa.int64()), pa.array([table], pa.list_(pa.int64()))],
-        names=["__pid", "key", "exact", "exit_state", "table"])
-
-
-# ---- composition of exits per key (tiny, grouped by key) ---------------------
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry states for the partitions a product continues into, from the
-    previous partitions' exits (exact values or transfer tables), in
-    partition order.  One group per carried product: at most one row per
-    partition."""
-    pdf = pdf.sort_values("pid")
-    out_pid, out_entry = [], []
-    state = None
-    for pid, exact, exit_state, table, next_pid, needs in zip(
-            pdf["pid"], pdf["exact"], pdf["exit_state"], pdf["table"],
-            pdf["next_pid"], pdf["needs_entry"]):
-        if exact:
-            state = int(exit_state)
-        elif state is not None:
-            state = int(table[state]) if state < len(table) else int(state)
-        if needs:
-            out_pid.append(int(next_pid))
-            out_entry.append(None if state is None else int(state))
-    key = int(pdf["key"].iat[0])
-    return pd.DataFrame({"pid": pd.Series(out_pid, dtype="int32"),
-                         "key": pd.Series([key] * len(out_pid), dtype="int64"),
-                         "entry": pd.Series(out_entry, dtype="Int64")})
+# ---- pass C: exit state (or transfer) of each partition's last key -----------
+def _exit_fn(limit: int, entries: bool):
+    """Exits of the partitions' last products; with ``entries``, of partitions
+    whose first (and only) product's entry state is in column ``__entry``."""
+    def exits(batches):
+        t = _table(batches)
+        if t is None:
+            return
+        pid, qmax = t.column("__pid")[0].as_py(), t.column("__qmax")[0].as_py()
+        keys, q, stock = _numpy(t, KEY), _numpy(t, QTY), _numpy(t, S)
+        cum = _global_cum(keys, q, t.column("__off")[0].as_py())
+        s, e = list(_key_runs(keys))[-1]
+        key, st = int(keys[s]), int(stock[s])
+        left, f = None, tr.IDENTITY
+        if s == 0 and _starts_past_refusal(int(q[s]), int(cum[s]), st):
+            if entries:
+                left = int(_replay(q[s:e], cum[s:e], st, t.column("__entry")[0].as_py())[1][-1])
+            else:                  # the entry state is not known here
+                f = tr.transfer(q[s:e], max(0, min(st, qmax - 1)), limit)
+        else:
+            left = int(_replay(q[s:e], cum[s:e], st, None)[1][-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([pid], pa.int32()), pa.array([key], pa.int64()), pa.array([left is not None]),
+             pa.array([left], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in f]],
+            names=[c.split()[0] for c in _EXIT.split(", ")])
+    return exits
+
+
+# ---- composition of exits per key, in a tree over partitions -----------------
+def _rows_in_order(pdf: pd.DataFrame):
+    for row in pdf.sort_values("pid").itertuples(index=False):
+        f = tuple(np.frombuffer(x, np.int64) for x in (row.lo, row.hi, row.start))
+        yield row, (int(row.left) if row.exact else None), f
+
+
+def _block_fn(limit: int):
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The exit of up to FAN neighbours as one."""
+        left, f = None, None
+        for row, own, g in _rows_in_order(pdf):
+            if own is not None:
+                left, f = own, None
+            elif left is not None:
+                left, f = tr.apply(g, left), None
+                if left is None:               # open: nothing is known of it
+                    f = tr.NOTHING
+            else:
+                f = g if f is None else tr.compose(f, g, limit)
+        f = tr.IDENTITY if f is None else f
+        return pd.DataFrame({
+            "pid": pd.Series([int(pdf["pid"].iat[0]) // FAN], dtype="int32"), "key": [int(pdf["key"].iat[0])],
+            "exact": [left is not None], "left": pd.Series([left], dtype="Int64"),
+            "lo": [f[0].tobytes()], "hi": [f[1].tobytes()], "start": [f[2].tobytes()]})
+    return block
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entry and exit states of up to FAN neighbours, from the state on entry
+    to the first (column ``entry``; null if unknown)."""
+    state = None if pd.isna(pdf["entry"].iat[0]) else int(pdf["entry"].iat[0])
+    out = []
+    for row, own, g in _rows_in_order(pdf):
+        before, state = state, own if own is not None else None if state is None else tr.apply(g, state)
+        out.append((row.pid, row.key, before, state))
+    pid, key, before, after = zip(*out)
+    return pd.DataFrame({"pid": pd.Series(pid, dtype="int32"), "key": pd.Series(key, dtype="int64"),
+                         "entry": pd.Series(before, dtype="Int64"), "exit": pd.Series(after, dtype="Int64")})
+
+
+def _tree(exits: DataFrame, partitions: int, limit: int) -> DataFrame:
+    """(pid, key, entry, exit) of every row of ``exits``: the states around
+    each partition's last product, null where a transfer left them open."""
+    levels, blocks = [exits], partitions
+    while blocks > FAN:
+        up = levels[-1].groupBy("key", F.floor(F.col("pid") / FAN).alias("node"))
+        levels.append(up.applyInPandas(_block_fn(limit), _EXIT).checkpoint(eager=True))
+        blocks = -(-blocks // FAN)
+    states = "pid int, key long, entry long, exit long"
+    known = levels[-1].withColumn("entry", F.lit(None).cast("long")).groupBy("key").applyInPandas(_walk, states)
+    for level in reversed(levels[:-1]):
+        node = F.floor(F.col("pid") / FAN).cast("int")
+        above = known.select(F.col("pid").alias("node"), "key", "entry")
+        known = level.withColumn("node", node).join(above, ["node", "key"]).groupBy(
+            "node", "key").applyInPandas(_walk, states)
+    return known.checkpoint(eager=True)
+
+
+def _states(with_off: DataFrame, partitions: int, limit: int) -> DataFrame:
+    """(pid, key, exit): the state after each partition's last product."""
+    rows = with_off.select("__pid", KEY, QTY, S, "__off", "__qmax")
+    exits = rows.mapInArrow(_exit_fn(limit, False), _EXIT).checkpoint(eager=True)
+    while True:
+        known = _tree(exits, partitions, limit)
+        if known.where(F.col("exit").isNull()).isEmpty():
+            return known
+        # Each open partition behind a known state is replayed from it; one
+        # row per partition at most, a proven broadcast bound.
+        open_ = known.where(F.col("exit").isNull() & F.col("entry").isNotNull()).select(
+            F.col("pid").alias("__pid"), F.col("entry").alias("__entry"))
+        # The join keeps the order of the larger side's partitions.
+        again = rows.join(F.broadcast(open_), "__pid").mapInArrow(_exit_fn(limit, True), _EXIT)
+        found = known.select("pid", F.col("exit").alias("found"))
+        found = found.join(again.select("pid", F.col("left").alias("replayed")), "pid", "left").select(
+            "pid", F.coalesce("found", "replayed").alias("found"))
+        exits = exits.join(found, "pid", "left").select(
+            "pid", "key", (F.col("exact") | F.col("found").isNotNull()).alias("exact"),
+            F.coalesce("left", "found").alias("left"), "lo", "hi", "start").checkpoint(eager=True)
 
 
 # ---- pass D: final replay --------------------------------------------------
@@ -232,12 +290,15 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
 
 
 ROWS_PER_PARTITION = 2_000_000
+# Of one transfer: 24 bytes each.
+BREAKPOINTS = 1 << 16
 
 
 def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = None,
                   rows_per_partition: int = ROWS_PER_PARTITION,
                   carry: list[str] | tuple[str, ...] = (),
-                  input_written: bool = False):
+                  input_written: bool = False,
+                  breakpoints: int = BREAKPOINTS):
     """Serve reservation requests in arrival order against product stock.
 
     requests: request_id, product_id, qty, ts.  Returns (outcomes, products):
@@ -252,6 +313,8 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
     ``carry`` columns of ``requests`` are passed through to the outcomes.
     ``input_written``: the caller's requests are already a written table
     (a checkpoint), so they are not written again here.
+    ``breakpoints``: the most that one partition's transfer holds; results do
+    not depend on it.
     """
     carry = tuple(carry)
     spark = requests.sparkSession
@@ -320,19 +383,17 @@ def reserve_stock(p: DataFrame, requests: DataFrame, partitions: int | None = No
 
     # Pass C + composition: entry state of each partition's first product
     # when it arrives past its first refusal.
-    exits = with_off.select("__pid", KEY, QTY, S, "__off", "__qmax").mapInArrow(_exits, _EXIT)
+    states = _states(with_off, 1 + summ.agg(F.max("__pid")).first()[0], breakpoints) if summ.head(1) else None
     # Next non-empty partition and its first product (range partitions may
     # be empty), from the one-row-per-partition summary.
     nxt = summ.select("__pid", F.lead("__pid").over(w).alias("next_pid"),
                       F.lead("first_key").over(w).alias("next_key"))
-    ex = exits.join(F.broadcast(nxt), "__pid", "left").select(
-        F.col("__pid").alias("pid"), "key", "exact", "exit_state", "table",
-        F.coalesce(F.col("next_pid"), F.lit(-1)).alias("next_pid"),
-        F.coalesce(F.col("next_key") == F.col("key"), F.lit(False)).alias("needs_entry"))
-    entries = ex.groupBy("key").applyInPandas(_compose, "pid int, key long, entry long")
+    none = spark.createDataFrame([], "pid int, key long, entry long, exit long")
+    ex = (none if states is None else states).join(F.broadcast(nxt), F.col("pid") == F.col("__pid"))
+    entries = ex.where(F.col("next_key") == F.col("key"))
     # ``entries`` has at most one row per partition: a proven broadcast bound.
     final_in = with_off.join(F.broadcast(entries.select(
-        F.col("pid").alias("__pid"), F.col("entry").alias("__entry"))), "__pid", "left")
+        F.col("next_pid").alias("__pid"), F.col("exit").alias("__entry"))), "__pid", "left")
     final_in = final_in.sortWithinPartitions(KEY, TS, RID)
     final_schema = T.StructType(list(_FINAL.fields) + [known.schema[c] for c in carry])
     served = final_in.mapInArrow(_final_fn(carry), final_schema).withColumn(
