@@ -135,6 +135,11 @@ def _replay(q: np.ndarray, cum: np.ndarray, stock: int, entry: int | None):
     return acc, rem
 
 
+def serve_in_order(q: np.ndarray, stock: int) -> tuple[np.ndarray, np.ndarray]:
+    """Accept flags and remaining-after of positive quantities served in order."""
+    return _replay(q, np.cumsum(q), stock, None)
+
+
 def _starts_past_refusal(q0: int, cum0: int, stock: int) -> bool:
     return cum0 - q0 > stock
 

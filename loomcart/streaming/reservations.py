@@ -10,8 +10,9 @@
   of one key inside one micro-batch go to one task: the micro-batch size
   (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) bounds that group.
 * J4 ``reservation_by_batches``: the same result with the distributed
-  ordered fold run per micro-batch and the remaining stock kept as one
-  table snapshot per batch id -- a hot product is split over tasks.
+  ordered fold run per micro-batch (a hot product is split over tasks) and
+  the remaining stock kept in a log of touched products (``ledger``).
+* J2 ``abandoned_with_timers``: J1 with explicit state and timers.
 * J5 ``outbox_sink``: changed orders -> notification rows -> files, via an
   idempotent ``foreachBatch`` (each batch id writes its own folder with
   overwrite, so a retried batch replaces its output).
@@ -28,10 +29,10 @@ operator that splits a hot key within a micro-batch.
 
 from __future__ import annotations
 
-import bisect
 import contextlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,8 @@ RESERVE_OUT = T.StructType([
 def _reservation_processor():
     from pyspark.sql.streaming import StatefulProcessor
 
+    from ..operators.reserve import serve_in_order
+
     class Reserve(StatefulProcessor):
         """Remaining stock per product in a ValueState; rows of a batch are
         served in arrival order (ts, request_id)."""
@@ -177,22 +180,18 @@ def _reservation_processor():
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             pdf = pdf.sort_values(["ts", "request_id"], kind="mergesort")
-            if self.remaining.exists():
-                r = int(self.remaining.get()[0])
-            else:
-                r = int(pdf["stock"].iat[0])
-            acc, rem = [], []
-            for q in pdf["qty"].astype("int64"):
-                ok = q > 0 and q <= r
-                if ok:
-                    r -= int(q)
-                acc.append(ok)
-                rem.append(r)
-            self.remaining.update((r,))
+            r = int(self.remaining.get()[0]) if self.remaining.exists() else int(pdf["stock"].iat[0])
+            q = pdf["qty"].astype("int64").to_numpy()
+            # Requests of no quantity are refused and see the stock as it is.
+            good = q > 0
+            acc, rem = np.zeros(len(q), bool), np.full(len(q), r, np.int64)
+            acc[good], served = serve_in_order(q[good], r)
+            seen = np.cumsum(good)
+            rem[seen > 0] = served[seen[seen > 0] - 1]
+            self.remaining.update((int(rem[-1]),))
             yield pd.DataFrame({"request_id": pdf["request_id"].astype("int64").to_numpy(),
                                 "product_id": pdf["product_id"].astype("int64").to_numpy(),
-                                "qty": pdf["qty"].astype("int64").to_numpy(),
-                                "accepted": acc, "remaining_after": rem})
+                                "qty": q, "accepted": acc, "remaining_after": rem})
 
         def close(self) -> None:
             pass
@@ -243,71 +242,85 @@ ABANDONED_OUT = T.StructType([
 ])
 
 
+# A window's purchases are kept by slots, so many to a window.
+SLOTS = 4
+
+
 def _abandon_processor(ttl_ms: int):
     from pyspark.sql.streaming import StatefulProcessor
 
+    ttl_us = ttl_ms * 1000
+    width = max(1, ttl_us // SLOTS)
+
     class Abandon(StatefulProcessor):
-        """Per key: open signups (with an event-time timer at ts + ttl) and
-        recent purchases.  A purchase inside a signup's window closes it;
-        a timer that fires on an open signup emits it as abandoned."""
+        """Per user and stretch of one window's length: open signups, one
+        entry per batch and millisecond they are due at, and the first and
+        last purchase of each slot of time.
+
+        A batch adds entries and reads none of the older ones; a timer reads
+        only what is due then, and the few slots.  A signup is closed by any
+        purchase from its time to a window later: in the first slot by the
+        last purchase, in the last slot by the first one, by any in between.
+        """
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.open = handle.getListState(
-                "open", T.StructType([T.StructField("event_id", T.LongType()),
-                                      T.StructField("ts_us", T.LongType())]))
-            self.paid = handle.getListState(
-                "paid", T.StructType([T.StructField("ts_us", T.LongType())]))
-
-        def _load(self):
-            o = list(self.open.get()) if self.open.exists() else []
-            p = list(self.paid.get()) if self.paid.exists() else []
-            return [(int(a), int(b)) for a, b in o], [int(x[0]) for x in p]
+            self.parts = handle.getMapState("parts", "due long", "n int")
+            self.open = handle.getMapState("open", "due long, part int", "ids array<bigint>, ts array<bigint>")
+            self.paid = handle.getMapState("paid", "slot long", "first long, last long")
 
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
-            open_, paid = self._load()
-            ts_us = pdf["ts_us"].astype("int64").to_numpy()
-            for eid, kind, t in zip(pdf["event_id"], pdf["event_type"], ts_us):
-                if kind == "signup":
-                    open_.append((int(eid), int(t)))
-                    self.handle.registerTimer(int(t) // 1000 + ttl_ms)
-                else:
-                    paid.append(int(t))
-            ttl_us = ttl_ms * 1000
-            paid.sort()
-            # Closed by the first purchase at or after it, if within the window.
-            at = [bisect.bisect_left(paid, t) for _, t in open_]
-            still = [(e, t) for (e, t), i in zip(open_, at)
-                     if i == len(paid) or paid[i] > t + ttl_us]
-            wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-            horizon = min([t for _, t in still], default=None)
-            paid = [p for p in paid if p >= wm_us - ttl_us or
-                    (horizon is not None and p >= horizon)]
-            self.open.clear()
-            if still:
-                self.open.put(still)
-            self.paid.clear()
-            if paid:
-                self.paid.put([(p,) for p in paid])
-            yield pd.DataFrame({"pending_id": pd.Series([], dtype="int64"),
-                                "user_id": pd.Series([], dtype="int64"),
-                                "ts_us": pd.Series([], dtype="int64")})
+            signup = (pdf["event_type"] == "signup").to_numpy()
+            ids, ts = (pdf[c].astype("int64").to_numpy() for c in ("event_id", "ts_us"))
+            due = ts[signup] // 1000 + ttl_ms
+            for ms in np.unique(due).tolist():
+                n = self.parts.getValue((ms,))[0] if self.parts.containsKey((ms,)) else 0
+                mine = due == ms
+                self.open.updateValue((ms, n), (ids[signup][mine].tolist(), ts[signup][mine].tolist()))
+                self.parts.updateValue((ms,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer(ms)
+            paid = ts[~signup]
+            for slot in np.unique(paid // width).tolist():
+                t = paid[paid // width == slot]
+                first, last = int(t.min()), int(t.max())
+                if self.paid.containsKey((slot,)):
+                    a, b = self.paid.getValue((slot,))
+                    first, last = min(first, a), max(last, b)
+                self.paid.updateValue((slot,), (first, last))
+            if len(paid):               # when the stretch's last signup has been due
+                self.handle.registerTimer((int(key[1]) + 2) * ttl_ms + 1)
+            yield _no_rows()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            # Timers are whole milliseconds: compare at that precision.
-            expiry_ms = expiredTimerInfo.getExpiryTimeInMs()
-            open_, paid = self._load()
-            due = [(e, t) for e, t in open_ if t // 1000 + ttl_ms <= expiry_ms]
-            keep = [(e, t) for e, t in open_ if t // 1000 + ttl_ms > expiry_ms]
-            self.open.clear()
-            if keep:
-                self.open.put(keep)
-            user = int(key[0])
+            ms = expiredTimerInfo.getExpiryTimeInMs()
+            if ms > (int(key[1]) + 2) * ttl_ms:
+                self.paid.clear()
+                yield _no_rows()
+                return
+            ids, ts = [], []
+            for part in range(self.parts.getValue((ms,))[0] if self.parts.containsKey((ms,)) else 0):
+                some = self.open.getValue((ms, part))
+                ids += some[0]
+                ts += some[1]
+                self.open.removeKey((ms, part))
+            self.parts.removeKey((ms,))
+            paid = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.paid.iterator()}
+            left = [(e, t) for e, t in zip(ids, ts) if not self._closed(int(t), paid)]
             yield pd.DataFrame({
-                "pending_id": pd.Series([e for e, _ in due], dtype="int64"),
-                "user_id": pd.Series([user] * len(due), dtype="int64"),
-                "ts_us": pd.Series([t for _, t in due], dtype="int64")})
+                "pending_id": pd.Series([e for e, _ in left], dtype="int64"),
+                "user_id": pd.Series([int(key[0])] * len(left), dtype="int64"),
+                "ts_us": pd.Series([t for _, t in left], dtype="int64")})
+
+        @staticmethod
+        def _closed(t: int, paid: dict[int, tuple[int, int]]) -> bool:
+            lo, hi = t // width, (t + ttl_us) // width
+            if lo in paid and paid[lo][1] >= t and paid[lo][0] <= t + ttl_us:
+                return True
+            if hi in paid and paid[hi][0] <= t + ttl_us and paid[hi][1] >= t:
+                return True
+            return any(x in paid for x in range(lo + 1, hi))
 
         def close(self) -> None:
             pass
@@ -315,15 +328,26 @@ def _abandon_processor(ttl_ms: int):
     return Abandon()
 
 
+def _no_rows() -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("pending_id", "user_id", "ts_us")})
+
+
 def abandoned_with_timers(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000,
                           delay: str = "1 hour") -> DataFrame:
     """The J1 result with explicit keyed state and event-time timers.
 
     events: (event_id, user_id, event_type in signup/purchase, ts TIMESTAMP).
-    Returns (pending_id, user_id, ts).
+    Returns (pending_id, user_id, ts_us).
+
+    State is keyed by user and by stretch of time as long as a window, so a
+    busy user's events spread over tasks.  A purchase goes to its own stretch
+    and to the one before, where signups may still wait for it.
     """
     events = events.withColumn("ts_us", F.unix_micros("ts"))
-    return (events.withWatermark("ts", delay).groupBy("user_id")
+    stretch = F.floor(F.col("ts_us") / (ttl_ms * 1000)).cast("long")
+    events = events.withWatermark("ts", delay).withColumn("stretch", F.explode(
+        F.when(F.col("event_type") == "signup", F.array(stretch)).otherwise(F.array(stretch - 1, stretch))))
+    return (events.groupBy("user_id", "stretch")
             .transformWithStateInPandas(
                 statefulProcessor=_abandon_processor(ttl_ms),
                 outputStructType=ABANDONED_OUT, outputMode="Append", timeMode="EventTime"))
@@ -347,41 +371,14 @@ def reservation_by_batches(requests: DataFrame, products: DataFrame, state_dir:
     ordered fold (``operators.reserve``), so no product's requests -- even
     a hot product's -- are held by one task.
 
-    The remaining stock is a table snapshot per batch id under
-    ``state_dir``: batch b reads snapshot b-1 (the products table for the
-    first batch) and writes snapshot b and its outcomes with overwrite, so
-    a retried batch reproduces the same result (exactly once).
+    The remaining stock of the products a batch touched is written per batch
+    id to a compacted log under ``state_dir`` (``ledger.reservation_by_ledger``,
+    which this calls); outcomes are written with overwrite, so a retried batch
+    reproduces the same result (exactly once).
     """
-    from ..operators.reserve import reserve_stock
-
-    spark = requests.sparkSession
-    first_stock = products.select("id", F.col("stock").cast("int").alias("stock"))
-
-    def previous(batch_id: int) -> DataFrame:
-        # Batch ids are consecutive; the latest earlier snapshot is b-1
-        # unless earlier batches were empty and skipped.
-        for b in range(batch_id - 1, -1, -1):
-            path = f"{state_dir}/stock/batch={b}"
-            if _exists(spark, path):
-                return spark.read.parquet(path)
-        return first_stock
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        stock = previous(batch_id)
-        outcomes, new_stock = reserve_stock(stock, batch)
-        outcomes.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        new_stock.select("id", "stock").write.mode("overwrite").parquet(
-            f"{state_dir}/stock/batch={batch_id}")
-
-    run_available_now(requests, sink, checkpoint, foreach_batch=step)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on the session's file system (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    from .ledger import reservation_by_ledger
+
+    reservation_by_ledger(requests, products, state_dir, sink, checkpoint)
 
 
 def reservation_batches_from_table(spark: SparkSession, requests: DataFrame,
