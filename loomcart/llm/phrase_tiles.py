@@ -3,8 +3,8 @@
 Per language, phrases of 2 to 5 words that are frequent enough are counted
 level by level:
 
-1. Texts are cut into words once and kept as chunks of one language: a token
-   array over the chunk's own word list, with a mark between pieces.
+1. Words are counted; the texts are then kept as chunks of one language, an
+   array of word ids with 0 for rare words and between pieces.
 2. Frequent words get ids by falling frequency, so frequent pairs crowd into
    the first tiles of the (id, id) plane.  A tile covers 1024 x 1024 ids.  The
    occurrences of a chunk that fall into a tile are counted with a dense
@@ -16,10 +16,10 @@ level by level:
    next level counts pairs (phrase, next word).  A phrase is only looked at
    where its beginning is frequent, so nothing frequent is lost.
 
-Ids go back to the chunks as sorted arrays of keys.  Words go by a shuffle that
-gives each chunk its own; the pairs of a level by a broadcast while all levels
-so far hold at most ``broadcast_keys`` of them (16 bytes each), else again by a
-shuffle that gives each chunk the keys it contains.
+Ids reach the chunks by a broadcast while there are at most ``broadcast_words``
+frequent words, and while the levels so far hold at most ``broadcast_keys``
+pairs (16 bytes each); beyond that by a shuffle that gives each chunk the words
+or pairs it contains.
 
 Scores come from joins of the frequent phrases with themselves: the beginnings
 and ends of a frequent phrase are frequent too.
@@ -32,15 +32,17 @@ of any length lies in one chunk (or makes one alone).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_small
 from ..operators.ranking import keyed_row_number
 from .common import text_of, written
 
@@ -61,46 +63,61 @@ class PhraseSettings:
     dense_from: int = 1 << 15      # entries of a tile that are counted over all its cells
     held_bytes: int = 96_000_000   # counts that a task holds before it passes them on
     salts: int = 16
+    broadcast_words: int = 300_000
     broadcast_keys: int = 2_000_000
+    held_words: int = 300_000      # distinct words a task counts before it passes them on
 
 
-# -- chunks ----------------------------------------------------------------
-
-CHUNKS = "chunk long, lang string, tokens binary, words array<string>, counts array<long>"
-
+# -- words and chunks --------------------------------------------------------
 
 def tokens_of(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text with a mark between pieces."""
     return text.lower().translate(_PIECES).replace(MARK, b" \xff ").split()
 
 
-def chunks_of(docs: DataFrame, text_col: str, lang_col: str, s: PhraseSettings) -> DataFrame:
-    """Rows of CHUNKS: tokens are int32 codes, 0 between pieces and k for
-    ``words[k - 1]``; ``counts`` of the words."""
-    src = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
-                      text_of(text_col).cast("binary").alias("t"))
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
+                       text_of(text_col).cast("binary").alias("t"))
+
+
+def word_counts(texts: DataFrame, s: PhraseSettings) -> DataFrame:
+    """(lang, phrase, a): the occurrences of every word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def rows():
+            for lang, found in held.items():
+                found.pop(MARK, None)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), pa.string()),
+                     pa.array([w.decode("utf-8", "replace") for w in found], pa.string()),
+                     pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "a"])
+            held.clear()
+
+        for b in batches:
+            for i, (lang, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+                held.setdefault(lang, Counter()).update(tokens_of(text.as_py()))
+                if i % 64 == 0 and sum(map(len, held.values())) > s.held_words:
+                    yield from rows()
+        yield from rows()
+
+    return texts.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(
+        F.sum("a").alias("a"))
+
 
+def _chunked(texts: DataFrame, columns: str, chunk, s: PhraseSettings) -> DataFrame:
+    """Rows of ``columns`` that ``chunk`` makes of (number, lang, texts):
+    texts of one language, about ``chunk_bytes`` of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
-        def chunk(lang: str) -> pa.RecordBatch:
+        def made(lang: str) -> pa.RecordBatch:
             nonlocal number
-            code: dict[bytes, int] = {MARK: 0}
-            parts = []
-            for text in held.pop(lang):
-                parts.append([code.setdefault(w, len(code)) for w in tokens_of(text)])
-                parts.append([0])
-            del sizes[lang]
-            flat = np.concatenate([np.array(p, np.int32) for p in parts])
-            words = [w.decode("utf-8", "replace") for w in code][1:]
-            counts = np.bincount(flat, minlength=len(code))[1:]
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([lang]), pa.array([flat.tobytes()], pa.binary()),
-                 pa.array([words], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64()))],
-                names=["chunk", "lang", "tokens", "words", "counts"])
+            del sizes[lang]
+            return chunk(number, lang, held.pop(lang))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -108,13 +125,74 @@ def chunks_of(docs: DataFrame, text_col: str, lang_col: str, s: PhraseSettings)
                 held.setdefault(lang, []).append(text)
                 sizes[lang] = sizes.get(lang, 0) + len(text)
                 if sizes[lang] >= s.chunk_bytes:
-                    yield chunk(lang)
+                    yield made(lang)
                 elif sum(sizes.values()) >= 8 * s.chunk_bytes:      # many languages
-                    yield chunk(max(sizes, key=sizes.get))
+                    yield made(max(sizes, key=sizes.get))
         for lang in list(held):
-            yield chunk(lang)
+            yield made(lang)
+
+    return texts.mapInArrow(run, columns)
+
+
+IDS = "chunk long, lang string, ids binary"
+
+
+def _row(columns: str, *values) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    fields = [c.split() for c in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields)],
+                                      names=[n for n, _ in fields])
+
+
+def _chunks_by_broadcast(texts: DataFrame, words: DataFrame, s: PhraseSettings) -> DataFrame:
+    """Rows of IDS, from a broadcast of all frequent words."""
+    known: dict[str, dict[bytes, int]] = {}
+    for lang, word, number in zip(*(words.select("lang", "phrase", "id").toArrow().column(c).to_pylist()
+                                    for c in range(3))):
+        known.setdefault(lang, {})[word.encode()] = number
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def chunk(number, lang, held):
+        get = shared.value.get(lang, {}).get
+        parts = []
+        for text in held:
+            parts.append([get(w, 0) for w in tokens_of(text)])
+            parts.append([0])
+        return _row(IDS, number, lang, np.concatenate([np.array(p, np.int32) for p in parts]).tobytes())
+
+    return _chunked(texts, IDS, chunk, s)
+
+
+def _chunks_by_shuffle(texts: DataFrame, words: DataFrame, s: PhraseSettings) -> DataFrame:
+    """Rows of IDS: chunks over word lists of their own, each list joined with
+    the frequent words."""
+    columns = "chunk long, lang string, tokens binary, words array<string>"
 
-    return src.mapInArrow(run, CHUNKS)
+    def chunk(number, lang, held):
+        code: dict[bytes, int] = {MARK: 0}
+        parts = []
+        for text in held:
+            parts.append([code.setdefault(w, len(code)) for w in tokens_of(text)])
+            parts.append([0])
+        flat = np.concatenate([np.array(p, np.int32) for p in parts])
+        return _row(columns, number, lang, flat.tobytes(), [w.decode("utf-8", "replace") for w in code][1:])
+
+    def with_ids(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                tokens = np.frombuffer(b.column(2)[i].as_py(), np.int32)
+                code, ids = (np.frombuffer(b.column(c)[i].as_py() or b"", np.int64) for c in (3, 4))
+                found = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int32)
+                found[code] = ids
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([found[tokens].tobytes()], pa.binary())],
+                    names=["chunk", "lang", "ids"])
+
+    chunks = written(_chunked(texts, columns, chunk, s), "phrase-chunks")
+    own = chunks.select("chunk", "lang", F.posexplode("words").alias("code", "phrase")).select(
+        "chunk", "lang", "phrase", (F.col("code") + 1).cast("long").alias("key"))
+    own = _arrays(own.join(words.select("lang", "phrase", "id"), ["lang", "phrase"]), 1)
+    return chunks.join(own, "chunk", "left").select("chunk", "lang", "tokens", "key", "id").mapInArrow(with_ids, IDS)
 
 
 # -- tiles -----------------------------------------------------------------
@@ -199,11 +277,26 @@ def _tile_rows(lang: str, tiles: Tiles) -> Iterator[pa.RecordBatch]:
     for r, c, cells, counts in tiles.take():
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang]), pa.array([r], pa.int32()), pa.array([c], pa.int32()),
-             pa.array([cells.astype(np.int32).tobytes()], pa.binary()),
-             pa.array([counts.astype(np.int64).tobytes()], pa.binary())],
+             pa.array([_packed(np.diff(cells, prepend=0))], pa.binary()), pa.array([_packed(counts)], pa.binary())],
             names=[x.split()[0] for x in TILES.split(", ")])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes each as the largest needs (the
+    first byte tells how many)."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+
+
+def _tile_of(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and counts of a row of TILES."""
+    return np.cumsum(_unpacked(b.column(3)[i].as_py())), _unpacked(b.column(4)[i].as_py())
+
+
 def phrase_ids(one: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Id of the phrase starting at each place, of as many words as there are
     ``levels`` plus one; 0 where none is frequent.  ``one`` has the word ids,
@@ -282,15 +375,13 @@ def count_pairs(mapped: DataFrame, known: Known, s: PhraseSettings) -> DataFrame
                     if at:
                         yield from _tile_rows(at[0], tiles)
                     at, tiles = (lang, r, c), Tiles(s)
-                tiles.add((r, c), np.frombuffer(b.column(3)[i].as_py(), np.int32),
-                          np.frombuffer(b.column(4)[i].as_py(), np.int64))
+                tiles.add((r, c), *_tile_of(b, i))
         if at:
             yield from _tile_rows(at[0], tiles)
 
     def frequent(batches):
         for b in summed(batches):
-            cells = np.frombuffer(b.column(3)[0].as_py(), np.int32).astype(np.int64)
-            counts = np.frombuffer(b.column(4)[0].as_py(), np.int64)
+            cells, counts = _tile_of(b, 0)
             keep = counts >= s.least_count
             cells, counts = cells[keep], counts[keep]
             if len(cells):
@@ -333,24 +424,6 @@ def _arrays(keyed: DataFrame, k: int) -> DataFrame:
     return grouped.mapInArrow(run, "chunk long, k int, key binary, id binary")
 
 
-def _with_word_ids(chunks: DataFrame, codes: DataFrame) -> DataFrame:
-    """(chunk, lang, ids): int32 word ids in place of a chunk's own codes, 0
-    for rare words and marks."""
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                tokens = np.frombuffer(b.column(2)[i].as_py(), np.int32)
-                code, ids = (np.frombuffer(b.column(c)[i].as_py() or b"", np.int64) for c in (3, 4))
-                words = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.int32)
-                words[code] = ids
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([words[tokens].tobytes()], pa.binary())],
-                    names=["chunk", "lang", "ids"])
-
-    return chunks.join(codes, "chunk", "left").select("chunk", "lang", "tokens", "key", "id").mapInArrow(
-        run, "chunk long, lang string, ids binary")
-
-
 def _shared(keyed: DataFrame, k: int, before: dict) -> dict:
     """Level k's sorted keys and ids by language, added to ``before``."""
     t = keyed.select("lang", "key", "id").toArrow()
@@ -385,17 +458,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """(lang, k, phrase, a) of all frequent phrases of 1 to ``longest`` words,
     and (lang, n), the words of each language."""
     s = settings
-    chunks = written(chunks_of(docs, text_col, lang_col, s), "phrase-chunks")
-    told = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
-    words = written(told.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a")),
-                    "phrase-words")
+    texts = _texts(docs, text_col, lang_col)
+    words = written(word_counts(texts, s), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     found = written(_ranked(words.where(F.col("a") >= s.least_count), [F.col("phrase")]), "phrase-level")
     singles, out = found.select("lang", F.col("id").alias("second"), F.col("phrase").alias("word")), [found]
-    # Words reach their chunks by a join: a chunk's codes are its own.
-    own = told.select("chunk", "lang", (F.col("code") + 1).cast("long").alias("key"), F.col("w.words").alias("phrase"))
-    own = _arrays(own.join(found.select("lang", "phrase", "id"), ["lang", "phrase"]), 1)
-    chunks = written(_with_word_ids(chunks, own), "phrase-tokens")
+    made = _chunks_by_broadcast if found.count() <= s.broadcast_words else _chunks_by_shuffle
+    chunks = written(made(texts, found, s), "phrase-tokens")
     sc, here, held, apart = docs.sparkSession.sparkContext, {}, 0, None
     for k in range(2, s.longest + 1):
         known, mapped = Known(sc.broadcast(here), k - 1), chunks
@@ -463,15 +532,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     # 38 digits hold 1000 * a * n up to 10^17 words.
     up = (F.lit(1000).cast("decimal(4,0)") * F.col("a").cast("decimal(17,0)")).cast("decimal(20,0)") \
         * F.col("n").cast("decimal(17,0)")
-    scored = cuts.join(totals, "lang").withColumn("up", up.cast("decimal(38,0)")).withColumn(
+    scored = join_small(cuts, totals, "lang").withColumn("up", up.cast("decimal(38,0)")).withColumn(
         "down", (wide("l") * wide("r")).cast("decimal(38,0)")).withColumn("score", F.expr("up div down"))
     least = scored.groupBy("lang", "phrase").agg(
         F.first("a").alias("a"), F.first("n").alias("n"), F.min(F.struct("score", "cut", "l", "r")).alias("b"))
     best = least.select("lang", "phrase", "a", "b.l", "b.r", "n", "b.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(
-        F.col("score").desc(), F.col("a").desc(), F.col("phrase")))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= s.top).select(
-        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = keyed_row_number(best, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], out="rank")
+    return ranked.where(F.col("rank") <= s.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations_sql(settings: PhraseSettings = PhraseSettings()) -> str:

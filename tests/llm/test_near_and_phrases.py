@@ -221,8 +221,8 @@ def phrase_rows():
 
 
 @pytest.mark.parametrize("settings", [
-    {}, {"broadcast_keys": 0, "dense_from": 40, "chunk_bytes": 500, "held_bytes": 20_000, "salts": 3},
-    {"broadcast_keys": 150, "chunk_bytes": 3000, "dense_from": 200, "top": 25}])
+    {}, {"broadcast_words": 0, "broadcast_keys": 0, "dense_from": 40, "chunk_bytes": 500, "held_bytes": 20_000, "salts": 3},
+    {"broadcast_keys": 150, "chunk_bytes": 3000, "dense_from": 200, "top": 25, "held_words": 5}])
 def test_collocations_match_brute_force(spark, settings):
     rows = phrase_rows()
     s = phrase_tiles.PhraseSettings(least_count=12, **settings)
