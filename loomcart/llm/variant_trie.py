@@ -12,7 +12,8 @@ half.  Hence no walk crosses the crowded top of a trie.
 - Edge table: (node, label, child), labels being the characters between two
   branchings.  It is made from the sorted words, range-partitioned, with a
   stack as long as one word; a branching seen by one partition only gives two
-  edges of one first character, which a walk follows both.
+  edges of one first character, which a walk follows both (pairs found twice
+  are dropped at the end).
 - Frontier: states (word, position, node, edits), joined with the edge table
   level by level.  A state without edits goes on along an equal label, or
   spends its edit inside the label; a state with an edit needs equal labels.
@@ -57,7 +58,7 @@ class VariantSettings:
     least_count: int = 5
     ratio: int = 5                 # a form is at least so many times as frequent
     slip: int = 199                # one run in so many loses a character (0: none)
-    held_words: int = 300_000      # distinct words a task counts before it passes them on
+    held_words: int = 100_000      # distinct words a task counts before it passes them on
 
 
 def counts_of(texts: list[tuple[str, bytes]], acc: Counter, s: VariantSettings, run: re.Pattern) -> None:
@@ -198,7 +199,7 @@ def edge_table(words: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, EDGES)
 
-    return ordered.mapInArrow(run, EDGES).distinct()
+    return ordered.mapInArrow(run, EDGES)
 
 
 def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:

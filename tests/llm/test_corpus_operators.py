@@ -210,42 +210,79 @@ def test_mix_empty(spark):
 
 # -- nearest neighbours ----------------------------------------------------------
 
+def brute_neighbours(rows, every, k=10):
+    """Sorted (query, rank, id, distance) of every query row, by all pairs."""
+    good = [(n, i, np.array(v, np.float64)) for n, (i, v, *_) in enumerate(rows)
+            if v and None not in v and np.isfinite(v).all() and np.any(np.array(v) != 0)]
+
+    def distance(a, b):
+        with np.errstate(over="ignore"):
+            d = a - b
+            total = np.add.accumulate(d ** 2)[-1]
+            most = np.abs(d).max()
+        if 1e-280 < total < np.inf or not 0 < most < np.inf:
+            return float(np.sqrt(total))
+        return float(most * np.sqrt(np.add.accumulate((d / most) ** 2)[-1]))
+
+    out = []
+    for n, q, v in good:
+        if q is not None and q % every == 0:
+            near = sorted((distance(w, v), j is None, j or 0, j) for m, j, w in good if m != n and len(w) == len(v))
+            out += [(q, r, j, d) for r, (d, _, _, j) in enumerate(near[:k], 1)]
+    return sorted(out, key=str)
+
+
+def neighbours_of(spark, rows, every, **settings):
+    frame = spark.createDataFrame([(i, v, "c", 7, 3) for i, v, *_ in rows],
+                                  "vec_id long, embedding array<double>, score string, row int, dim int")
+    got = block_ann.nearest(frame, F.col("id") % every == 0, **settings).collect()
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got), key=str)
+
+
 def test_block_neighbours_exact(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)).astype(np.float32)
     x[30] = x[31] = x[32]                                   # ties
     x[50] *= 1e4
-    rows = [(i, [float(v) for v in row], "c") for i, row in enumerate(x)]
-    rows += [(1000, None, "c"), (1001, [0.0] * 12, "c"), (1002, [1.0, None] + [0.0] * 10, "c"),
-             (1003, [float("nan")] * 12, "c"), (1004, [float("inf")] * 12, "c"), (1005, [1.0] * 3, "c"),
-             (None, [1.0] * 12, "c"), (1010, [], "c")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = block_ann.nearest(df, F.col("id") % 10 == 0, block=64, query_block=16).collect()
-    x = x.astype(np.float64)
-    want = {}
-    for q in range(0, 400, 10):
-        d = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
-        best = sorted((d[j], j) for j in range(400) if j != q)[:10]
-        want.update({(q, r): (j, dist) for r, (dist, j) in enumerate(best, 1)})
-    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(1000, None), (1001, [0.0] * 12), (1002, [1.0, None] + [0.0] * 10), (1003, [float("nan")] * 12),
+             (1004, [float("inf")] * 12), (1005, [1.0] * 3), (None, [1.0] * 12), (1010, [])]
+    assert neighbours_of(spark, rows, 10, block=64, query_block=16) == brute_neighbours(rows, 10)
 
 
 def test_block_neighbours_small(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (10, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    got = block_ann.nearest(df, F.col("id") % 10 == 0).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 10), (10, 1, 0)]
-    assert block_ann.nearest(df.where("vec_id < 0"), F.col("id") % 10 == 0).count() == 0
+    assert neighbours_of(spark, [(0, [1.0, 0.0]), (10, [0.0, 1.0])], 10) == [
+        (0, 1, 10, math.sqrt(2)), (10, 1, 0, math.sqrt(2))]
+    assert neighbours_of(spark, [], 10) == []
+    assert neighbours_of(spark, [(0, [1.0, 0.0])], 10) == []
+
+
+def test_block_neighbours_of_large_and_small_components(spark):
+    """Squares that leave the range of doubles drop nobody."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1e200, -3.0]), (3, [-1e200, 0.0]), (10, [1e-200, 2e-200]),
+            (4, [1e-200, 0.0]), (5, [1.0, 1.0]), (6, [1e308, -1e308]), (20, [-1e308, 1e308]), (7, [5e-324, 0.0])]
+    for block in (4096, 3):
+        assert neighbours_of(spark, rows, 10, block=block, query_block=2) == brute_neighbours(rows, 10)
+    assert neighbours_of(spark, rows[:3], 10)[0] == (0, 1, 1, 1.0)
+
+
+def test_block_neighbours_of_every_length(spark):
+    """Vectors meet those of their own length, however rare it is."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(rng.choice([2, 3, 3, 3, 8]))]) for i in range(150)]
+    assert {len(v) for i, v in rows if i % 10 == 0} == {2, 3, 8}
+    assert neighbours_of(spark, rows, 10, block=20, query_block=4) == brute_neighbours(rows, 10)
 
 
-def test_block_neighbours_repeated_query_ids(spark):
-    """Every row of a query's id asks; the lists are merged, as in the SQL."""
+def test_block_neighbours_repeated_and_null_ids(spark):
+    """Each row of a query id asks and is a candidate of the others; one id
+    that holds a third of all rows is spread over the blocks."""
     rows = [(0, [0.0, 1.0]), (0, [9.0, 1.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [9.0, 2.0]), (3, [5.0, 5.5]),
-            (4, [30.0, 1.0]), (4, [9.5, 1.0]), (5, [1.0, 2.0, 3.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = block_ann.nearest(df, F.col("id") % 10 == 0, k=4).collect()
-    pairs = sorted((math.dist(a, b), j) for i, a in rows if i == 0 for j, b in rows if j not in (0, 5))
-    assert sorted((r["rank"], r.score, r.vec_id) for r in got) == [
-        (k, d, j) for k, (d, j) in enumerate(pairs[:4], 1)]
+            (4, [30.0, 1.0]), (4, [9.5, 1.0]), (5, [1.0, 2.0, 3.0]), (None, [5.0, 5.5]), (None, [5.0, 5.0])]
+    assert neighbours_of(spark, rows, 10, k=4) == brute_neighbours(rows, 10, 4)
+    rng = random.Random(2)
+    rows = [(20 if i % 3 == 0 else i, [rng.uniform(-1, 1), 1.0]) for i in range(90)]
+    assert neighbours_of(spark, rows, 20, block=16, query_block=8) == brute_neighbours(rows, 20)
 
 
 # -- classifiers -----------------------------------------------------------------
