@@ -3,15 +3,18 @@ functions only).
 
 Base spans come from fixed patterns (assignments, access keys, long hex runs).
 The values they find are the labelled sample of random strings; long
-identifier-like runs outside them are the sample of ordinary identifiers.  Two
-first-order character models are counted from all of them, and a long run is
-added as a span of kind ``markov`` if its log-likelihood ratio, random over
-ordinary, is at least ``least_ratio``, and that much per character too.
+identifier-like runs that touch none are the sample of ordinary identifiers.
+Two first-order character models are counted from all of them.  Runs, cut
+where base spans cover them, are added as spans of kind ``markov`` if they are
+long and their log-likelihood ratio, random over ordinary, is at least
+``least_ratio``, and that much per character too.
 
 Positions are code points, ends exclusive.  A matcher gives no positions in
 built-in functions, so matches are marked with a control character (which no
 pattern can match; one in the text is first replaced by another), the text is
-cut at the marks, and lengths are summed.  Runs with a digit are scored but
+cut at the marks, and lengths are summed.  Sums are taken in blocks of about
+the square root of their number, and strings are cut as bytes, so a text of
+many spans costs hardly more than its length.  Runs with a digit are scored but
 are not in the ordinary sample, since an unlabelled secret may be among them.
 
 Defined cases: a null or empty text has no spans; without any base span or
@@ -52,20 +55,46 @@ class MarkovSettings:
     letters: int = 65            # characters runs are made of
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(numbers: Column) -> Column:
+    """Sum of the numbers before each place.  An aggregate that appends copies
+    its array at every step; in blocks of the square root of their number n
+    that is n^1.5 instead of n^2."""
+    none = F.array().cast("array<int>")
+
+    def prefix(xs, first):
+        start = F.struct(first.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(
+            (acc["at"] + x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+
+    def total(xs):
+        return F.aggregate(xs, F.lit(0), lambda acc, x: (acc + x).cast("int"))
+
+    def in_blocks(xs):
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        cut = let(width, lambda w: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / w).cast("int")), lambda i: F.slice(xs, i * w + 1, w)))
+        return let(cut, lambda bs: let(prefix(F.transform(bs, total), F.lit(0)), lambda firsts: F.flatten(
+            F.transform(bs, lambda b, i: prefix(b, F.get(firsts, i))))))
+
+    return F.when(F.size(numbers) > 0, let(numbers, in_blocks)).otherwise(none)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Spans of all leftmost non-overlapping matches."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"),
-                     F.array().cast(SPAN).alias("out"))
-
-    def step(acc, p):
-        end = acc["at"] + F.length(p)
-        span = F.array(F.struct(acc["at"].alias("s"), end.alias("e"), p.alias("v"))).cast(SPAN)
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"),
-                        F.when(acc["hit"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(parts):
+        return let(sums_before(F.transform(parts, lambda p: F.length(p))), lambda at: F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(
+                F.get(at, i).alias("s"), (F.get(at, i) + F.length(F.get(parts, i))).alias("e"),
+                F.get(parts, i).alias("v"))))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast(SPAN))
+    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -93,17 +122,61 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         values.alias("vals"), "runs")
 
 
+def _cut(base: Column, runs: Column) -> Column:
+    """The stretches of the runs that no base span covers, in order: s, e, v
+    and whole (it is all of a run)."""
+    def ends(spans, cover, run):
+        return F.concat(*[F.transform(spans, lambda x: F.struct(
+            x[at].alias("at"), F.lit(cover * sign).alias("cover"), F.lit(run * sign).alias("run"),
+            F.lit(run if sign > 0 else 0).alias("first"))) for at, sign in (("s", 1), ("e", -1))])
+
+    def stretches(runs, ev, cover, run, first):
+        # Values pass through arrays by copy: a stretch holds its run's place only.
+        def stretch(i):
+            x = F.get(ev, i)
+            free = (F.get(cover, i) + x["cover"] == 0) & (F.get(run, i) + x["run"] == 1)
+            return F.when(free & (x["at"] < F.get(ev, i + 1)["at"]), F.struct(
+                x["at"].alias("s"), F.get(ev, i + 1)["at"].alias("e"),
+                (F.get(first, i) + x["first"] - 1).alias("k")))
+
+        def cut_out(found, raw):
+            def of(p):
+                r = F.get(runs, p["k"])
+                part = F.substr(F.get(raw, p["k"]), p["s"] - r["s"] + 1, p["e"] - p["s"]).cast("string")
+                whole = (p["s"] == r["s"]) & (p["e"] == r["e"])
+                return F.struct(p["s"].alias("s"), p["e"].alias("e"), part.alias("v"), whole.alias("whole"))
+            return F.transform(found, of)
+
+        places = F.sequence(F.lit(0), F.size(ev) - 2)
+        raw = F.transform(runs, lambda r: r["v"].cast("binary"))
+        return let(F.array_compact(F.transform(places, stretch)), lambda found: let(
+            raw, lambda raw: cut_out(found, raw)))
+
+    def sums(ev, c):
+        return sums_before(F.transform(ev, lambda x: x[c]))
+
+    # Counts of open base spans, open runs and begun runs before each end.
+    cut = let(runs, lambda rs: let(F.sort_array(F.concat(ends(base, 1, 0), ends(rs, 0, 1))), lambda ev: let(
+        sums(ev, "cover"), lambda c: let(sums(ev, "run"), lambda r: let(sums(ev, "first"), lambda f: (
+            stretches(rs, ev, c, r, f)))))))
+    plain = F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["v"].alias("v"),
+                                                 F.lit(True).alias("whole")))
+    return F.when((F.size(base) > 0) & (F.size(runs) > 0), cut).otherwise(plain)
+
+
 def _outside(scanned: DataFrame) -> DataFrame:
-    """Runs that touch no base span."""
-    return scanned.withColumn("runs", F.when(F.size("base") == 0, F.col("runs")).otherwise(
-        F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))))
+    """Runs cut at base spans."""
+    return scanned.withColumn("runs", _cut(F.col("base"), F.col("runs")))
 
 
 def _pairs(strings: Column) -> Column:
-    """Places 128 * a + b of the character pairs (a, b) of the strings."""
+    """Places 128 * a + b of the character pairs (a, b) of the strings (ASCII;
+    a string's bytes are found without walking it)."""
     def of(v):
-        return F.transform(F.sequence(F.lit(1), F.length(v) - 1), lambda i: (
-            F.ascii(F.substr(v, i, F.lit(1))) * 128 + F.ascii(F.substr(v, i + 1, F.lit(1)))))
+        def code(raw, i):
+            return F.ascii(F.substr(raw, i, F.lit(1)).cast("string"))
+        return let(v.cast("binary"), lambda raw: F.transform(
+            F.sequence(F.lit(1), F.length(v) - 1), lambda i: code(raw, i) * 128 + code(raw, i + 1)))
     return F.flatten(F.transform(F.filter(strings, lambda v: F.length(v) > 1), of))
 
 
@@ -114,7 +187,7 @@ def markov_ratios(scanned: DataFrame, settings: MarkovSettings = MarkovSettings(
     s = settings
     pairs = scanned.select(F.explode(_pairs(F.col("vals"))).alias("p"), F.lit(1).alias("r")).unionByName(
         _outside(scanned).select(F.explode(_pairs(F.transform(
-            F.filter("runs", lambda r: ~r["v"].rlike("[0-9]")), lambda r: r["v"]))).alias("p"),
+            F.filter("runs", lambda r: r["whole"] & ~r["v"].rlike("[0-9]")), lambda r: r["v"]))).alias("p"),
                                  F.lit(0).alias("r")))
     counts = pairs.groupBy("p").agg(F.sum("r").alias("nr"), F.sum(1 - F.col("r")).alias("no"))
     counts = counts.select(F.col("p").cast("int").alias("p"), "nr", "no")
@@ -185,17 +258,27 @@ def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redacted(text: Column, spans: str = "spans", instead: str = "[SECRET]") -> Column:
     """The text with every stretch of overlapping spans replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        fresh = x["s"] >= acc["at"]
-        cut = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(instead))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
-                        F.when(fresh, cut).otherwise(acc["out"]).alias("out"))
-
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    # Four bytes a character: places are found without walking the text.  A
+    # space goes before each piece, so none begins with a byte order mark.
+    def piece(wide, lo, hi):
+        cut = F.concat(F.lit(b"\0\0\0 "), F.substr(wide, 4 * lo + 1, 4 * (hi - lo)))
+        return F.substr(F.decode(cut, "UTF-32"), F.lit(2))
+
+    def pieces(wide, ev, before):
+        def after(i):
+            x, n = F.get(ev, i), F.get(before, i) + F.get(ev, i)["cover"]
+            end = F.coalesce(F.get(ev, i + 1)["at"], F.floor(F.octet_length(wide) / 4).cast("int"))
+            return F.when(n == 0, piece(wide, x["at"], end)).when(
+                (n == 1) & (x["cover"] == 1), F.lit(instead)).otherwise(F.lit(""))
+        places = F.sequence(F.lit(0), F.size(ev) - 1)
+        return F.concat(piece(wide, F.lit(0), F.get(ev, F.lit(0))["at"]), F.array_join(F.transform(places, after), ""))
+
+    # At one place, spans that end come before those that begin.
+    ev = F.sort_array(F.concat(*[F.transform(spans, lambda x: F.struct(
+        x[at].alias("at"), F.lit(cover).alias("cover"))) for at, cover in (("s", 1), ("e", -1))]))
+    cut = let(F.encode(text, "UTF-32"), lambda wide: let(ev, lambda ev: let(
+        sums_before(F.transform(ev, lambda x: x["cover"])), lambda before: pieces(wide, ev, before))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
 def scan_sql(settings: MarkovSettings = MarkovSettings()) -> str:
@@ -229,10 +312,20 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text,
            FROM documents),
 base AS (SELECT *, {value} AS val FROM ({found(0, ASSIGN)} UNION ALL {found(1, ACCESS)} UNION ALL {found(2, HEX)})
          WHERE k <> 0 OR length({value}) >= {LEAST_VALUE}),
-runs AS (SELECT *, row_number() OVER () AS id FROM ({found(3, run)}) r WHERE NOT EXISTS (
-           SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.e AND r.s < b.e)),
+every AS (SELECT r.*, EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.e AND r.s < b.e) AS hit
+          FROM ({found(3, run)}) r),
+begins AS (SELECT rid, s, e, v, s AS x FROM every WHERE hit
+           UNION SELECT r.rid, r.s, r.e, r.v, b.e FROM every r JOIN base b ON b.rid = r.rid AND b.s < r.e AND r.s < b.e
+           WHERE b.e < r.e),
+free AS (SELECT * FROM begins g WHERE NOT EXISTS (
+           SELECT 1 FROM base b WHERE b.rid = g.rid AND b.s <= g.x AND g.x < b.e)),
+part AS (SELECT rid, s, v, x, least(e, coalesce((SELECT min(b.s) FROM base b WHERE b.rid = f.rid AND b.s >= f.x), e)) AS y
+         FROM free f),
+runs AS (SELECT *, row_number() OVER () AS id FROM (
+           SELECT rid, k, s, e, v, hit FROM every WHERE NOT hit
+           UNION ALL SELECT rid, 3, x, y, substr(v, CAST(x - s + 1 AS BIGINT), CAST(y - x AS BIGINT)), true FROM part)),
 learn AS (SELECT val AS v, 1 AS r FROM base
-          UNION ALL SELECT v, 0 FROM runs WHERE NOT regexp_matches(v, '[0-9]')),
+          UNION ALL SELECT v, 0 FROM runs WHERE NOT hit AND NOT regexp_matches(v, '[0-9]')),
 pr AS (SELECT {pair} AS p, r FROM (SELECT v, r, unnest(range(1, length(v))) AS i FROM learn) q),
 cnt AS (SELECT p, sum(r) AS nr, sum(1 - r) AS no FROM pr GROUP BY p),
 a AS (SELECT coalesce(sum(nr), 0) AS nr, coalesce(sum(no), 0) AS no FROM cnt),

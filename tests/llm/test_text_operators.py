@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomcart.llm import piece_codec, quality_rules, queries, secret_scan, token_counts
 
 SCHEMA = "doc_id long, text string, score string, t int, words string, id string"
@@ -201,3 +203,70 @@ def test_secret_redaction(spark):
     out = secret_scan.scan(frame(spark, texts, [1, 2, 3, 4]), keep=("text",)).orderBy("doc_id").select(
         secret_scan.redacted(F.col("text")).alias("x")).collect()
     assert [r.x for r in out] == ["a [SECRET] b [SECRET]", '[SECRET]"', "clean", None]
+
+
+def cut_runs(t, spans):
+    """Runs of 12 and more characters less the base spans."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t):
+        free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, _, b in spans)]
+        while free:
+            n = next((k for k in range(1, len(free)) if free[k] != free[0] + k), len(free))
+            out.append((free[0], free[0] + n, t[free[0]:free[0] + n], n == m.end() - m.start()))
+            free = free[n:]
+    return out
+
+
+def test_secret_runs_are_cut_at_base_spans(spark):
+    texts = secret_texts() + ["x" * 20 + "deadbeef" * 4 + "_" * 20 + "AKIA" + "Q7" * 9 + "abcdef0123456789" * 3 + "z" * 13]
+    got = secret_scan._outside(secret_scan.base_spans(frame(spark, texts, list(range(len(texts)))))).orderBy("id")
+    for r, t in zip(got.collect(), texts):
+        assert [tuple(x) for x in r.runs] == cut_runs(t.replace("\x01", "\x02"), brute_spans(t)), repr(t)
+
+
+def test_secret_rest_of_a_key_is_found(spark):
+    """A key that holds a hex stretch is masked around it too."""
+    rng = random.Random(6)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    words = ["customer_order_reference", "internationalization", "responsibilities"]
+    texts = [f"the {rng.choice(words)} password={''.join(rng.choice(letters) for _ in range(24))}" for _ in range(150)]
+    rest = "ZqW8rT5yUiOpLkJhGfDsAzXcVbNm12"
+    texts += ["see " + "aB3xQ9" + "0123456789abcdef01234567" + rest + " end"]
+    out = secret_scan.scan(frame(spark, texts, list(range(len(texts)))), keep=("text",)).orderBy("doc_id").select(
+        secret_scan.redacted(F.col("text")).alias("x"), secret_scan.spans_text("spans").alias("s")).collect()[-1]
+    assert out.s == "hex:9:34,markov:34:64" and out.x == "see aB3xQ[SECRET][SECRET] end"
+
+
+def test_redaction_matches_python(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        t = "".join(rng.choice("aé😀﻿\x00 z") for _ in range(rng.randint(0, 30)))
+        spans = []
+        for _ in range(rng.randint(0, 5)):
+            a, b = sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))
+            if a < b:
+                spans.append((a, 0, b))
+        rows.append((t, sorted(spans)))
+    frame_ = spark.createDataFrame(rows, "text string, spans array<struct<s:int,k:int,e:int>>")
+    for r in frame_.select("*", secret_scan.redacted(F.col("text")).alias("x")).collect():
+        out, at = "", 0
+        for s, _, e in r.spans:
+            if s >= at:
+                out += r.text[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert r.x == out + r.text[at:]
+
+
+def test_secret_scan_of_one_long_text(spark):
+    """A megabyte of hex keys, and one of a single unbroken run, in seconds."""
+    import time
+
+    rng = random.Random(1)
+    keys = ["%032x" % rng.getrandbits(128) for _ in range(30_000)]
+    for text in (" ".join(keys), "_".join(keys)):
+        t0 = time.perf_counter()
+        out = secret_scan.scan(frame(spark, [text], [1]), keep=("text",)).select(
+            F.size("spans").alias("n"), secret_scan.redacted(F.col("text")).alias("x")).first()
+        assert time.perf_counter() - t0 < 30
+        assert out.n >= 30_000 and not re.search("[0-9a-f]", out.x)
