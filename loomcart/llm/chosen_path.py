@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, text_of, written
+from .common import in_slices, numbered, text_of, written
 from .components import components
 
 U64 = np.uint64
@@ -430,16 +430,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``order`` (nulls first), then by its text's digest.  Rows without words
     belong to no class and all stay.
 
-    Rows are numbered once, in a written table, so exact repeats of a row are
-    told apart; the choice is a partial aggregate per class.
+    Rows are told apart by a key of their own (``common.numbered``; the column
+    name ``__row`` is taken), exact repeats included; the choice is a partial
+    aggregate per class.
     """
     names = docs.columns
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "join-rows")
-    # The row number takes the id's place, so a class's id is a row of its own.
+    base = numbered(docs, "join-rows", "__row")
+    # The row's key takes the id's place, so a class's id is a row of its own.
     near = similar_documents(base, "__row", text_col, settings)
-    keyed = base.join(near.select("__row", "class_id", "set_key"), "__row")
-    rank = F.struct(*[F.col(c) for c in order], F.md5(text_of(text_col).cast("binary")), F.col("__row"))
-    keep = keyed.groupBy("class_id").agg(F.min(rank)["__row"].alias("__row"))
+    ranks = base.select("__row", F.struct(*[F.col(c) for c in order], F.md5(text_of(text_col).cast("binary")),
+                                          F.col("__row")).alias("rank"))
+    keyed = ranks.join(near.select("__row", "class_id"), "__row")
+    keep = keyed.groupBy("class_id").agg(F.min("rank")["__row"].alias("__row"))
     return base.join(keep, "__row", "left_semi").select(*names)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,24 @@ def in_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def read_as_is(df: DataFrame) -> bool:
+    """Whether ``df`` is one file table, filtered and projected only."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    return node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+
+
+def numbered(df: DataFrame, name: str, out: str) -> DataFrame:
+    """``df`` with a column ``out`` that tells its rows apart and stays with a
+    row however often it is read: the row's place in its file if ``df`` is a
+    Parquet table read as it is, else a number in a table written here."""
+    if read_as_is(df):
+        try:
+            return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                           F.col("_metadata.row_index").alias("place")).alias(out))
+        except AnalysisException:              # files without places
+            pass
+    return written(df.withColumn(out, F.monotonically_increasing_id()), name)

@@ -9,7 +9,11 @@ their targets, so every stretch of the schedule holds each source close to its
 share.  A source's slots, ranked in schedule order, take its blocks in order,
 again from the first block once all are used; slots past the target are left
 out, and a source whose last slots fall behind the end of the schedule gets
-them appended.
+them appended (they are numbered on from the schedule's end, those of several
+sources side by side).
+
+A document's row tells the first slot that takes words of it, the number of
+its slots and the sum of their numbers; mixed documents are laid out by slot.
 
 Hot sources: positions in a stream and ranks of slots are prefix sums in two
 levels (many buckets per source, then a sum over buckets), so no window holds
@@ -31,7 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, numbered, text_of, written
 
 # 2^31 divided by the golden ratio, odd: slot points are multiples modulo 2^31
 # (products stay below 2^63).
@@ -128,22 +132,28 @@ def _schedule(needs: DataFrame, settings: MixSettings) -> DataFrame:
     before = Window.partitionBy("ord").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("chunk", "ord", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("chunk", "ord").orderBy("i")))
-    return ranked.join(counts, ["chunk", "ord"]).withColumn(
+    # Rows of slots and chunks grow with the table: no broadcast, however well
+    # they compress.
+    return ranked.join(counts.hint("merge"), ["chunk", "ord"]).withColumn(
         "rank", F.col("start") + F.col("r") - 1).drop("start", "r", "chunk")
 
 
 def slot_table(per: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """Which block of which source each slot takes: ord, i (null for appended
-    slots), rank, block, words (up to the target), full (words of the block)."""
+    """Which block of which source each slot takes: ord, i, rank, block, words
+    (up to the target), full (words of the block)."""
     s = settings
     needs = _needs(per, s)
     kept = _schedule(needs, s).where(F.col("rank") < F.col("slots"))
     kept = kept.select("ord", "i", "rank", "source_size", "want", "blocks")
     have = kept.groupBy("ord").agg(F.count("rank").alias("have"))
     some = F.coalesce("have", F.lit(0).cast("long"))
-    late = needs.join(have, "ord", "left").where(some < F.col("slots")).select(
-        "ord", F.lit(None).cast("long").alias("i"),
-        F.explode(F.sequence(some, F.col("slots") - 1)).alias("rank"), "source_size", "want", "blocks")
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    late = needs.withColumn("n", F.ceil(F.sum("target").over(every) / s.block_words).cast("long"))
+    late = late.join(have, "ord", "left").where(some < F.col("slots")).select(
+        "ord", some.alias("have"), "n", F.explode(F.sequence(some, F.col("slots") - 1)).alias("rank"),
+        "source_size", "want", "blocks")
+    late = late.select("ord", (F.col("n") + F.col("rank") - F.col("have")).alias("i"), "rank", "source_size",
+                       "want", "blocks")
     block = F.pmod("rank", F.col("blocks"))
     start = F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size") + block * s.block_words
     full = F.least(F.lit(s.block_words).cast("long"), F.col("source_size") - block * s.block_words)
@@ -156,16 +166,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", settings: MixSettings = MixSettings(),
         row_col: str | None = None) -> DataFrame:
     """One row per document: ``id_col``, size, source_size, target (of its
-    source), taken (words the mix takes from it, repeats counted), and
-    ``row_col`` if given (a number that tells the rows apart)."""
+    source), taken (words the mix takes from it, repeats counted), first_slot,
+    n_slots and slot_sum (of the slots that take words of it).  If ``row_col``
+    is given (a column that tells the rows apart), it and ``slots`` (those that
+    take its first words, in order) follow."""
     s = settings
     sizes = written(sizes_of(docs, id_col, text_col, source_col, row_col), "mix-sizes")
     per = written(targets_of(sizes, s), "mix-targets")
 
-    # Blocks and how often the schedule takes each.
+    # Blocks and the slots that take each.
+    whole = F.col("words") >= F.col("full")
     uses = slot_table(per, s).groupBy("ord", "block").agg(
-        F.sum((F.col("words") >= F.col("full")).cast("long")).alias("whole"),
-        F.max(F.when(F.col("words") < F.col("full"), F.col("words"))).alias("part"))
+        F.sum(whole.cast("long")).alias("whole"), F.max(F.when(~whole, F.col("words"))).alias("part"),
+        F.min(F.when(whole, F.col("i"))).alias("first"), F.sum(F.when(whole, F.col("i"))).alias("sum"),
+        F.max(F.when(~whole, F.col("i"))).alias("part_i"),
+        F.sort_array(F.collect_list("i")).alias("slots"))          # a pass over the source each
 
     # Places of the documents in their source's stream.
     stream = sizes.join(per.select(F.col("src").alias("s2"), "ord", "source_size", "target"),
@@ -191,34 +206,48 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            (hi - F.col("block") * s.block_words).alias("hi"))
     part = F.when(F.col("part").isNotNull(), F.greatest(
         F.lit(0).cast("long"), F.least(F.col("hi"), F.col("part")) - F.col("lo")))
-    got = pieces.join(uses, ["ord", "block"]).groupBy("row").agg(F.sum(
-        F.col("whole") * (F.col("hi") - F.col("lo")) + F.coalesce(part, F.lit(0).cast("long"))).alias("taken"))
-    return placed.join(got, "row", "left").select(
+    some = F.coalesce(F.col("part") > F.col("lo"), F.lit(False))       # the part's slot takes some of it
+    zero = F.lit(0).cast("long")
+    got = pieces.join(uses.hint("merge"), ["ord", "block"]).groupBy("row").agg(
+        F.sum(F.col("whole") * (F.col("hi") - F.col("lo")) + F.coalesce(part, zero)).alias("taken"),
+        F.min(F.least("first", F.when(some, F.col("part_i")))).alias("first_slot"),
+        F.sum(F.col("whole") + some.cast("long")).alias("n_slots"),
+        F.sum(F.coalesce("sum", zero) + F.when(some, F.col("part_i")).otherwise(zero)).alias("slot_sum"),
+        *([F.min_by("slots", "block").alias("slots")] if row_col else []))
+    return placed.join(got.hint("merge"), "row", "left").select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
-        *([F.col("row").alias(row_col)] if row_col else []))
+        *[F.coalesce(c, zero).alias(c) if c != "first_slot" else F.col(c)
+          for c in ("taken", "first_slot", "n_slots", "slot_sum")],
+        *([F.col("row").alias(row_col), "slots"] if row_col else []))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (words taken
-    over size, rounded half up; rows of size 0 once)."""
+    over size, rounded half up; rows of size 0 once), laid out by slot: a
+    partition is a stretch of the schedule, so it holds the sources by their
+    shares.  A copy lies at the slot of its pass over the source; rows of size
+    0 have no slot and come first.  The column names ``__row``, ``__copy`` and
+    ``__slot`` are taken."""
     names = docs.columns
-    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    base = numbered(docs, "mix-rows", "__row")
     # Ids may repeat; the order within a source stays that of the ids.
-    taken = mix(base.select(F.col(id_col).alias("id"), "__row", text_col, source_col),
-                "id", text_col, source_col, settings, row_col="__row")
+    taken = mix(base.select(F.col(id_col).alias("id"), "__row", F.col(text_col).alias("t"),
+                            F.col(source_col).alias("s")), "id", "t", "s", settings, row_col="__row")
     times = F.when(F.col("size") == 0, 1).otherwise(
         F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2)).cast("int"))
-    repeats = taken.select("__row", times.alias("times")).where(F.col("times") > 0)
-    return base.join(repeats, "__row").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
+    repeats = taken.select("__row", "slots", times.alias("times")).where(F.col("times") > 0)
+    copies = repeats.select("__row", "slots", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__copy"))
+    slot = F.coalesce(F.get("slots", F.col("__copy") - 1), F.get("slots", F.size("slots") - 1))
+    copies = copies.select("__row", "__copy", slot.alias("__slot"))
+    by = [F.col("__slot"), F.xxhash64("__row", "__copy")]        # rows without a slot are spread too
+    return base.join(copies, "__row").repartitionByRange(*by).sortWithinPartitions(*by).select(*names)
 
 
 def mix_sql(settings: MixSettings = MixSettings()) -> str:
-    """DuckDB statement for :func:`mix` over ``documents``.  A source's kept
-    slots cover its stream from the start up to the target, pass after pass,
-    so the words taken follow from the documents' places alone."""
+    """DuckDB statement for :func:`mix` over ``documents``: the golden points,
+    each source's slots ranked by them, and the stretch of its stream that each
+    takes."""
     s = settings
     fill = "ORDER BY cap / weight, ord"
     return f"""
@@ -234,11 +263,28 @@ l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OV
              / sum(weight) OVER ({fill} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM c),
 t AS (SELECT src, ord, source_size, coalesce(least(cap, weight * (
                SELECT lev FROM l WHERE weight * lev < cap {fill} LIMIT 1)), cap) AS target FROM l),
-a AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS want,
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS want,
+             CAST(ceil(source_size / {s.block_words}) AS BIGINT) AS blocks FROM t WHERE source_size > 0),
+g AS (SELECT *, (want // source_size) * blocks + CAST(ceil((want % source_size) / {s.block_words}) AS BIGINT) AS slots,
+             sum(target) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high,
+             CAST(ceil(sum(target) OVER () / {s.block_words}) AS BIGINT) AS n FROM q),
+e AS (SELECT *, coalesce(lag(high) OVER (ORDER BY ord), 0.0) AS low,
+             CASE WHEN lead(ord) OVER (ORDER BY ord) IS NULL THEN 2.0 ELSE high END AS top FROM g),
+i AS (SELECT i, ((i % {PERIOD}) * {GOLDEN} + {GOLDEN // 2}) % {PERIOD} / {float(PERIOD)} AS x
+      FROM range((SELECT coalesce(max(n), 0) FROM g)) AS r(i)),
+k AS (SELECT ord, i, row_number() OVER (PARTITION BY ord ORDER BY i) - 1 AS rank FROM i JOIN e ON x >= low AND x < top),
+h AS (SELECT g.ord, count(k.i) AS have FROM g LEFT JOIN k USING (ord) GROUP BY g.ord),
+s AS (SELECT ord, i, rank FROM k JOIN g USING (ord) WHERE rank < slots
+      UNION ALL SELECT ord, n + rank - have, rank
+      FROM (SELECT ord, n, have, unnest(range(have, slots)) AS rank FROM g JOIN h USING (ord) WHERE have < slots)),
+b AS (SELECT s.ord, s.i, (rank % blocks) * {s.block_words} AS lo, least((rank % blocks + 1) * {s.block_words},
+             source_size, want - (rank // blocks) * source_size) AS hi FROM s JOIN g USING (ord)),
+a AS (SELECT row_number() OVER () AS rid, doc_id, size, source_size, target, ord,
              CAST(coalesce(sum(size) OVER (PARTITION BY ord ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')),
                doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
       FROM d JOIN t ON d.src IS NOT DISTINCT FROM t.src)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-         CAST((want // source_size) * size
-              + greatest(0, least(want % source_size - pos, size)) AS BIGINT) END AS taken
-FROM a"""
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size,
+       any_value(target) AS target,
+       CAST(coalesce(sum(CASE WHEN i IS NOT NULL THEN least(hi, pos + size) - greatest(lo, pos) END), 0) AS BIGINT) AS taken,
+       min(i) AS first_slot, count(i) AS n_slots, CAST(coalesce(sum(i), 0) AS BIGINT) AS slot_sum
+FROM a LEFT JOIN b ON a.ord = b.ord AND b.lo < a.pos + a.size AND a.pos < b.hi GROUP BY rid"""

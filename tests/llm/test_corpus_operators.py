@@ -1,6 +1,7 @@
 """Operators over whole corpora, against brute-force versions."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -190,7 +191,7 @@ def test_slots_follow_the_golden_schedule(spark):
     s = mixing.MixSettings(block_words=10, schedule_chunk=32, grid=8)
     slots = mixing.slot_table(per, s).collect()
     n = math.ceil(10500 / 10)
-    drawn = sorted((r.i, r.ord) for r in slots if r.i is not None)
+    drawn = sorted((r.i, r.ord) for r in slots if r.i < n)
     assert len({i for i, _ in drawn}) == len(drawn) and len(drawn) >= n - 30
     for upto in (100, 400, 1000):       # every stretch holds each source near its share
         part = [o for i, o in drawn if i < upto]
@@ -202,6 +203,95 @@ def test_slots_follow_the_golden_schedule(spark):
     assert taken == {0: 6000, 1: 3000, 2: 1500}
 
 
+def brute_slots(rows, s):
+    """(taken, first slot, number and sum of slots) of each row, walking the
+    schedule point by point."""
+    size, target = brute_targets(rows)
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    sizes = [len(WORD.findall(t or "")) for _, t, _, _ in rows]
+    stream = {}                                  # of each source: the row of every word
+    for src in order:
+        mine = sorted((k for k, r in enumerate(rows) if r[3] == src), key=lambda k: (
+            hashlib.md5(str("" if rows[k][0] is None else rows[k][0]).encode()).hexdigest(),
+            rows[k][0] is not None, rows[k][0], sizes[k]))
+        stream[src] = [k for k in mine for _ in range(sizes[k])]
+    total, at, edges = sum(target[x] for x in order), 0.0, []
+    for src in order:
+        if size[src]:
+            at += target[src]
+            edges.append((at / total, src))
+    n = math.ceil(total / s.block_words)
+    slots, passed = collections.Counter(), {}
+    place = {src: 0 for src in order}            # words taken so far
+    want = {src: math.floor(target[src] + 0.5) for src in order}
+    got = [[0, None, 0, 0] for _ in rows]
+
+    def take(src, i):
+        start = place[src] % size[src]
+        stop = min(start - start % s.block_words + s.block_words, size[src], start + want[src] - place[src])
+        for k in sorted(set(stream[src][start:stop])):
+            x = got[k]
+            x[1], x[2], x[3] = i if x[1] is None else min(x[1], i), x[2] + 1, x[3] + i
+        for k in stream[src][start:stop]:
+            got[k][0] += 1
+        place[src] += stop - start
+
+    for i in range(n):
+        x = (i % mixing.PERIOD * mixing.GOLDEN + mixing.GOLDEN // 2) % mixing.PERIOD / mixing.PERIOD
+        src = next((src for edge, src in edges[:-1] if x < edge), edges[-1][1])
+        if place[src] < want[src]:
+            take(src, i)
+    for src in order:
+        i = n
+        while size[src] and place[src] < want[src]:
+            take(src, i)
+            i += 1
+    return [tuple(x) for x in got]
+
+
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    """Slots of every row equal the walked schedule's; another multiplier
+    deals other slots."""
+    rows = [r for r in mix_rows() if r[0] != 5]
+    s = mixing.MixSettings(block_words=16, schedule_chunk=64, grid=16)
+    def dealt():
+        got = mixing.mix(documents(spark, rows), settings=s).collect()
+        return sorted(((r.doc_id, r.taken, r.first_slot, r.n_slots, r.slot_sum) for r in got), key=str)
+    want = sorted(((r[0], *x) for r, x in zip(rows, brute_slots(rows, s))), key=str)
+    golden = dealt()
+    assert golden == want
+    monkeypatch.setattr(mixing, "GOLDEN", 1)
+    assert dealt() != golden
+
+
+def test_mixed_documents_lie_by_the_schedule(spark):
+    """Any stretch of the mixed rows holds each source near its share."""
+    rng = random.Random(3)
+    rows = [(i, "w " * 20, "en", rng.choice("abc")) for i in range(3000)]
+    s = mixing.MixSettings(block_words=20)
+    out = [r.source for r in mixing.mixed_documents(documents(spark, rows).repartition(5), settings=s).collect()]
+    _, target = brute_targets(rows)
+    total = sum(target.values())
+    for lo in range(0, len(out) - 300, 300):
+        part = out[lo:lo + 300]
+        for src in "abc":
+            assert abs(part.count(src) - 300 * target[src] / total) <= 12
+
+
+def test_numbered_rows_keep_their_keys(spark, tmp_path):
+    """A Parquet table read as it is needs no copy; anything else is written."""
+    from loomcart.llm.common import numbered, read_as_is
+
+    df = spark.range(50).repartition(3).withColumn("text", F.lit("x"))
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).select("text", "id").where("id > 3")
+    assert read_as_is(read) and not read_as_is(read.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))))
+    a, b = numbered(read, "rows", "__row"), numbered(read.repartition(5), "rows", "__row")
+    for x in (a, b):
+        keys = {r.id: str(r["__row"]) for r in x.collect()}
+        assert len(set(keys.values())) == 46 and {r.id: str(r["__row"]) for r in x.repartition(2).collect()} == keys
+
+
 def test_mix_empty(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     r = mixing.mix(documents(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
