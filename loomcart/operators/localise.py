@@ -7,16 +7,22 @@ is kept around the translation.  A text with no entry stays as it is.
 
 Page localisation cuts the page's body into tokens (comments, elements whose
 content is never translated, tags, text) with one expression and works on that
-array: text nodes stay apart where a comment or tag parts them, and blocks with
-the opt-out attribute end at the closing tag that belongs to them.  What an
-element holds is told by its own name only (tags of other names left open
-inside an opted-out block do not matter).
+array: text nodes stay apart where a comment or tag parts them.  A stack of open
+elements tells where blocks with the opt-out attribute end: at their own closing
+tag, or at that of an element around them; a closing tag closes all that was
+left open inside its element, and one without an open element closes nothing.
+Only pages with an opt-out, or with changed texts, pass through Python, one
+linear pass each.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from .. import functions as fn
@@ -81,30 +87,64 @@ def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                       F.array_join(F.slice("all", n + 1, F.size("all")), "").alias("tail"))
 
 
-def _translated_places(tokens: str) -> Column:
-    """For each token, whether it stands outside all opted-out blocks."""
-    opted = rf"""(?is)^<[a-z][^>]*\s{K.NO_TRANSLATE_ATTRIBUTE}(?:[\s=/>])"""
+OPTED = rf"""(?is)^<[a-z][^>]*\s{K.NO_TRANSLATE_ATTRIBUTE}(?:[\s=/>])"""
+_NAME = re.compile(r"^<(/?)([a-zA-Z][a-zA-Z0-9-]*)")
 
-    def name(t):
-        return F.lower(F.regexp_extract(t, r"(?i)^</?([a-z][a-z0-9-]*)", 1))
 
-    start = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"),
-                     F.array().cast("array<boolean>").alias("out"))
+def outside_blocks(tokens: list[str]) -> list[bool]:
+    """For each token, whether it stands outside all opted-out blocks."""
+    opted = re.compile(OPTED)
+    out: list[bool] = []
+    stack: list[tuple[str, bool]] = []             # open elements, and whether they opt out
+    count: dict[str, int] = {}                     # open elements of a name
+    blocks = 0
+    for t in tokens:
+        out.append(blocks == 0)
+        m = _NAME.match(t)
+        if not m:
+            continue
+        closing, name = m.group(1), m.group(2).lower()
+        if closing:
+            if count.get(name):
+                while True:
+                    top, off = stack.pop()
+                    count[top] -= 1
+                    blocks -= off
+                    if top == name:
+                        break
+        elif name not in VOID and name not in K.SKIPPED_ELEMENTS and not t.endswith("/>"):
+            off = opted.match(t) is not None
+            stack.append((name, off))
+            count[name] = count.get(name, 0) + 1
+            blocks += off
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _outside_blocks(tokens: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else outside_blocks(list(t)) for t in tokens], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _put_back(tokens: pd.Series, places: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+    """Tokens joined, with the changes at their places: all of a text, or each
+    stretch ``old`` of a tag."""
+    out = []
+    for t, at, o, n in zip(tokens, places, old, new):
+        if t is None:
+            out.append(None)
+            continue
+        t = list(t)
+        for i, a, b in zip(at, o, n):
+            t[i] = b if a is None else t[i].replace(a, b)
+        out.append("".join(t))
+    return pd.Series(out, dtype=object)
 
-    def step(acc, t):
-        inside = acc["depth"] > 0
-        # Skipped elements are one token and hold no block.
-        whole = t.rlike(rf"(?i)^<({'|'.join(K.SKIPPED_ELEMENTS)})\b") | t.rlike(r"/>$")
-        opens = ~inside & t.rlike(opted) & ~whole & ~name(t).isin(VOID)
-        same = inside & (name(t) == acc["tag"]) & ~whole
-        depth = (F.when(opens, F.lit(1)).when(same & t.startswith("</"), acc["depth"] - 1)
-                 .when(same, acc["depth"] + 1).otherwise(acc["depth"]))
-        return F.struct(F.when(opens, name(t)).otherwise(acc["tag"]).alias("tag"), depth.alias("depth"),
-                        F.concat(acc["out"], F.array(~inside)).alias("out"))
 
-    fold = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    any_opted = F.exists(tokens, lambda t: t.rlike(opted))
-    return F.when(any_opted, fold).otherwise(F.transform(tokens, lambda t: F.lit(True)))
+def _translated_places(tokens: str) -> Column:
+    """For each token, whether it stands outside all opted-out blocks; null for
+    a page without any."""
+    return _outside_blocks(F.when(F.exists(tokens, lambda t: t.rlike(OPTED)), F.col(tokens)))
 
 
 def _is_text(t: Column) -> Column:
@@ -120,10 +160,10 @@ def text_fragments(pages: DataFrame, id_col: str = "page_id",
     """
     parts = page_parts(pages, id_col, html_col) if parts is None else parts
     free = parts.select("page_id", "tokens", _translated_places("tokens").alias("free"))
-    texts = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("tok"), t.alias("t"))),
-                     lambda x: _is_text(x["t"]))
-    out = free.select("page_id", "free", F.posexplode(texts).alias("pos", "x")).where(
-        F.get("free", F.col("x.tok")))
+    texts = F.filter(F.transform("tokens", lambda t, i: F.struct(
+        i.alias("tok"), t.alias("t"), F.coalesce(F.get("free", i), F.lit(True)).alias("free"))),
+        lambda x: _is_text(x["t"]))
+    out = free.select("page_id", F.posexplode(texts).alias("pos", "x")).where(F.col("x.free"))
     out = out.select("page_id", F.col("x.tok").alias("tok"), "pos", decode_entities(F.col("x.t")).alias("raw"))
     out = out.withColumn("key", fn.norm_text("raw"))
     return out.filter(F.col("key") != "")
@@ -169,16 +209,15 @@ def localised_pages(pages: DataFrame, dictionary: DataFrame, id_col: str = "page
         F.concat(F.lit(" "), "attr", F.lit('="'), encode_text(F.col("__dst"), True), F.lit('"')).alias("new"))
     # The changes of one page: no more than its tokens and attributes.
     changes = texts.unionByName(attrs).groupBy("page_id").agg(
-        F.collect_list(F.struct("tok", "old", "new")).alias("ch"),
+        F.sort_array(F.collect_list(F.struct("tok", "old", "new"))).alias("ch"),
         F.count_if(F.col("old").isNull()).alias("n_texts"),
         F.count("old").alias("n_attributes"))
     j = parts.join(changes, "page_id", "left")
-    body = F.transform("tokens", lambda t, i: F.aggregate(
-        F.filter("ch", lambda e: e["tok"] == i), t,
-        lambda acc, e: F.when(e["old"].isNull(), e["new"]).otherwise(F.replace(acc, e["old"], e["new"]))))
-    body = F.when(F.col("ch").isNull(), F.col("tokens")).otherwise(body)
+    changed = F.col("ch").isNotNull()
+    put = _put_back(F.when(changed, F.col("tokens")), *[F.col("ch")[c] for c in ("tok", "old", "new")])
+    body = F.coalesce(put, F.array_join("tokens", ""))
     none = F.lit(0).cast("long")
-    return j.select("page_id", F.concat("head", F.array_join(body, ""), "tail").alias("html"),
+    return j.select("page_id", F.concat("head", body, "tail").alias("html"),
                     F.coalesce("n_texts", none).alias("n_texts"),
                     F.coalesce("n_attributes", none).alias("n_attributes"))
 

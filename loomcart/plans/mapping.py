@@ -107,18 +107,19 @@ FROM part
 STATUS_CODE = {"received": "O", "confirmed": "P", "shipped": "F"}
 
 
-# Shop orders of one source order are numbered within it, so that ids stay
-# unique and below 2^53 at any scale the keys of the two tables reach.
+# Shop orders of one source order are numbered within it.  Order keys times
+# slots stay below ID_RANGE; an order of more parts than slots goes on in the
+# next ranges, so ids stay unique, and below 2^53 for the first two of them.
 ORDER_SLOTS = 1000
+ID_RANGE = 1 << 52
 
 
 def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None,
                 order_keys: DataFrame | None = None) -> DataFrame:
     """One row per (order, part): id, order_key, product_id, custkey, ..
 
-    ``id`` is order_key * ORDER_SLOTS + the part's rank within the order (an
-    order with more parts than slots is an error, never a repeated id).  The
-    rank's shuffle on the order key also serves the join with ``orders``.
+    ``id`` is order_key * ORDER_SLOTS + the part's rank within the order, for
+    each further ORDER_SLOTS parts of an order ID_RANGE higher.  The rank's shuffle on the order key also serves the join with ``orders``.
     ``order_keys`` (one column ``order_key``) limits the work to those orders
     before the lines are aggregated.
 
@@ -139,12 +140,12 @@ def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None,
                     F.sum("l_extendedprice").alias("v")))
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
     lines = lines.withColumn("slot", rank)
-    slot = F.when(F.col("slot") < ORDER_SLOTS, F.col("slot")).otherwise(
-        F.raise_error(F.lit("an order holds more parts than it has slots")).cast("int"))
+    slot = F.col("slot").cast("long")
+    further = F.floor(slot / ORDER_SLOTS) * F.lit(ID_RANGE)
     j = lines.join(o, lines.l_orderkey == o.o_orderkey, "inner")
     st = j.o_orderstatus
     return j.select(
-        (j.l_orderkey * ORDER_SLOTS + slot).alias("id"),
+        (further + j.l_orderkey * ORDER_SLOTS + slot % ORDER_SLOTS).alias("id"),
         j.l_orderkey.alias("order_key"),
         j.l_partkey.alias("product_id"),
         j.o_custkey.alias("custkey"),
@@ -157,8 +158,8 @@ def shop_orders(spark: SparkSession, sf_dir: str, status: str | None = None,
     )
 
 
-SHOP_ORDERS_SQL = """
-SELECT l.l_orderkey * 1000 + l.slot AS id, l.l_orderkey AS order_key, l.l_partkey AS product_id,
+SHOP_ORDERS_SQL = f"""
+SELECT (l.slot // {ORDER_SLOTS}) * {ID_RANGE} + l.l_orderkey * {ORDER_SLOTS} + l.slot % {ORDER_SLOTS} AS id, l.l_orderkey AS order_key, l.l_partkey AS product_id,
   o.o_custkey AS custkey,
   CAST(l.q AS BIGINT) AS quantity,
   CAST(round(l.v) AS BIGINT) AS price_paid,

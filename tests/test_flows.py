@@ -61,3 +61,22 @@ def test_reservation_then_sweep_conserves_stock(spark):
     got = {row.id: row.stock for row in restored.collect()}
     assert got == stock
     assert all(row.stock >= 0 for row in after.collect())
+
+
+def test_order_of_many_parts_keeps_ids_apart(spark, tmp_path):
+    """An order of more parts than slots: every part has an id of its own."""
+    from pyspark.sql import functions as F
+
+    from loomcart.plans import mapping as M
+
+    li = spark.range(2500).select(
+        F.when(F.col("id") < 2300, 7).otherwise(8).cast("long").alias("l_orderkey"), F.col("id").alias("l_partkey"),
+        F.lit(1.0).alias("l_quantity"), F.lit(2.0).alias("l_extendedprice"))
+    li.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT id AS o_orderkey, 1L AS o_custkey, 'O' AS o_orderstatus, DATE'1995-01-01' AS o_orderdate "
+              "FROM range(7, 9)").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = M.shop_orders(spark, str(tmp_path)).collect()
+    ids = {r.id for r in rows}
+    assert len(rows) == len(ids) == 2500
+    assert {r.id for r in rows if r.product_id < 999} == {7000 + k for k in range(1, 1000)}
+    assert max(ids) == 2 * M.ID_RANGE + 7300

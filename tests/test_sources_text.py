@@ -105,6 +105,35 @@ def test_fragments_by_hand(spark):
     assert _texts(spark, "no body <b>tag</b>") == [(0, "no body "), (1, "tag")]
 
 
+def test_opt_out_with_elements_left_open(spark):
+    # An outer closing tag ends an opted-out block that was left open.
+    assert _texts(spark, "<body><div><p data-no-i18n>x<b>y</div>z</body>") == [(2, "z")]
+    # Elements left open inside a block end with it; others of its name count.
+    assert _texts(spark, "<body><div data-no-i18n><ul><li>x<li>y<div>u</div></ul>v</div>w</body>") == [(4, "w")]
+    # A closing tag of nothing closes nothing.
+    assert _texts(spark, "<body><i data-no-i18n>x</b></p>y</i>z</u>w</body>") == [(2, "z"), (3, "w")]
+    # Blocks within blocks.
+    assert _texts(spark, "<body><i data-no-i18n>x<b data-no-i18n>y</b>z</i>w<p>v</body>") == [(3, "w"), (4, "v")]
+
+
+def test_long_pages_take_linear_time(spark):
+    """A page of 10^5 tokens, changed at every text, with open elements."""
+    import time
+
+    n = 25_000
+    html = "<body>" + "".join(f"<p>Hello<i title='Hello'>{k}</i>" for k in range(n)) + "<b data-no-i18n>Hello</b></body>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    d = spark.createDataFrame([("Hello", "Hi")], "src string, dst string")
+    t0 = time.perf_counter()
+    got = lo.localised_pages(pages, d).first()
+    assert time.perf_counter() - t0 < 40
+    assert (got.n_texts, got.n_attributes) == (n, n)
+    assert got.html == "<body>" + "".join(f'<p>Hi<i title="Hi">{k}</i>' for k in range(n)) + "<b data-no-i18n>Hello</b></body>"
+    t0 = time.perf_counter()
+    places = lo.outside_blocks(["<p>", "</b>", "x"] * 60_000)
+    assert all(places) and time.perf_counter() - t0 < 5
+
+
 def test_attributes_by_hand(spark):
     html = ("<body><textarea placeholder='Your &amp; name'>kept</textarea><img alt=Logo title=\"T\">"
             "<div data-no-i18n><input placeholder=\"Mail\"></div><div placeholder=\"no\">x</div>"
