@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming as stm
 from ..operators import outbox as ob
+from ..operators.joins import materialize
 from ..operators.orders import with_product_name
 from ..session import scratch_path
 from . import mapping as M
@@ -111,3 +112,70 @@ def q_outbox_stream(spark, d):
     base = scratch_path(spark, "outbox")
     stm.outbox_sink(src, _shipped_outbox(spark, d), base + "/out", base + "/_ckpt")
     return spark.read.parquet(base + "/out").drop("batch")
+
+
+def _in_waves(spark, waves, name, run):
+    """Append each wave to a folder and run the stream after it, as after a
+    restart; returns the stream's base folder."""
+    base = scratch_path(spark, name)
+    for wave in waves:
+        wave.write.mode("append").parquet(base + "/in")
+        run(spark.readStream.schema(wave.schema).parquet(base + "/in"), base)
+    return base
+
+
+@register("confirm_ledger_stream", """
+SELECT DISTINCT 'order_' || CAST(user_id AS VARCHAR) AS razorpay_order_id
+FROM events WHERE event_type = 'purchase'
+""")
+def q_confirm_ledger(spark, d):
+    """A gateway id (here one per user) confirmed once for ever: its
+    repeats come weeks later, in other runs of the stream."""
+    calls = M.table(spark, d, "events").where("event_type = 'purchase'").select(
+        F.concat(F.lit("order_"), F.col("user_id").cast("string")).alias("razorpay_order_id"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.day("ts") % 3).alias("wave"))
+    waves = [calls.where(F.col("wave") == k).drop("wave") for k in range(3)]
+    base = _in_waves(spark, waves, "confirm-ledger", lambda src, at: stm.confirm_once_for_ever(
+        src, at + "/state", at + "/out", at + "/_ckpt"))
+    return spark.read.parquet(base + "/out").select("razorpay_order_id")
+
+
+def _patch_waves(o):
+    """Five waves over all orders: confirmation calls, patches with and without
+    a status, calls once more, shipments, shipments once more."""
+    def wave(step, rows, call="patch", status=None, tracking=None):
+        return rows.select(
+            (F.lit(step * 10 ** 16) + F.col("id")).alias("seq"), "id", F.lit(call).alias("call"),
+            (F.lit(None) if status is None else status).cast("string").alias("status"),
+            (F.lit(None) if tracking is None else tracking).cast("string").alias("tracking_number"),
+            F.lit(None).cast("string").alias("notes"))
+
+    track = F.concat(F.lit("TRK-"), F.col("id").cast("string"))
+    ships, v = F.lit("shipped"), F.col("price_paid") % 5
+    return [wave(1, o.where(v.isin(0, 1)), "confirm"),
+            wave(2, o.where("status = 'confirmed'"), status=F.when(F.col("quantity") > 10, ships), tracking=track),
+            wave(3, o.where(v == 0), "confirm"),
+            wave(4, o.where(v == 1), status=ships),
+            wave(5, o.where(F.col("price_paid") % 10 == 1), status=ships)]
+
+
+_PATCH_EVENTS = """
+o2 AS (SELECT o.* REPLACE (CASE WHEN status = 'confirmed' THEN 'TRK-' || CAST(id AS VARCHAR)
+                                ELSE tracking_number END AS tracking_number), name AS product_name
+       FROM o LEFT JOIN (SELECT id AS pid, name FROM p) ON product_id = pid),
+ev AS (SELECT o2.*, kind FROM o2, (VALUES ('new_order'), ('confirmed')) AS k(kind)
+       WHERE status = 'received' AND price_paid % 5 IN (0, 1)
+       UNION ALL SELECT *, 'shipped' FROM o2 WHERE status = 'confirmed' AND quantity > 10
+       UNION ALL SELECT *, 'shipped' FROM o2 WHERE price_paid % 5 = 1
+       UNION ALL SELECT *, 'shipped' FROM o2 WHERE price_paid % 10 = 1)"""
+
+
+@register("outbox_patch_stream", _outbox_sql(_PATCH_EVENTS))
+def q_outbox_patches(spark, d):
+    """Messages of a stream of patches and confirmation calls, built from
+    each order's merged row; a call once more sends nothing, a shipment once
+    more sends again."""
+    o, p = materialize(M.full_orders(spark, d)), M.products(spark, d)
+    base = _in_waves(spark, _patch_waves(o), "outbox-patches", lambda src, at: stm.patch_messages(
+        src, o, lambda ev: ob.notification_outbox(with_product_name(ev, p)), at + "/state", at + "/out", at + "/_ckpt"))
+    return spark.read.parquet(base + "/out").drop("batch")
