@@ -36,6 +36,7 @@ UNKNOWN = "und"
 class LanguageTraining:
     sample_texts: int = 400
     dictionary_bytes: int = 8_192
+    salts: int = 16
 
 
 def distinct_words(text: str) -> list[str]:
@@ -54,11 +55,14 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                         & (F.length(text_col) > 0))
     keys = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("k"),
                          F.xxhash64(F.col(id_col)).alias("h"))
-    # The rank limit is applied in every task before the shuffle, so a
-    # frequent language sends no more rows than a rare one.
-    chosen = (keys.withColumn("r", F.row_number().over(
-        Window.partitionBy("lang").orderBy("h", "k")))
-        .where(F.col("r") <= s.sample_texts).select("lang", "k").distinct())
+    # The first of each language among those of each salt, then among these:
+    # no task ranks a language's rows but a bounded number of them.
+    def first_of(rows, *by):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))
+        return rows.withColumn("r", rank).where(F.col("r") <= s.sample_texts).drop("r")
+
+    salted = first_of(keys.distinct().withColumn("salt", F.pmod("h", F.lit(s.salts))), "lang", "salt")
+    chosen = first_of(salted, "lang").select("lang", "k")
     rows = (usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("k"),
                           F.col(text_col).alias("t"))
             .join(F.broadcast(chosen), ["lang", "k"])

@@ -21,6 +21,7 @@ without spaces is one word of any length.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,14 @@ MARK = "▁"  # stands for a space inside pieces
 class PieceCodec:
     """Encoder and decoder for one model file."""
 
-    def __init__(self, model_path: str, table_words: int = 400_000):
+    def __init__(self, model_path: str, table_words: int = 400_000, long_word: int = 1000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.size = sp.get_piece_size()
         self.end_id = sp.eos_id()
         self.table_words = table_words
+        self.long_word = long_word           # characters; longer words merge from a heap
         self.decimal = [str(i) for i in range(self.size)].__getitem__
         pieces = [sp.id_to_piece(i) for i in range(self.size)]
         self._bytes_of: list[bytes] = []
@@ -96,6 +98,7 @@ class PieceCodec:
         self.ranks = np.array(ranks, np.int64)[by]
         self.shy = shy
         self._run_cuts: dict[int, list[int]] = {}
+        self._pair_of: dict[int, tuple[int, int]] | None = None
         lens = np.array([len(b) for b in self._bytes_of], np.int64)
         self._piece_flat = np.frombuffer(b"".join(self._bytes_of), np.uint8)
         self._piece_start = np.concatenate([[0], np.cumsum(lens)])
@@ -128,6 +131,12 @@ class PieceCodec:
         sym = self.char_id[points]
         word = np.repeat(np.arange(len(words)), n)
         done_sym, done_word = [], []
+        for i in np.flatnonzero(n > self.long_word).tolist():
+            done_sym.append(self._merge_long(sym[word == i]))
+            done_word.append(np.full(len(done_sym[-1]), i))
+        if done_sym:
+            short = (n <= self.long_word)[word]
+            sym, word = sym[short], word[short]
         rank = np.full(len(sym), self.none)          # of the pair (i, i + 1)
         to = np.zeros(len(sym), np.int64)
         pair = np.flatnonzero(word[1:] == word[:-1])
@@ -182,6 +191,41 @@ class PieceCodec:
             sym, word = sym[by], word[by]
         return self._with_bytes(sym, word, len(words))
 
+    def _merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """One long word: the same merges one by one, from a heap over linked
+        symbols, since rounds over a word that merges once a round would take
+        its length squared."""
+        if self._pair_of is None:
+            self._pair_of = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.to.tolist())))
+        base, pair_of = self.size + 0x110000, self._pair_of
+        s = sym.tolist()
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            hit = pair_of.get(s[i] * base + s[i + 1])
+            if hit:
+                heap.append((hit[0], i, s[i], s[i + 1], hit[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, to = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != left or j >= n or s[j] != right:
+                continue                              # one of them has merged since
+            s[i], s[j] = to, -1
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                hit = pair_of.get(to * base + s[j])
+                if hit:
+                    heapq.heappush(heap, (hit[0], i, to, s[j], hit[1]))
+            k = before[i]
+            if k >= 0:
+                hit = pair_of.get(s[k] * base + to)
+                if hit:
+                    heapq.heappush(heap, (hit[0], k, s[k], to, hit[1]))
+        return np.array([x for x in s if x >= 0], np.int64)
+
     def _with_bytes(self, sym, word, n_words):
         """Characters without a piece become byte pieces."""
         odd = np.flatnonzero(sym >= self.size)
@@ -202,7 +246,9 @@ class PieceCodec:
         encoded first."""
         fresh = [w for w in words if w not in self._index]
         if fresh:
-            if len(self._index) + len(fresh) > self.table_words and self._index:
+            # Bounded by words and, for long ones, by characters (pieces are fewer).
+            held, more = len(self._index), sum(map(len, fresh))
+            if held and (held + len(fresh) > self.table_words or self._start[-1] + more > 8 * self.table_words):
                 self._reset()
                 fresh = words
             flat, n = self.merge_words([MARK + w for w in fresh])

@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, hold: Column, id_co
               .orderBy(F.xxhash64("k"), "k").limit(settings.max_labelled))
     # At most max_labelled rows of three small columns: safe to broadcast.
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(
-        F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "y", "held", "t")
+        F.broadcast(chosen), "k").groupBy("k").agg(      # of an id's texts the greatest teaches
+            F.max("y").alias("y"), F.max("held").alias("held"), F.max("t").alias("t"))
     got = sorted(_featured(rows, "x").select("k", "y", "held", "x").collect(), key=lambda r: str(r["k"]))
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r["y"] for r in got], int), np.array([r["held"] for r in got], bool), settings)

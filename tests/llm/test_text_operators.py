@@ -93,6 +93,24 @@ def test_codec_equals_library(library):
     assert own.decode(odd) == [sp.decode(x) for x in odd]
 
 
+def test_codec_of_long_words(library):
+    """Words without a space, from a heap: the same pieces, in seconds."""
+    import time
+
+    codec, lib = library
+    rng = random.Random(12)
+    texts = ["the" * 20_000, "ab" * 3000 + " " + "x" * 5000, "".join(rng.choice("aeiourstln") for _ in range(200_000)),
+             "".join(rng.choice("thehonéи漢😀") for _ in range(9000)) + " tail", "a" * 1001 + " " + "a" * 1000]
+    t0 = time.perf_counter()
+    got = [codec.encode([t])[0] for t in texts]
+    assert time.perf_counter() - t0 < 30
+    for ids, t in zip(got, texts):
+        assert list(ids) == lib.encode(t, add_eos=True)
+    small = piece_codec.PieceCodec(queries.vocabulary("piece_bpe_32k.model"), long_word=3)
+    for t in texts[3:] + [t or "" for t in ODD]:
+        assert list(small.encode([t])[0]) == lib.encode(t, add_eos=True)
+
+
 def test_codec_small_table_gives_the_same(library):
     own, sp = library
     small = piece_codec.PieceCodec(queries.vocabulary("piece_bpe_32k.model"), table_words=3)
