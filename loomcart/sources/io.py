@@ -126,14 +126,28 @@ def seed_rows(spark: SparkSession, rows: list | None = None) -> DataFrame:
 
 
 # A7 -------------------------------------------------------------------------
+# --- Fixed values: the shop's column defaults ---
+PRODUCT_DEFAULTS = {"stock": "0", "active": "true", "created_at": "current_timestamp()"}
+ORDER_DEFAULTS = {"quantity": "1", "status": "'received'", "ordered_at": "current_timestamp()",
+                  "updated_at": "current_timestamp()", "payment_status": "'pending'"}
+
+
 def _ddl_type(dt: T.DataType) -> str:
     return dt.simpleString().upper()
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType,
-                 location: str | None = None) -> DataFrame:
-    """CREATE TABLE IF NOT EXISTS .. USING parquet; returns the table."""
-    cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}" for f in schema.fields)
+                 location: str | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS .. USING parquet; returns the table.
+
+    ``defaults`` has SQL expressions by column: what an insert that leaves the
+    column out puts there (see ``PRODUCT_DEFAULTS``, ``ORDER_DEFAULTS``)."""
+    given = defaults or {}
+    unknown = set(given) - {f.name for f in schema.fields}
+    if unknown:
+        raise ValueError(f"defaults of no column: {sorted(unknown)}")
+    cols = ", ".join(f"`{f.name}` {_ddl_type(f.dataType)}"
+                     + (f" DEFAULT {given[f.name]}" if f.name in given else "") for f in schema.fields)
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}")
     return spark.table(name)

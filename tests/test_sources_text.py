@@ -3,6 +3,8 @@ import hmac
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomcart import sources as src
@@ -59,6 +61,20 @@ def test_ensure_table_idempotent(spark):
     spark.sql("DROP TABLE lc_products_t")
 
 
+def test_ensure_table_with_column_defaults(spark):
+    loc = tempfile.mkdtemp(prefix="lc-tbl-")
+    src.ensure_table(spark, "lc_orders_d", S.ORDERS, loc, src.ORDER_DEFAULTS)
+    spark.sql("INSERT INTO lc_orders_d (id, customer_name) VALUES (1, 'Ann')")
+    spark.sql("INSERT INTO lc_orders_d (id, quantity, status) VALUES (2, 5, 'shipped')")
+    rows = {r.id: r for r in spark.table("lc_orders_d").collect()}
+    assert (rows[1].quantity, rows[1].status, rows[1].payment_status) == (1, "received", "pending")
+    assert (rows[2].quantity, rows[2].status, rows[2].customer_name) == (5, "shipped", None)
+    assert rows[1].ordered_at is not None and rows[1].updated_at is not None
+    with pytest.raises(ValueError):
+        src.ensure_table(spark, "lc_orders_d", S.ORDERS, loc, {"nope": "1"})
+    spark.sql("DROP TABLE lc_orders_d")
+
+
 def test_translate_keeps_whitespace_and_falls_through(spark):
     d = spark.createDataFrame([("Hello world", "HW"), ("Empty", "")], "src string, dst string")
     t = spark.createDataFrame([("  Hello\t world﻿ ",), ("Other",), ("Empty",)],
