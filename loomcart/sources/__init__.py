@@ -6,3 +6,4 @@ from .io import (  # noqa: F401
     load_products, read_order_json, read_whole_texts, rewrite_asset_paths,
     seed_rows, to_json_rows, write_order_json,
 )
+from .snapshots import BucketedTable, Commit, VersionTaken  # noqa: F401
