@@ -409,3 +409,28 @@ def q_seed_if_nonempty(spark, d):
     seed = p.select("gender", "collection", "name", "size", "price", "stock",
                     F.col("id").alias("seq"))
     return mu.seed_if_empty(p, seed, seq="seq").changed.select("id", "name")
+
+
+@register("bucketed_snapshots", M.cte(p=_P) + """
+SELECT id, CASE WHEN id % 40 = 1 THEN CAST(id % 90 AS INT) ELSE stock END AS stock,
+       active AND id % 61 <> 0 AS active
+FROM p WHERE id % 97 <> 0
+""")
+def q_bucketed_snapshots(spark, d):
+    """H1, H5 and a hard delete as versions of a bucketed table: each commit
+    writes the buckets it changed, the others are carried over."""
+    from ..session import scratch_path
+    from ..sources import BucketedTable
+
+    p = M.products(spark, d)
+    t = BucketedTable(spark, scratch_path(spark, "products"), p.schema)
+    t.create(p)
+    ids = p.select("id")
+    changes = ids.where("id % 40 = 1").select("id", (F.col("id") % 90).cast("int").alias("stock"), F.lit(1).alias("seq"))
+    done = mu.set_stock(t.read(), changes)
+    t.commit(done.table, done.changed)
+    done = mu.soft_delete(t.read(), ids.where("id % 61 = 0"))
+    t.commit(done.table, done.changed)
+    gone = ids.where("id % 97 = 0")
+    t.commit(t.read().join(gone, "id", "left_anti"), gone)
+    return t.read().select("id", "stock", "active")

@@ -78,3 +78,29 @@ def q_order_documents(spark, d):
     path = scratch_path(spark, "order-docs")
     write_order_json(docs, path)
     return ops.newest_first(read_order_json(spark, path, multiline=False))
+
+
+@register("order_document_files", M.cte(o=M.FULL_ORDERS_SQL, p=M.PRODUCTS_SQL) + """
+SELECT NULL AS reason, o.id, o.product_id, p.name AS product_name, o.customer_email, o.quantity, o.status,
+       o.tracking_number, strftime(o.ordered_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS ordered_at
+FROM o LEFT JOIN p ON o.product_id = p.id
+UNION ALL SELECT unnest(['bad json', 'empty', 'no list', 'no order']), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+""")
+def q_order_document_files(spark, d):
+    """A2 over a folder of order documents, one JSON list a file, with a
+    half-written file, an empty one, one without a list and one with an entry
+    that is no order: their reasons come as rows."""
+    from .. import functions as fn
+    from ..session import scratch_path
+    from ..sources import order_documents, write_order_documents
+
+    docs = ops.with_product_name(M.full_orders(spark, d), M.products(spark, d))
+    docs = docs.select(*_DOC_COLS, fn.iso_utc("ordered_at").alias("ordered_at"),
+                       fn.iso_utc("updated_at").alias("updated_at"))
+    path = scratch_path(spark, "order-files")
+    write_order_documents(docs, path, files=32)
+    for text in ('[{"id": 7, "status": "rec', "", '{"id": 7}', "[null]"):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(path)
+    return order_documents(spark, path).select(
+        "reason", "id", "product_id", "product_name", "customer_email", "quantity", "status", "tracking_number",
+        "ordered_at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,64 @@ def write_order_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+BAD_DOCUMENT = ("empty", "bad json", "no list", "no order")
+
+
+def order_documents(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Orders of a folder of documents, one JSON list of orders a file, read
+    file by file, as a table or as a stream of arriving files.
+
+    Columns: file, reason, and the fields of an order.  A file that gives no
+    orders (empty, half-written, no list) is one row with the reason and no
+    fields, and so is each entry of a list that is no object; the shop would
+    take such a file as an empty list.  An empty list gives no row, nor does a
+    file of no bytes at all (Spark's file sources pass over those).  A missing
+    folder gives an empty table (a stream needs the folder).
+    """
+    reader = spark.readStream if stream else spark.read
+    try:
+        files = reader.format("binaryFile").schema(
+            "path string, modificationTime timestamp, length long, content binary").load(path)
+    except AnalysisException as e:
+        if stream or not ("PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)):
+            raise
+        fields = [T.StructField("file", T.StringType()), T.StructField("reason", T.StringType())]
+        return spark.createDataFrame([], T.StructType(fields + list(S.ORDER_DOCUMENT.fields)))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    files = files.select(F.col("path").alias("file"), F.regexp_replace(
+        text, r"^[\uFEFF\s]+|\s+$", "").alias("body"))
+    empty, bad, no_list, no_order = (F.lit(x) for x in BAD_DOCUMENT)
+    reason = (F.when(F.col("body") == "", empty).when(F.try_parse_json("body").isNull(), bad)
+              .when(~F.col("body").startswith("["), no_list))
+    files = files.select("file", "body", reason.alias("reason"))
+    entries = F.from_json(F.when(F.col("reason").isNull(), F.col("body")), T.ArrayType(T.StringType()))
+    rows = files.select("file", "reason", F.explode_outer(F.when(F.col("reason").isNotNull(), F.array(F.lit(None).cast(
+        "string"))).otherwise(F.transform(entries, lambda x: F.coalesce(x, F.lit("null"))))).alias("entry"))
+    rows = rows.where(F.col("reason").isNotNull() | F.col("entry").isNotNull())        # empty lists
+    order = F.when(F.ltrim("entry").startswith("{"), F.from_json("entry", S.ORDER_DOCUMENT))
+    rows = rows.select("file", F.coalesce("reason", F.when(order.isNull(), no_order)).alias("reason"), order.alias("o"))
+    return rows.select("file", "reason", "o.*")
+
+
+def write_order_documents(df: DataFrame, path: str, files: int, key: str = "id") -> None:
+    """Orders as a folder of documents, a JSON list a file, newest first
+    within a file; a task passes its orders on line by line."""
+    lines = df.select(F.col(key).alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("v"))
+    lines = lines.repartition(files, "k").sortWithinPartitions(F.desc("k")).select("v")
+
+    def listed(batches):
+        first = True
+        for b in batches:
+            if b.num_rows:
+                rows = b.column(0).to_pylist()
+                rows = [("" if first and i == 0 else ",") + r for i, r in enumerate(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array((["["] if first else []) + rows)], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    lines.mapInArrow(listed, "value string").write.mode("overwrite").text(path)
+
+
 # A4 -------------------------------------------------------------------------
 def to_json_rows(df: DataFrame, column: str = "json", keep: list[str] | None = None,
                  keep_nulls: bool = True) -> DataFrame:
