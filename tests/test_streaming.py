@@ -91,3 +91,45 @@ def test_abandoned_join_over_several_files_equals_batch(spark):
             AND p.ts BETWEEN s.ts AND s.ts + INTERVAL 20 HOUR)""").fetchall()}
     assert len(want) > 0
     assert got == want
+
+
+def test_timers_over_several_batches_equal_all_pairs(spark):
+    """J2 over five files: a busy user, many signups at one millisecond,
+    purchases of the same and of later batches; equal to comparing all pairs."""
+    from datetime import datetime, timedelta
+
+    from loomcart.streaming import abandoned_with_timers, run_available_now
+    from loomcart.streaming.reservations import keyed_state_store
+
+    rnd = random.Random(17)
+    start, rows, eid = datetime(2026, 1, 1), [], 0
+    base = tempfile.mkdtemp(prefix="lc-j2-")
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    for b in range(5):
+        wave = []
+        for _ in range(160):
+            eid += 1
+            user = 1 if rnd.random() < .6 else rnd.randint(2, 30)
+            at = start + timedelta(hours=b * 4, minutes=rnd.randint(0, 239), microseconds=rnd.randint(0, 3) * 500)
+            wave.append((eid, user, "purchase" if rnd.random() < (.02 if user == 1 else .3) else "signup", at))
+        for _ in range(40):                       # all at once
+            eid += 1
+            wave.append((eid, 1, "signup", start + timedelta(hours=b * 4, minutes=120)))
+        rows += wave
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(base + "/in")
+        time.sleep(1.1)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    ttl = timedelta(hours=1)
+    with keyed_state_store(spark):
+        run_available_now(abandoned_with_timers(src, 3_600_000, "4 hours"), base + "/out", base + "/ckpt")
+    got = sorted((r.pending_id, r.user_id, r.ts_us) for r in spark.read.parquet(base + "/out").collect())
+    end = max(r[3] for r in rows) - timedelta(hours=4)
+
+    def ms(t):
+        return t.replace(microsecond=t.microsecond // 1000 * 1000)
+
+    paid = [(u, t) for _, u, kind, t in rows if kind == "purchase"]
+    want = sorted((e, u, int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1)))
+                  for e, u, kind, t in rows if kind == "signup" and ms(t) + ttl <= ms(end)
+                  and not any(v == u and t <= s <= t + ttl for v, s in paid))
+    assert len(want) > 100 and got == want
