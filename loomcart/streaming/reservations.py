@@ -238,7 +238,7 @@ def outbox_sink(changes: DataFrame, to_outbox: Callable[[DataFrame], DataFrame],
 # pandas would otherwise see session-local wall times.
 ABANDONED_OUT = T.StructType([
     T.StructField("pending_id", T.LongType()), T.StructField("user_id", T.LongType()),
-    T.StructField("ts_us", T.LongType()),
+    T.StructField("ts_us", T.LongType()), T.StructField("kind", T.StringType()),
 ])
 
 
@@ -246,7 +246,7 @@ ABANDONED_OUT = T.StructType([
 SLOTS = 4
 
 
-def _abandon_processor(ttl_ms: int):
+def _abandon_processor(ttl_ms: int, lifetime_ms: int = 0):
     from pyspark.sql.streaming import StatefulProcessor
 
     ttl_us = ttl_ms * 1000
@@ -261,6 +261,10 @@ def _abandon_processor(ttl_ms: int):
         only what is due then, and the few slots.  A signup is closed by any
         purchase from its time to a window later: in the first slot by the
         last purchase, in the last slot by the first one, by any in between.
+
+        With a lifetime the watermark lags by it, and signups are decided that
+        much before it reaches them; those found abandoned are kept, by slot,
+        and a purchase that comes after the decision takes them back.
         """
 
         def init(self, handle) -> None:
@@ -268,12 +272,14 @@ def _abandon_processor(ttl_ms: int):
             self.parts = handle.getMapState("parts", "due long", "n int")
             self.open = handle.getMapState("open", "due long, part int", "ids array<bigint>, ts array<bigint>")
             self.paid = handle.getMapState("paid", "slot long", "first long, last long")
+            self.lots = handle.getMapState("lots", "slot long", "n int")
+            self.decided = handle.getMapState("decided", "slot long, part int", "ids array<bigint>, ts array<bigint>")
 
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             signup = (pdf["event_type"] == "signup").to_numpy()
             ids, ts = (pdf[c].astype("int64").to_numpy() for c in ("event_id", "ts_us"))
-            due = ts[signup] // 1000 + ttl_ms
+            due = ts[signup] // 1000 + ttl_ms - lifetime_ms
             for ms in np.unique(due).tolist():
                 n = self.parts.getValue((ms,))[0] if self.parts.containsKey((ms,)) else 0
                 mine = due == ms
@@ -291,13 +297,33 @@ def _abandon_processor(ttl_ms: int):
                 self.paid.updateValue((slot,), (first, last))
             if len(paid):               # when the stretch's last signup has been due
                 self.handle.registerTimer((int(key[1]) + 2) * ttl_ms + 1)
-            yield _no_rows()
+            back = self._taken_back(paid) if lifetime_ms and len(paid) else ([], [])
+            yield _rows(int(key[0]), *back, "retracted")
+
+        def _taken_back(self, paid: np.ndarray) -> tuple[list[int], list[int]]:
+            """Decided signups that these purchases close; they are forgotten."""
+            paid = np.sort(paid)
+            ids, ts = [], []
+            for slot in range((int(paid[0]) - ttl_us) // width, int(paid[-1]) // width + 1):
+                for part in range(self.lots.getValue((slot,))[0] if self.lots.containsKey((slot,)) else 0):
+                    mine = self.decided.getValue((slot, part))
+                    t = np.array(mine[1], np.int64)
+                    at = np.searchsorted(paid, t)
+                    hit = (at < len(paid)) & (paid[np.minimum(at, len(paid) - 1)] <= t + ttl_us)
+                    if hit.any():
+                        e = np.array(mine[0], np.int64)
+                        ids += e[hit].tolist()
+                        ts += t[hit].tolist()
+                        self.decided.updateValue((slot, part), (e[~hit].tolist(), t[~hit].tolist()))
+            return ids, ts
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             ms = expiredTimerInfo.getExpiryTimeInMs()
             if ms > (int(key[1]) + 2) * ttl_ms:
                 self.paid.clear()
-                yield _no_rows()
+                self.lots.clear()
+                self.decided.clear()
+                yield _rows(0, [], [], "abandoned")
                 return
             ids, ts = [], []
             for part in range(self.parts.getValue((ms,))[0] if self.parts.containsKey((ms,)) else 0):
@@ -307,11 +333,15 @@ def _abandon_processor(ttl_ms: int):
                 self.open.removeKey((ms, part))
             self.parts.removeKey((ms,))
             paid = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.paid.iterator()}
-            left = [(e, t) for e, t in zip(ids, ts) if not self._closed(int(t), paid)]
-            yield pd.DataFrame({
-                "pending_id": pd.Series([e for e, _ in left], dtype="int64"),
-                "user_id": pd.Series([int(key[0])] * len(left), dtype="int64"),
-                "ts_us": pd.Series([t for _, t in left], dtype="int64")})
+            left = [(int(e), int(t)) for e, t in zip(ids, ts) if not self._closed(int(t), paid)]
+            if lifetime_ms and left:
+                for slot in {t // width for _, t in left}:
+                    n = self.lots.getValue((slot,))[0] if self.lots.containsKey((slot,)) else 0
+                    mine = [(e, t) for e, t in left if t // width == slot]
+                    self.decided.updateValue((slot, n), ([e for e, _ in mine], [t for _, t in mine]))
+                    self.lots.updateValue((slot,), (n + 1,))
+                self.handle.registerTimer((int(key[1]) + 2) * ttl_ms + 1)
+            yield _rows(int(key[0]), [e for e, _ in left], [t for _, t in left], "abandoned")
 
         @staticmethod
         def _closed(t: int, paid: dict[int, tuple[int, int]]) -> bool:
@@ -328,8 +358,9 @@ def _abandon_processor(ttl_ms: int):
     return Abandon()
 
 
-def _no_rows() -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("pending_id", "user_id", "ts_us")})
+def _rows(user: int, ids: list[int], ts: list[int], kind: str) -> pd.DataFrame:
+    return pd.DataFrame({"pending_id": pd.Series(ids, dtype="int64"), "user_id": pd.Series([user] * len(ids), dtype="int64"),
+                         "ts_us": pd.Series(ts, dtype="int64"), "kind": pd.Series([kind] * len(ids), dtype=object)})
 
 
 def abandoned_with_timers(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000,
@@ -343,13 +374,29 @@ def abandoned_with_timers(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000,
     busy user's events spread over tasks.  A purchase goes to its own stretch
     and to the one before, where signups may still wait for it.
     """
+    return _by_stretch(events, ttl_ms, 0, delay).drop("kind")
+
+
+def abandoned_with_corrections(events: DataFrame, ttl_ms: int = 20 * 3600 * 1000, delay_ms: int = 3600 * 1000,
+                               lifetime_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """J1/J2 with corrections: (pending_id, user_id, ts_us, kind).
+
+    A signup is 'abandoned' when the latest event is ``delay_ms`` past its
+    window.  A purchase that comes later than that, up to ``lifetime_ms`` more,
+    still closes it: a row of kind 'retracted' follows.  Abandoned rows less
+    the retracted ones are the batch answer over all events seen.
+    """
+    return _by_stretch(events, ttl_ms, lifetime_ms, f"{delay_ms + lifetime_ms} milliseconds")
+
+
+def _by_stretch(events: DataFrame, ttl_ms: int, lifetime_ms: int, delay: str) -> DataFrame:
     events = events.withColumn("ts_us", F.unix_micros("ts"))
     stretch = F.floor(F.col("ts_us") / (ttl_ms * 1000)).cast("long")
     events = events.withWatermark("ts", delay).withColumn("stretch", F.explode(
         F.when(F.col("event_type") == "signup", F.array(stretch)).otherwise(F.array(stretch - 1, stretch))))
     return (events.groupBy("user_id", "stretch")
             .transformWithStateInPandas(
-                statefulProcessor=_abandon_processor(ttl_ms),
+                statefulProcessor=_abandon_processor(ttl_ms, lifetime_ms),
                 outputStructType=ABANDONED_OUT, outputMode="Append", timeMode="EventTime"))
 
 

@@ -133,3 +133,47 @@ def test_timers_over_several_batches_equal_all_pairs(spark):
                   for e, u, kind, t in rows if kind == "signup" and ms(t) + ttl <= ms(end)
                   and not any(v == u and t <= s <= t + ttl for v, s in paid))
     assert len(want) > 100 and got == want
+
+
+def test_late_purchases_take_abandoned_rows_back(spark):
+    """Purchases that arrive up to the lifetime after the decision; those still
+    later are dropped.  Abandoned less retracted is the batch answer."""
+    from datetime import datetime, timedelta
+
+    from loomcart.streaming import abandoned_with_corrections, run_available_now
+    from loomcart.streaming.reservations import keyed_state_store
+
+    rnd = random.Random(23)
+    start, eid = datetime(2026, 1, 1), 0
+    ttl, delay, lifetime = timedelta(hours=1), timedelta(hours=1), timedelta(hours=6)
+    base = tempfile.mkdtemp(prefix="lc-late-")
+    schema = "event_id long, user_id long, event_type string, ts timestamp"
+    waves = [[] for _ in range(8)]
+    for b in range(6):
+        for _ in range(120):
+            eid += 1
+            user = 1 if rnd.random() < .5 else rnd.randint(2, 40)
+            at = start + timedelta(hours=b * 2, minutes=rnd.randint(0, 119), milliseconds=rnd.randint(0, 3))
+            buys = rnd.random() < (.03 if user == 1 else .3)
+            # A purchase may come one to three waves late: two to six hours.
+            waves[b + (rnd.choice([0, 1, 2]) if buys else 0)].append((eid, user, "purchase" if buys else "signup", at))
+    waves[7] += [(eid + 1, 99, "signup", start + timedelta(hours=30)),
+                 (eid + 2, 5, "purchase", start + timedelta(minutes=30))]       # far too late: beyond the lifetime
+    for wave in waves:
+        spark.createDataFrame(wave or [(0, 98, "signup", start + timedelta(hours=13))], schema).coalesce(1).write.mode(
+            "append").parquet(base + "/in")
+        time.sleep(1.1)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    ms = timedelta(milliseconds=1)
+    with keyed_state_store(spark):
+        run_available_now(abandoned_with_corrections(src, ttl // ms, delay // ms, lifetime // ms),
+                          base + "/out", base + "/ckpt")
+    rows = spark.read.parquet(base + "/out").collect()
+    gone = [r.pending_id for r in rows if r.kind == "abandoned"]
+    back = [r.pending_id for r in rows if r.kind == "retracted"]
+    assert len(set(gone)) == len(gone) and len(set(back)) == len(back) and set(back) <= set(gone)
+    events = [e for w in waves[:7] for e in w]
+    paid = [(u, t) for _, u, kind, t in events if kind == "purchase"]
+    want = {e for e, u, kind, t in events if kind == "signup" and t + ttl <= start + timedelta(hours=29)
+            and not any(v == u and t <= s <= t + ttl for v, s in paid)}
+    assert len(back) >= 3 and set(gone) - set(back) - {0} == want - {0}
