@@ -194,7 +194,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inner = Window.partitionBy("ord", "b").orderBy("h", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, 0)
     placed = (stream.withColumn("upto", F.sum("size").over(inner))
-              .join(sums, ["ord", "b"])
+              .join(sums.hint("merge"), ["ord", "b"])
               .withColumn("at", F.col("base") + F.col("upto") - F.col("size")))
     placed = written(placed.select("doc_id", "row", "size", "source_size", "target", "ord", "at"), "mix-placed")
     first, last = F.floor(F.col("at") / s.block_words), F.floor((F.col("at") + F.col("size") - 1) / s.block_words)
