@@ -179,3 +179,24 @@ def q_outbox_patches(spark, d):
     base = _in_waves(spark, _patch_waves(o), "outbox-patches", lambda src, at: stm.patch_messages(
         src, o, lambda ev: ob.notification_outbox(with_product_name(ev, p)), at + "/state", at + "/out", at + "/_ckpt"))
     return spark.read.parquet(base + "/out").drop("batch")
+
+
+@register("abandoned_corrected_stream", _ABANDONED_STATE_SQL)
+def q_abandoned_corrected(spark, d):
+    """J1 with corrections: every third purchase arrives after all else, behind
+    the decisions; abandoned rows less those taken back are the answer over
+    all events."""
+    ev = M.table(spark, d, "events").where(F.col("event_type").isin("signup", "purchase")).select(
+        "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    late = (F.col("event_type") == "purchase") & (F.col("event_id") % 3 == 0)
+
+    def run(src, at):
+        with stm.keyed_state_store(spark):
+            stm.run_available_now(stm.abandoned_with_corrections(src, lifetime_ms=400 * 24 * 3600 * 1000),
+                                  at + "/out", at + "/_ckpt")
+
+    base = _in_waves(spark, [ev.where(~late), ev.where(late)], "abandoned-corrected", run)
+    out = spark.read.parquet(base + "/out")
+    back = out.where("kind = 'retracted'").select("pending_id")
+    return out.where("kind = 'abandoned'").join(back, "pending_id", "left_anti").select(
+        "pending_id", "user_id", F.timestamp_micros("ts_us").alias("ts"))
