@@ -61,3 +61,34 @@ def test_written_documents_read_back(spark, tmp_path):
     assert back.where("reason IS NOT NULL").count() == 0
     src.write_order_documents(orders.where("id < 0"), str(tmp_path / "none"), files=2)
     assert src.order_documents(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_large_documents_by_line(spark, tmp_path):
+    """Files over the size limit are split by line where they hold an order a
+    line; all others give the same rows as when read whole."""
+    fill(tmp_path / "docs")
+    check(src.order_documents(spark, str(tmp_path / "docs"), whole_bytes=0).collect())
+    lists = {"one line a.json": '[{"id": 1, "notes": "x"}\n,{"id": 2}\n]\n', "gap.json": '[{"id": 3}\n{"id": 4}\n]',
+             "twice.json": '[{"id": 5}\n]\n[{"id": 6}\n]', "open.json": '[{"id": 7}\n,{"id": 8}', "early.json": '[{"id": 9}\n]\n,{"id": 10}',
+             "bare.json": '[\n{"id": 11}\n]', "two.json": '[\n{"id": 15}\n{"id": 16}\n]', "comma.json": '[\n,{"id": 17}\n]',
+             "void.json": '[\n]', "both.json": '[{"id": 18}\n{"id": 19}\n,{"id": 20}\n]', "late.json": ',{"id": 12}\n[{"id": 13}\n]', "text.json": '[{"id": 14}\n,"{}"\n]'}
+    (tmp_path / "lines").mkdir()
+    for name, text in lists.items():
+        (tmp_path / "lines" / name).write_text(text)
+    by_line, whole = ([tuple(r) for r in src.order_documents(spark, str(tmp_path / "lines"), whole_bytes=n).collect()]
+                      for n in (0, 1 << 20))
+    assert sorted(by_line, key=str) == sorted(whole, key=str) and len(whole) == 13
+
+
+def test_large_document_is_split_over_tasks(spark, tmp_path):
+    """One file of many orders: no task holds all of it."""
+    orders = spark.range(40_000).selectExpr("id", "repeat('n', 100) AS notes")
+    src.write_order_documents(orders, str(tmp_path / "w"), files=1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        back = src.order_documents(spark, str(tmp_path / "w"), whole_bytes=1 << 20)
+        assert back.rdd.getNumPartitions() > 3
+        assert back.selectExpr("count(*)", "count(DISTINCT id)", "count(reason)").first()[:] == (40_000, 40_000, 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
