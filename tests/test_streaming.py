@@ -177,3 +177,111 @@ def test_late_purchases_take_abandoned_rows_back(spark):
     want = {e for e, u, kind, t in events if kind == "signup" and t + ttl <= start + timedelta(hours=29)
             and not any(v == u and t <= s <= t + ttl for v, s in paid)}
     assert len(back) >= 3 and set(gone) - set(back) - {0} == want - {0}
+
+
+class Store:
+    """A state handle over plain dictionaries that counts its calls."""
+
+    def __init__(self):
+        self.timers, self.calls = [], 0
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def _state(self, *_):
+        store, rows = self, {}
+
+        class State:
+            def exists(self):
+                return None in rows
+
+            def get(self):
+                store.calls += 1
+                return rows[None]
+
+            def update(self, value):
+                store.calls += 1
+                rows[None] = value
+
+            def containsKey(self, key):
+                store.calls += 1
+                return key in rows
+
+            def getValue(self, key):
+                store.calls += 1
+                return rows[key]
+
+            def updateValue(self, key, value):
+                store.calls += 1
+                rows[key] = value
+
+            def removeKey(self, key):
+                store.calls += 1
+                rows.pop(key, None)
+
+            def iterator(self):
+                store.calls += 1
+                return iter(list(rows.items()))
+
+            def clear(self):
+                rows.clear()
+
+        return State()
+
+    getValueState = getMapState = _state
+
+
+def test_reservation_state_is_called_per_block():
+    """One call serves all products of a block, each from its own stock."""
+    import pandas as pd
+
+    from loomcart.streaming.reservations import _reservation_processor
+
+    rnd, got, store = random.Random(5), {}, Store()
+    stock = {pid: pid % 7 for pid in range(200)}
+    waves = [[(w * 5000 + i, rnd.randrange(200), rnd.randint(0, 4), rnd.randint(0, 50)) for i in range(1500)] for w in range(2)]
+    p = _reservation_processor()
+    p.init(store)
+    for wave in waves:
+        pdf = pd.DataFrame(wave, columns=["request_id", "product_id", "qty", "ts"])
+        pdf["stock"] = pdf["product_id"].map(stock)
+        for out in p.handleInputRows((0,), iter([pdf[:700], pdf[700:]]), None):
+            got |= dict(zip(out["request_id"], out["accepted"]))
+    want = replay(stock, waves)
+    zero = {r[0] for w in waves for r in w if r[2] == 0}
+    assert got == {k: v and k not in zero for k, v in want.items()} and store.calls <= 4
+
+
+def test_abandoned_state_is_called_per_block():
+    """A block's many signups need few calls and timers, and are decided as
+    if each had its own."""
+    import pandas as pd
+
+    from loomcart.streaming.reservations import _abandon_processor
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    rnd, store, ttl = random.Random(7), Store(), 3_600_000
+    rows = [(i, rnd.randrange(100), rnd.choice(["signup", "signup", "purchase"]), rnd.randrange(ttl) * 1000) for i in range(900)]
+    p = _abandon_processor(ttl)
+    p.init(store)
+    pdf = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "ts_us"])
+    list(p.handleInputRows((0, 0), iter([pdf]), None))
+    assert len(store.timers) < 10
+    got = []
+    for wm in (ttl + ttl // 3, ttl + ttl // 2, 2 * ttl):
+        for ms in sorted(t for t in set(store.timers) if t <= wm):
+            store.timers = [t for t in store.timers if t != ms]
+            for out in p.handleExpiredTimer((0, 0), At(wm), At(ms)):
+                got += out["pending_id"].tolist()
+    want = [e for e, u, kind, t in rows if kind == "signup" and not any(
+        k == "purchase" and v == u and t <= s <= t + ttl * 1000 for _, v, k, s in rows)]
+    assert sorted(got) == want and len(want) > 50 and store.calls < 150
