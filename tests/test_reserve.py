@@ -77,3 +77,30 @@ def test_stock_never_negative_and_conserved(spark):
     for pid, s in stock.items():
         assert left[pid] >= 0
         assert left[pid] + taken.get(pid, 0) == s
+
+
+def test_a_partition_is_folded_batch_by_batch():
+    """Batches of any size give one batch's outcomes and exits, and no more
+    than a batch is taken before its rows come out."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    from loomcart.operators import reserve as rs
+
+    rnd = random.Random(3)
+    keys = sorted(rnd.choice([1, 1, 1, 1, 2, 3]) for _ in range(400))
+    for off in (0, 500):
+        rows = pa.table({"request_id": list(range(400)), "product_id": keys, "qty": [rnd.randint(1, 9) for _ in keys],
+                         "__stock": [150 + 40 * k for k in keys], "__pid": pa.array([4] * 400, pa.int32()),
+                         "__off": [off] * 400, "__qmax": [9] * 400, "__entry": pa.array([8 if off else None] * 400, pa.int64())})
+        for part in (rows, rows.filter(pa.compute.equal(rows["product_id"], 1))):
+            whole = part.combine_chunks().to_batches()
+            for n in (1, 7, 64):
+                cut = part.combine_chunks().to_batches(max_chunksize=n)
+                for fold in (rs._final_fn(("__pid",)), rs._exit_fn(1 << 16, False), rs._exit_fn(1 << 16, True)):
+                    assert pa.Table.from_batches(fold(iter(cut))).equals(pa.Table.from_batches(fold(iter(whole))))
+                taken = []
+                next(rs._final_fn(())(b for b in cut if not taken.append(b)))
+                assert len(taken) == 1
