@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,25 +120,26 @@ def outside_blocks(tokens: list[str]) -> list[bool]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _outside_blocks(tokens: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else outside_blocks(list(t)) for t in tokens], dtype=object)
+# Batches stay Arrow arrays: a page's tokens become Python values while it is
+# that page's turn only.
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _outside_blocks(tokens: pa.Array) -> pa.Array:
+    return pa.array((None if not t.is_valid else outside_blocks(t.as_py()) for t in tokens), pa.list_(pa.bool_()))
 
 
-@F.pandas_udf(T.StringType())
-def _put_back(tokens: pd.Series, places: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _put_back(tokens: pa.Array, places: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
     """Tokens joined, with the changes at their places: all of a text, or each
     stretch ``old`` of a tag."""
-    out = []
-    for t, at, o, n in zip(tokens, places, old, new):
+    def put(page):
+        t, at, o, n = (x.as_py() for x in page)
         if t is None:
-            out.append(None)
-            continue
-        t = list(t)
+            return None
         for i, a, b in zip(at, o, n):
             t[i] = b if a is None else t[i].replace(a, b)
-        out.append("".join(t))
-    return pd.Series(out, dtype=object)
+        return "".join(t)
+
+    return pa.array((put(page) for page in zip(tokens, places, old, new)), pa.string())
 
 
 def _translated_places(tokens: str) -> Column:
