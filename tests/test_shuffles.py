@@ -6,7 +6,10 @@ import re
 import duckdb
 import pytest
 
+from loomcart.operators import mutations as mu
+from loomcart.operators import payments as pay
 from loomcart.plans import mapping as M
+from loomcart.plans import queries_payments as qp
 
 
 @pytest.fixture
@@ -64,3 +67,24 @@ def test_full_orders_equal_the_sql(spark, shop):
     keys = spark.createDataFrame([(2,), (3,), (3,), (None,)], "order_key long")
     some = M.full_orders(spark, shop, order_keys=keys)
     assert texts(some.collect()) == texts(r for r in want if r[0] // 1000 in (2, 3))
+
+
+def test_a_signature_is_made_and_checked_once(spark, shop):
+    log = qp.payment_log(spark, shop)
+    text = pay.verified_payments(log, qp.TEST_SECRET).select(
+        "razorpay_order_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("sha2(") == 4                       # two HMACs of two passes
+    good = pay.verify_payments(log, qp.TEST_SECRET).where("outcome = 'accepted'")
+    assert texts(pay.verified_payments(log, qp.TEST_SECRET).collect()) == texts(good.collect())
+
+
+def test_calls_are_read_once(spark, tmp_path):
+    rows = [("a", 1), ("a", 2), ("a", 1), ("b", 3), (None, 1), ("d", 5)]
+    spark.createDataFrame(rows, "razorpay_order_id string, seq int").coalesce(1).write.parquet(str(tmp_path / "calls"))
+    o = spark.createDataFrame([(1, "a", "received"), (2, "a", "shipped"), (3, "b", "shipped"), (4, None, "received")],
+                              "id long, razorpay_order_id string, status string").selectExpr(
+        "*", "'pending' AS payment_status", "TIMESTAMP '2024-01-01' AS updated_at")
+    out = mu.confirm_orders(o, spark.read.parquet(str(tmp_path / "calls")), M.AS_OF).extra["outcomes"]
+    assert planned(out).split("Initial Plan")[0].count("FileScan parquet") == 1
+    assert texts(out.collect()) == texts([("a", 1, 1, "promoted"), ("a", 1, 1, "promoted"), ("a", 2, 1, "existing"),
+                                          ("b", 3, 3, "existing"), ("d", 5, None, "none")])
