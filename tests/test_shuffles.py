@@ -5,8 +5,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from loomcart.operators import mutations as mu
+from loomcart.operators import outbox as ob
 from loomcart.operators import payments as pay
 from loomcart.plans import mapping as M
 from loomcart.plans import queries_payments as qp
@@ -88,3 +90,13 @@ def test_calls_are_read_once(spark, tmp_path):
     assert planned(out).split("Initial Plan")[0].count("FileScan parquet") == 1
     assert texts(out.collect()) == texts([("a", 1, 1, "promoted"), ("a", 1, 1, "promoted"), ("a", 2, 1, "existing"),
                                           ("b", 3, 3, "existing"), ("d", 5, None, "none")])
+
+
+def test_contact_joins_orders_with_events_only(spark):
+    o = spark.createDataFrame([(1, "confirmed", True), (2, "shipped", False), (3, "received", False)],
+                              "id long, status string, promoted boolean")
+    patches = spark.createDataFrame([(2, "shipped"), (2, "shipped"), (3, "received"), (9, "shipped")], "id long, s string").select(
+        "id", F.create_map(F.lit("status"), "s").alias("changes"))
+    changed = ob.changed_orders(o, patches)
+    assert {r.id: r.kinds for r in changed.collect()} == {1: ["new_order", "confirmed"], 2: ["shipped", "shipped"]}
+    assert texts(ob.events_of(changed).collect()) == texts(ob.change_events(o, patches).collect())
