@@ -52,7 +52,7 @@ class BatchLog:
         return f"{self.path}/kind={kind}/at={batch_id}"
 
     def _write(self, rows: DataFrame, kind: str, batch_id: int) -> None:
-        w = rows.write.mode("overwrite")
+        w = rows.write.mode("overwrite").option("compression", "zstd")
         if self.partition_by:
             w = w.partitionBy(*self.partition_by)
         w.parquet(self._folder(kind, batch_id))

@@ -113,8 +113,8 @@ def order_log(spark: SparkSession, state_dir: str, compact_every: int = 20) -> B
 
 
 def folded_patches(orders: DataFrame, patches: DataFrame) -> DataFrame:
-    """Each patch with the order's fields after it and ``kinds``, the events it
-    gives rise to.
+    """Each patch with the order's fields after it, ``kinds``, the events it
+    gives rise to, and ``newest``, whether it is the order's last.
 
     patches: seq, id, call ('patch' or 'confirm') and the patched fields; a
     NULL field keeps the old value.  A confirmation call promotes an order
@@ -141,27 +141,28 @@ def folded_patches(orders: DataFrame, patches: DataFrame) -> DataFrame:
         F.col("status").isin("confirmed", "shipped"), F.array("status")).otherwise(F.array().cast("array<string>"))
     merged = [F.coalesce(F.last(f, ignorenulls=True).over(upto), F.col(f"__{f}")).alias(f)
               for f in PATCHED if f != "status"]
-    return p.select("seq", "id", kinds.alias("kinds"), after.alias("status"), *merged)
+    newest_ = F.lead(F.lit(True)).over(Window.partitionBy("id").orderBy("seq")).isNull().alias("newest")
+    return p.select("seq", "id", kinds.alias("kinds"), newest_, after.alias("status"), *merged)
 
 
 def patch_step(orders: DataFrame, log: BatchLog, to_messages: Callable[[DataFrame], DataFrame], sink: str) -> Step:
     """Folds a micro-batch of patches onto the orders' last states; the
     messages go to one folder per batch, the states of touched orders to the
-    log."""
+    log.  Orders bucketed by id (``operators.joins.bucketed``) are not shuffled."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        ensure_checkpoint_dir(log.spark)
         wanted = batch.select("id").distinct()
         last = newest("id")(log.before(batch_id).join(wanted, "id", "left_semi")).drop("version").select(
             "id", *[F.col(f).alias(f"__{f}") for f in PATCHED], F.lit(True).alias("__known"))
-        now = orders.join(wanted, "id", "left_semi").join(last, "id", "left")
         fields = [F.when(F.col("__known"), F.col(f"__{f}")).otherwise(F.col(f)).alias(f) for f in PATCHED]
-        now = now.select(*[c for c in orders.columns if c not in PATCHED], *fields)
-        folded = folded_patches(now, batch).checkpoint(eager=True)
-        events = now.drop(*PATCHED).join(folded.where(F.size("kinds") > 0), "id").withColumn(
+        now = orders.select("id", *PATCHED).join(last, "id", "left").select("id", *fields)
+        # Written by column: the messages and the log each read their part.
+        folded = folded_patches(now, batch)
+        folded.write.mode("overwrite").option("compression", "zstd").parquet(f"{log.path}/folded")
+        folded = log.spark.read.schema(folded.schema).parquet(f"{log.path}/folded")
+        events = orders.drop(*PATCHED).join(folded.where(F.size("kinds") > 0).drop("newest"), "id").withColumn(
             "kind", F.explode("kinds")).drop("kinds")
-        to_messages(events).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        after = folded.groupBy("id").agg(F.max_by(F.struct(*PATCHED), "seq").alias("s")).select("id", "s.*")
-        log.write(after, batch_id)
+        to_messages(events).write.mode("overwrite").option("compression", "zstd").parquet(f"{sink}/batch={batch_id}")
+        log.write(folded.where("newest").select("id", *PATCHED), batch_id)
     return step
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from loomcart.operators import mutations as mu
 from loomcart.operators import outbox as ob
 from loomcart.operators import payments as pay
+from loomcart.operators.joins import bucketed
 from loomcart.plans import mapping as M
 from loomcart.plans import queries_payments as qp
+from loomcart.streaming.ledger import folded_patches
 
 
 @pytest.fixture
@@ -100,3 +102,16 @@ def test_contact_joins_orders_with_events_only(spark):
     changed = ob.changed_orders(o, patches)
     assert {r.id: r.kinds for r in changed.collect()} == {1: ["new_order", "confirmed"], 2: ["shipped", "shipped"]}
     assert texts(ob.events_of(changed).collect()) == texts(ob.change_events(o, patches).collect())
+
+
+def test_bucketed_orders_are_not_shuffled(spark, no_broadcast):
+    o = bucketed(spark.range(50).selectExpr(
+        "id", "'received' AS status", "CAST(NULL AS string) AS tracking_number", "CAST(NULL AS string) AS notes"), "id")
+    assert not spark.sql("SHOW TABLES LIKE 'loomcart_bucketed*'").collect()
+    patches = spark.createDataFrame([(1, 7, "confirm"), (2, 7, "confirm"), (3, 8, "patch"), (4, 99, "confirm")],
+                                    "seq long, id long, call string").selectExpr(
+        "*", "CAST(NULL AS string) AS status", "'T' AS tracking_number", "CAST(NULL AS string) AS notes")
+    folded = folded_patches(o, patches)
+    assert planned(folded).split("Initial Plan")[0].count("Exchange hashpartitioning") == 1      # the patches
+    assert texts(folded.select("seq", "kinds", "newest", "status").collect()) == texts([
+        (1, ["new_order", "confirmed"], False, "confirmed"), (2, [], True, "confirmed"), (3, [], True, "received")])
