@@ -50,6 +50,7 @@ class MixSettings:
     block_words: int = 256
     bucket_digits: int = 3                    # hex digits: 4096 buckets a source bound a window
     schedule_chunk: int = 4096                # slots ranked together
+    task_chunks: int = 16                     # such chunks a task makes
     grid: int = 1024                          # cells that find a point's source
 
 
@@ -117,12 +118,11 @@ def _schedule(needs: DataFrame, settings: MixSettings) -> DataFrame:
     cells = edges.withColumn("cell", F.explode(F.sequence(
         F.least(top, F.floor(F.col("low") * s.grid).cast("int")),
         F.least(top, F.floor(F.col("high") * s.grid).cast("int")))))
-    n = F.ceil(F.sum("target") / s.block_words).cast("long")
-    chunks = needs.agg(n.alias("n")).select("n", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor(F.col("n") / s.schedule_chunk).cast("long"))).alias("chunk"))
-    slots = chunks.repartition("chunk").select("n", "chunk", F.explode(F.sequence(
-        F.col("chunk") * s.schedule_chunk, F.col("chunk") * s.schedule_chunk + (s.schedule_chunk - 1))
-    ).alias("i")).where(F.col("i") < F.col("n"))
+    n = needs.agg(F.ceil(F.sum("target") / s.block_words).cast("long")).first()[0] or 0
+    # A range tells the planner its size: slots, which grow with the table, are
+    # never taken for a side that can be broadcast.
+    slots = needs.sparkSession.range(0, n, 1, n // (s.schedule_chunk * s.task_chunks) + 1).select(
+        F.floor(F.col("id") / s.schedule_chunk).alias("chunk"), F.col("id").alias("i"))
     point = F.pmod(F.pmod(F.col("i"), F.lit(PERIOD)) * GOLDEN + GOLDEN // 2, F.lit(PERIOD)) / float(PERIOD)
     slots = slots.select("chunk", "i", point.alias("x"),
                          F.floor(point * s.grid).cast("int").alias("cell"))

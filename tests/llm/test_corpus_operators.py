@@ -292,6 +292,26 @@ def test_numbered_rows_keep_their_keys(spark, tmp_path):
         assert len(set(keys.values())) == 46 and {r.id: str(r["__row"]) for r in x.repartition(2).collect()} == keys
 
 
+def test_slots_are_not_broadcast(spark, tmp_path):
+    """However few the sources, their slots grow with the words."""
+    def rows_of_broadcasts(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return rows_of_broadcasts(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return rows_of_broadcasts(node.plan())
+        below = [n for i in range(node.children().size()) for n in rows_of_broadcasts(node.children().apply(i))]
+        return below + ([node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else [])
+
+    sizes = spark.createDataFrame([(i, src, 10_000_000) for i, src in enumerate("abca")],
+                                  "doc_id long, src string, size long")
+    mixing.targets_of(sizes).write.parquet(str(tmp_path / "per"))
+    table = mixing.slot_table(spark.read.parquet(str(tmp_path / "per"))).groupBy("ord").count()
+    slots = sum(r["count"] for r in table.collect())
+    sides = rows_of_broadcasts(table._jdf.queryExecution().executedPlan())
+    assert slots > 150_000 and sides and max(sides) < 2_000
+
+
 def test_mix_empty(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     r = mixing.mix(documents(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
