@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+import time
 
 import duckdb
 import pytest
@@ -12,7 +13,10 @@ from loomcart.operators import outbox as ob
 from loomcart.operators import payments as pay
 from loomcart.operators.joins import bucketed
 from loomcart.plans import mapping as M
+from loomcart.plans import queries_orders as qo
 from loomcart.plans import queries_payments as qp
+from loomcart.plans.registry import ORACLES
+from loomcart.sources import write_order_json
 from loomcart.streaming.ledger import folded_patches
 
 
@@ -115,3 +119,37 @@ def test_bucketed_orders_are_not_shuffled(spark, no_broadcast):
     assert planned(folded).split("Initial Plan")[0].count("Exchange hashpartitioning") == 1      # the patches
     assert texts(folded.select("seq", "kinds", "newest", "status").collect()) == texts([
         (1, ["new_order", "confirmed"], False, "confirmed"), (2, [], True, "confirmed"), (3, [], True, "received")])
+
+
+def test_document_texts_are_made_after_the_last_join(spark, shop, no_broadcast):
+    parts = [(1, "one", 3), (2, None, 4), (2, "two", 5), (None, "none", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").selectExpr(
+        "*", "'b' AS p_brand", "'t' AS p_type", "1.5D AS p_retailprice").coalesce(1).write.parquet(f"{shop}/part.parquet")
+    docs = qo._documents(qo._named_orders(spark, shop))
+    shuffled = planned(docs).split("hashpartitioning(product_id", 1)
+    assert "Street " in shuffled[0] and "Street " not in shuffled[1] and "order_" not in shuffled[1]
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{shop}/{t}.parquet/*.parquet')")
+    names = qo.q_order_documents(spark, shop)
+    want = con.execute(f"SELECT {', '.join(names.columns)} FROM ({ORACLES['order_documents']})").fetchall()
+    assert texts(docs.select(names.columns).collect()) == texts(want) == texts(names.collect())
+    assert qo.q_order_document_files(spark, shop).count() == len(want) + 4
+
+
+def test_written_documents_leave_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, had = shuffles(), spark.conf.get(key)
+    write_order_json(spark.range(100).repartition(5, "id"), str(tmp_path / "w"))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and spark.conf.get(key) == had
+    assert spark.read.json(str(tmp_path / "w")).count() == 100
