@@ -1,9 +1,11 @@
 """Folders of order documents: good files, and bad ones as rows with reasons."""
 
+import gzip
 import json
 
 from loomcart import sources as src
 from loomcart import streaming as stm
+from loomcart.sources.io import _document_lines, _files_by_line
 
 GOOD = [{"id": 2, "status": "received", "quantity": 3}, {"id": 1, "status": "shipped", "notes": "a\n\"b\" [x]", "more": 1}]
 BAD = {"blank.json": (" \n\t", "empty"), "half.json": ('[{"id": 1}, {"id": 2, "st', "bad json"),
@@ -92,3 +94,45 @@ def test_large_document_is_split_over_tasks(spark, tmp_path):
         assert back.selectExpr("count(*)", "count(DISTINCT id)", "count(reason)").first()[:] == (40_000, 40_000, 0)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_packed_documents_equal_plain_ones(spark, tmp_path):
+    """Small and large, an order a line or not, half-written, of two members."""
+    lines = "[" + "\n,".join(json.dumps({"id": i, "notes": "n" * 40}) for i in range(400)) + "\n]"
+    texts = {"good": json.dumps(GOOD), "lines": lines, "late": lines.replace("\n]", "\n,7\n]"), "object": '{"id": 9}'}
+    for kind in ("plain", "packed"):
+        (tmp_path / kind).mkdir()
+    for name, text in texts.items():
+        (tmp_path / "plain" / f"{name}.json").write_text(text)
+        (tmp_path / "packed" / f"{name}.json.gz").write_bytes(
+            b"".join(gzip.compress(x.encode()) for x in (text[:9], text[9:])))
+    (tmp_path / "plain" / "half.json").write_text("[{")
+    (tmp_path / "packed" / "half.json.gz").write_bytes(gzip.compress(lines.encode())[:60])
+
+    def rows(kind, whole_bytes):
+        got = src.order_documents(spark, str(tmp_path / kind), whole_bytes=whole_bytes).collect()
+        return sorted(str((r.file.rsplit("/", 1)[-1].split(".")[0], *r[1:])) for r in got)
+
+    plain = rows("plain", 1 << 20)
+    assert len(plain) == 2 + 400 + 401 + 2
+    assert rows("packed", 1 << 20) == plain                                      # all read whole
+    assert rows("packed", 32 * 100) == plain                                     # large ones, one of them by line
+    assert rows("packed", 32 * 40) == plain                                      # and the half-written one
+
+
+def test_documents_are_made_after_the_shuffle_and_packed(spark, tmp_path):
+    orders = spark.range(60).selectExpr("id", "id % 7 AS code")
+    made = lambda rows: rows.selectExpr("id", "concat('name ', code) AS customer_name")
+    src.write_order_documents(orders, str(tmp_path / "w"), files=3, make=made, compression="gzip")
+    lists = [json.loads(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("part-*.gz")]
+    assert sum(map(len, lists)) == 60 and all(x == sorted(x, key=lambda o: -o["id"]) for x in lists)
+    back = src.order_documents(spark, str(tmp_path / "w"))
+    assert {(r.id, r.customer_name) for r in back.collect()} == {(i, f"name {i % 7}") for i in range(60)}
+
+
+def test_lines_are_judged_without_a_sort(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text('[{"id": 1}\n,{"id": 2}\n]')
+    by = _files_by_line(_document_lines(spark, str(tmp_path / "docs"), 0))
+    assert [r.by_line for r in by.collect()] == [True]
+    assert "Sort" not in by._jdf.queryExecution().executedPlan().toString()
